@@ -1,8 +1,9 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import quality
+from . import quality, toxicity
 
 QUERIES = {
+    "op1_toxicity_crf": toxicity.query,
     "op3_quality_classifier": quality.query,
 }
 ORACLES: dict[str, str] = {}
