@@ -118,15 +118,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def platt(s: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Weights (columns of s, then a constant) of a logistic regression, by Newton's method with a small ridge."""
-    x = np.column_stack([s, np.ones(len(s))])
+def platt(s: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Weights (columns of s, then a constant) of a logistic regression with Platt's smoothed targets, by damped Newton steps."""
+    s = np.asarray(s, float).reshape(len(y), -1)
+    mean, spread = s.mean(axis=0), s.std(axis=0) + 1e-9
+    x = np.column_stack([(s - mean) / spread, np.ones(len(s))])
+    n1, n0 = (y > 0).sum(), (y <= 0).sum()
+    t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - t @ (x @ w) + 5e-3 * (w @ w)
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + 1e-2 * w
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-2 * np.eye(len(w)), g)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-2 * np.eye(len(w)), x.T @ (p - t) + 1e-2 * w)
+        rate = 1.0
+        while loss(w - rate * step) > loss(w) and rate > 1e-6:
+            rate /= 2
+        w = w - rate * step
+        if np.abs(rate * step).max() < 1e-6:
             break
+    w[:-1] /= spread
+    w[-1] -= w[:-1] @ mean
     return w

@@ -1,9 +1,10 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import quality, toxicity
+from . import bpe, quality, toxicity
 
 QUERIES = {
     "op1_toxicity_crf": toxicity.query,
+    "op2_byte_bpe": bpe.query,
     "op3_quality_classifier": quality.query,
 }
 ORACLES: dict[str, str] = {}

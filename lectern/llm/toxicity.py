@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import Ids, append_columns, labelled_sample, platt, remainder
 
 #: Hash buckets of the features, and the most labelled rows of either class that the fit uses.
-BUCKETS, PER_CLASS = 1 << 17, 1500
+BUCKETS, PER_CLASS = 1 << 17, 2500
 THRESHOLD = 0.3
 #: A weak label needs this many distinct contexts in toxic documents, and this ratio of rates.
 LEAST_CONTEXTS, LEAST_RATIO = 8, 25
@@ -153,7 +153,7 @@ def weak_labels(texts: list[list[bytes]], y: np.ndarray) -> list[np.ndarray]:
     return np.split(marks.astype(float), np.cumsum(sizes)[:-1])
 
 
-def train_field(texts: list[list[bytes]], tags: list[np.ndarray], steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def train_field(texts: list[list[bytes]], tags: list[np.ndarray], steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features and of the transitions, by Adam on the likelihood of the tags."""
     ids = Ids(lambda w: (hashed(w),), limit=1 << 40)
     tokens = ids.of([w for ws in texts for w in ws])
@@ -177,7 +177,7 @@ def train_field(texts: list[list[bytes]], tags: list[np.ndarray], steps: int = 2
         seen = np.stack([(1 - before) * (1 - y), (1 - before) * y, before * (1 - y), before * y])
         g = np.concatenate([np.bincount(flat, np.bincount(tokens, y - p, len(lens))[owner], BUCKETS) / np.sqrt(support), (seen - joint).sum(axis=1) / np.sqrt(len(y))]) - 1e-3 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta = theta + 0.45 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-3)
+        theta = theta + 0.35 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-3)
     return theta[:BUCKETS], np.exp(theta[BUCKETS:]).reshape(2, 2)
 
 
