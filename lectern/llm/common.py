@@ -139,3 +139,30 @@ def platt(s: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
     w[:-1] /= spread
     w[-1] -= w[:-1] @ mean
     return w
+
+
+#: Ids that a broadcast may hold; beyond it the same join is done by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table of few narrow columns, marked for broadcast only if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(id, root) of every node of `edges` (a, b): the smallest id reachable.
+
+    Each round takes the least root among a node and its neighbours, then the root of that root; tables are saved each round.
+    """
+    both = saved(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), f"{name}-edges")
+    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        own = labels.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("was"))
+        own = saved(own, f"{name}-near")
+        up = own.select(F.col("id").alias("root"), F.col("root").alias("above"))
+        new = saved(own.join(up, "root", "left").select("id", F.least("root", F.coalesce("above", "root")).alias("root"), "was"), f"{name}-labels")
+        if new.where("root <> was").isEmpty():
+            return new.select("id", "root")
+        labels = new.select("id", "root")

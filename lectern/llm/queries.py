@@ -1,10 +1,11 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import bpe, quality, toxicity
+from . import bpe, minhash, quality, toxicity
 
 QUERIES = {
     "op1_toxicity_crf": toxicity.query,
     "op2_byte_bpe": bpe.query,
     "op3_quality_classifier": quality.query,
+    "op9_minhash_near_dedup": minhash.query,
 }
 ORACLES: dict[str, str] = {}
