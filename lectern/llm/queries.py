@@ -1,11 +1,12 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import bpe, minhash, quality, toxicity
+from . import bpe, minhash, quality, substring, toxicity
 
 QUERIES = {
     "op1_toxicity_crf": toxicity.query,
     "op2_byte_bpe": bpe.query,
     "op3_quality_classifier": quality.query,
+    "op8_suffix_dedup": substring.query,
     "op9_minhash_near_dedup": minhash.query,
 }
 ORACLES: dict[str, str] = {}
