@@ -9,6 +9,7 @@ get the score of a text without words; rows keep their multiplicity; further col
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from .common import Ids, append_columns, labelled_sample, platt, remainder
 
 #: Hash buckets of the features, and the most labelled rows of either class that the fit uses.
-BUCKETS, PER_CLASS = 1 << 17, 2500
+BUCKETS, PER_CLASS = 1 << 17, 2000
 THRESHOLD = 0.3
 #: A weak label needs this many distinct contexts in toxic documents, and this ratio of rates.
 LEAST_CONTEXTS, LEAST_RATIO = 8, 25
@@ -132,50 +133,61 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(s @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
 
 
-def weak_labels(texts: list[list[bytes]], y: np.ndarray) -> list[np.ndarray]:
+def vocabulary(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each token's word; of each word's features: hash, word number, and whether a weak label may rest on it."""
+    numbers: dict[bytes, int] = {}
+    tokens = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in texts for w in ws), np.int32)
+    flat, owner, firm = array("Q"), array("i"), array("b")
+    for word, n in numbers.items():
+        for x in parts(word):
+            flat.append(xxhash.xxh3_64_intdigest(x))
+            owner.append(n)
+            firm.append(x[:1] != b">" and len(x) > 3)
+    return tokens, np.array(flat, np.uint64), np.array(owner, np.int32), np.array(firm, bool)
+
+
+def weak_labels(tokens: np.ndarray, flat: np.ndarray, owner: np.ndarray, firm: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """1 at the tokens of toxic texts that mark toxicity. Contexts, not occurrences, are counted, so copies count once."""
-    names: dict[bytes, int] = {}
-    ids = Ids(lambda w: ([names.setdefault(x, len(names)) for x in parts(w) if x[:1] != b">" and len(x) > 3],), limit=1 << 40)
-    tokens = ids.of([w for ws in texts for w in ws])
-    sizes = np.array([len(ws) for ws in texts], int)
-    toxic = np.repeat(y > 0, sizes)
-    before = np.concatenate([[-1], tokens[:-1]])
-    lens = np.array([len(r[0]) for r in ids.rows])
-    flat, owner = np.array([x for r in ids.rows for x in r[0]], int), np.repeat(np.arange(len(lens)), lens)
+    words = int(owner.max(initial=-1)) + 1
+    names, feature = np.unique(flat[firm], return_inverse=True)
+    holder = owner[firm]
+    before = np.concatenate([[-1], tokens[:-1]]).astype(np.int64)
     contexts, totals = [], []
     for own in (~toxic, toxic):
-        pairs = np.unique(tokens[own] * len(lens) + before[own] + 1)
-        words = pairs // len(lens)
-        contexts.append(np.bincount(flat, np.bincount(words, minlength=len(lens))[owner], len(names)))
+        pairs = np.unique(tokens[own].astype(np.int64) * (words + 1) + before[own] + 1) // (words + 1)
+        contexts.append(np.bincount(feature, np.bincount(pairs, minlength=words)[holder], len(names)))
         totals.append(max(1, int(own.sum())))
     bad = (contexts[1] >= LEAST_CONTEXTS) & (contexts[1] / totals[1] >= LEAST_RATIO * (contexts[0] + 0.25) / totals[0])
-    marks = (np.bincount(owner, bad[flat], len(lens)) > 0)[tokens] & toxic
-    return np.split(marks.astype(float), np.cumsum(sizes)[:-1])
+    return (np.bincount(holder, bad[feature], words) > 0)[tokens] & toxic
 
 
-def train_field(texts: list[list[bytes]], tags: list[np.ndarray], steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the features and of the transitions, by Adam on the likelihood of the tags."""
-    ids = Ids(lambda w: (hashed(w),), limit=1 << 40)
-    tokens = ids.of([w for ws in texts for w in ws])
-    sizes = np.array([len(ws) for ws in texts])
-    y = np.concatenate([*tags, np.zeros(0)])
-    lens = np.array([len(r[0]) for r in ids.rows])
-    flat, owner = np.concatenate([r[0] for r in ids.rows]), np.repeat(np.arange(len(lens)), lens)
-    heads = np.zeros(len(y), bool)
-    heads[np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]])] = True
-    before = np.concatenate([[0.0], y[:-1]]) * ~heads
+def train_field(tokens: np.ndarray, flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 40, part: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the features and of the transitions, by Adam on the likelihood of the tags; gradients add up over parts."""
+    words = int(owner.max(initial=-1)) + 1
+    bucket = (flat % np.uint64(BUCKETS)).astype(np.int32)
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(part, len(tokens), part)) + 1, [len(sizes)]]))
     theta = np.concatenate([np.zeros(BUCKETS), [0.0, -2.0, 0.0, 0.0]])
-    support = np.maximum(np.bincount(flat, np.bincount(tokens, minlength=len(lens))[owner], BUCKETS), 1)
+    support = np.maximum(np.bincount(bucket, np.bincount(tokens, minlength=words)[owner], BUCKETS), 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
         a = np.exp(theta[BUCKETS:]).reshape(2, 2)
-        e = np.exp(np.clip(np.bincount(owner, theta[flat], len(lens)), -30, 30))[tokens]
-        o, b, p = marginals(e, sizes, a)
-        prior = np.where(heads, 0.0, np.concatenate([[0.0], o[:-1]]))
-        joint = np.stack([a[0, 0] + 0 * e, a[0, 1] * e * b, prior * a[1, 0], prior * a[1, 1] * e * b])
-        joint /= joint.sum(axis=0)
-        seen = np.stack([(1 - before) * (1 - y), (1 - before) * y, before * (1 - y), before * y])
-        g = np.concatenate([np.bincount(flat, np.bincount(tokens, y - p, len(lens))[owner], BUCKETS) / np.sqrt(support), (seen - joint).sum(axis=1) / np.sqrt(len(y))]) - 1e-3 * theta
+        odds = np.exp(np.clip(np.bincount(owner, theta[bucket], words), -30, 30))
+        by_word, moves = np.zeros(words), np.zeros(4)
+        for c, d in zip(cuts, cuts[1:]):
+            at = slice(ends[c - 1] if c else 0, ends[d - 1])
+            own, tags, n = tokens[at], y[at].astype(float), sizes[c:d]
+            heads = np.zeros(len(own), bool)
+            heads[(np.cumsum(n) - n)[n > 0]] = True
+            before = np.concatenate([[0.0], tags[:-1]]) * ~heads
+            e = odds[own]
+            o, b, p = marginals(e, n, a)
+            prior = np.where(heads, 0.0, np.concatenate([[0.0], o[:-1]]))
+            joint = np.stack([a[0, 0] + 0 * e, a[0, 1] * e * b, prior * a[1, 0], prior * a[1, 1] * e * b])
+            joint /= joint.sum(axis=0)
+            moves += (np.stack([(1 - before) * (1 - tags), (1 - before) * tags, before * (1 - tags), before * tags]) - joint).sum(axis=1)
+            by_word += np.bincount(own, tags - p, words)
+        g = np.concatenate([np.bincount(bucket, by_word[owner], BUCKETS) / np.sqrt(support), moves / np.sqrt(max(1, len(y)))]) - 1e-3 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + 0.35 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-3)
     return theta[:BUCKETS], np.exp(theta[BUCKETS:]).reshape(2, 2)
@@ -183,19 +195,24 @@ def train_field(texts: list[list[bytes]], tags: list[np.ndarray], steps: int = 4
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     """Fit on at most `per_class` labelled documents of either class. Without labels of both classes every score is the prior."""
-    sample = labelled_sample(docs, labels, "toxic", per_class).toPandas().sort_values("doc_id")
-    y = sample["y"].to_numpy(float)
+    sample = labelled_sample(docs, labels, "toxic", per_class).toArrow().sort_by("doc_id")
+    y = sample["y"].to_numpy().astype(float)
     rates = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).agg(F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("p")).first()["p"]
     prior = np.log(np.clip(rates, 1e-4, 1 - 1e-4) / (1 - np.clip(rates, 1e-4, 1 - 1e-4)))
-    texts = [bytes(t).split() for t in sample["text"]]
+    texts = [t.split() for t in sample["text"].to_pylist()]
+    del sample
     if len(set(y)) < 2 or not any(texts):
         return ToxicityModel(np.zeros(BUCKETS), np.ones((2, 2)), np.array([0.0, 0.0, prior]))
     learn = np.arange(len(y)) % 3 > 0
     inner = [t for t, l in zip(texts, learn, strict=True) if l]
-    weights, transitions = train_field(inner, weak_labels(inner, y[learn]))
+    sizes = np.array([len(t) for t in inner], int)
+    tokens, flat, owner, firm = vocabulary(inner)
+    tags = weak_labels(tokens, flat, owner, firm, np.repeat(y[learn] > 0, sizes))
+    weights, transitions = train_field(tokens, flat, owner, sizes, tags)
+    del inner, tokens, flat, owner, firm, tags
     model = ToxicityModel(weights, transitions, np.zeros(3))
     outer = [t for t, l in zip(texts, learn, strict=True) if not l]
-    s = tagged(outer, model, Ids(model.odds))[1]
+    s = tagged(outer, model, Ids(model.odds, 100_000))[1]
     calibration = platt(s, y[~learn])
     rate = y[~learn].mean()
     calibration[-1] += prior - np.log(max(rate, 1e-3) / max(1 - rate, 1e-3))
