@@ -25,7 +25,7 @@ from .common import Ids, append_columns, labelled_sample, platt, remainder
 BUCKETS, PER_CLASS = 1 << 17, 2000
 THRESHOLD = 0.3
 #: A weak label needs this many distinct contexts in toxic documents, and this ratio of rates.
-LEAST_CONTEXTS, LEAST_RATIO = 8, 25
+LEAST_CONTEXTS, LEAST_RATIO = 20, 25
 BLOCK = 64
 EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("probability", T.DoubleType())]))
