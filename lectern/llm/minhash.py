@@ -28,7 +28,7 @@ WORDS, PERCENT = 5, 85
 SIDE, PER_HALF = 8, 2
 SKETCH_BITS = 512
 #: Members of a bucket that meet in one block of the comparison by sketches.
-BLOCK = 256
+BLOCK = 1024
 _RNG = np.random.default_rng(20)
 SALTS = _RNG.integers(1, 1 << 63, 2 * SIDE * PER_HALF, dtype=np.uint64)
 ODD = _RNG.integers(1, 1 << 63, 2 * SIDE * PER_HALF, dtype=np.uint64) | np.uint64(1)
