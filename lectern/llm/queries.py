@@ -1,12 +1,13 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import bpe, minhash, packing, quality, substring, toxicity
+from . import bpe, minhash, packing, quality, rules, substring, toxicity
 
 QUERIES = {
     "op1_toxicity_crf": toxicity.query,
     "op2_byte_bpe": bpe.query,
     "op3_quality_classifier": quality.query,
     "op4_best_fit_packing": packing.query,
+    "op5_quality_rules": rules.query,
     "op8_suffix_dedup": substring.query,
     "op9_minhash_near_dedup": minhash.query,
 }
