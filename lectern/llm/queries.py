@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import bpe, minhash, packing, quality, rules, substring, toxicity
+from . import bpe, minhash, packing, quality, rules, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity_crf": toxicity.query,
@@ -8,7 +8,8 @@ QUERIES = {
     "op3_quality_classifier": quality.query,
     "op4_best_fit_packing": packing.query,
     "op5_quality_rules": rules.query,
+    "op6_warc": warc.query,
     "op8_suffix_dedup": substring.query,
     "op9_minhash_near_dedup": minhash.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE}
