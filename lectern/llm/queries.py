@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import bpe, minhash, packing, quality, rules, substring, toxicity, warc
+from . import bpe, hmm_lm, minhash, packing, quality, rules, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity_crf": toxicity.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op5_quality_rules": rules.query,
     "op6_warc": warc.query,
+    "op7_hmm_lm": hmm_lm.query,
     "op8_suffix_dedup": substring.query,
     "op9_minhash_near_dedup": minhash.query,
 }
