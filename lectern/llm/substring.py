@@ -203,10 +203,13 @@ def _one_by_one(held: DataFrame) -> DataFrame:
     return all_.join(twice, ["right", "key"], "left_semi").select("row", "lo", F.col("lo").alias("hi"))
 
 
-def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every row with n_bytes, n_removed, n_spans and `kept_bytes`, what is left of the text; other columns are kept."""
+def deduplicated(docs: DataFrame, text: str = "text", as_text: bool = False) -> DataFrame:
+    """Every row with n_bytes, n_removed, n_spans and what is left of the text; other columns are kept.
+
+    What is left is `kept_bytes`, or `kept_text` without the pieces of characters that a cut went through.
+    """
     bounded_batches(docs.sparkSession)
-    new = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_bytes", T.BinaryType())]
+    new = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_text", T.StringType()) if as_text else T.StructField("kept_bytes", T.BinaryType())]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {f.name for f in new}])
     body, x, y = (fresh(docs, n) for n in ("_body", "_x", "_y"))
     kept = docs.columns
@@ -235,8 +238,9 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
                 sizes.append(len(t))
                 removed.append(gone)
                 n.append(len(ss or []))
-                left.append(b"".join([*pieces, t[at:]]))
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(b.num_columns - 2)], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(left, pa.binary())], names=[*kept, *[f.name for f in new]])
+                rest = b"".join([*pieces, t[at:]])
+                left.append(rest.decode("utf-8", "ignore") if as_text else rest)
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(b.num_columns - 2)], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(left, pa.string() if as_text else pa.binary())], names=[*kept, *[f.name for f in new]])
 
     out = T.StructType([*[f for f in docs.schema.fields if f.name in kept], *new])
     mine = fresh(docs, "_spans")
