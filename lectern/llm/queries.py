@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import bpe, hmm_lm, minhash, packing, quality, rules, substring, toxicity, warc
+from . import bpe, chroma, hmm_lm, minhash, packing, quality, rules, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity_crf": toxicity.query,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_hmm_lm": hmm_lm.query,
     "op8_suffix_dedup": substring.query,
     "op9_minhash_near_dedup": minhash.query,
+    "op10_chroma_fingerprints": chroma.query,
 }
 ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE}

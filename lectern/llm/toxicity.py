@@ -24,8 +24,8 @@ from .common import Ids, append_columns, labelled_sample, platt, remainder
 #: Hash buckets of the features, and the most labelled rows of either class that the fit uses.
 BUCKETS, PER_CLASS = 1 << 17, 2000
 THRESHOLD = 0.3
-#: A weak label needs this many distinct contexts in toxic documents, and this ratio of rates.
-LEAST_CONTEXTS, LEAST_RATIO = 20, 25
+#: A weak label needs this many distinct contexts (or this share of the toxic documents), and this ratio of rates.
+LEAST_CONTEXTS, CONTEXT_SHARE, LEAST_RATIO = 3, 0.015, 25
 BLOCK = 64
 EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("probability", T.DoubleType())]))
@@ -146,7 +146,7 @@ def vocabulary(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nda
     return tokens, np.array(flat, np.uint64), np.array(owner, np.int32), np.array(firm, bool)
 
 
-def weak_labels(tokens: np.ndarray, flat: np.ndarray, owner: np.ndarray, firm: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def weak_labels(tokens: np.ndarray, flat: np.ndarray, owner: np.ndarray, firm: np.ndarray, toxic: np.ndarray, texts: int) -> np.ndarray:
     """1 at the tokens of toxic texts that mark toxicity. Contexts, not occurrences, are counted, so copies count once."""
     words = int(owner.max(initial=-1)) + 1
     names, feature = np.unique(flat[firm], return_inverse=True)
@@ -157,7 +157,7 @@ def weak_labels(tokens: np.ndarray, flat: np.ndarray, owner: np.ndarray, firm: n
         pairs = np.unique(tokens[own].astype(np.int64) * (words + 1) + before[own] + 1) // (words + 1)
         contexts.append(np.bincount(feature, np.bincount(pairs, minlength=words)[holder], len(names)))
         totals.append(max(1, int(own.sum())))
-    bad = (contexts[1] >= LEAST_CONTEXTS) & (contexts[1] / totals[1] >= LEAST_RATIO * (contexts[0] + 0.25) / totals[0])
+    bad = (contexts[1] >= max(LEAST_CONTEXTS, CONTEXT_SHARE * texts)) & (contexts[1] / totals[1] >= LEAST_RATIO * (contexts[0] + 0.25) / totals[0])
     return (np.bincount(holder, bad[feature], words) > 0)[tokens] & toxic
 
 
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxic
     inner = [t for t, l in zip(texts, learn, strict=True) if l]
     sizes = np.array([len(t) for t in inner], int)
     tokens, flat, owner, firm = vocabulary(inner)
-    tags = weak_labels(tokens, flat, owner, firm, np.repeat(y[learn] > 0, sizes))
+    tags = weak_labels(tokens, flat, owner, firm, np.repeat(y[learn] > 0, sizes), int(y[learn].sum()))
     weights, transitions = train_field(tokens, flat, owner, sizes, tags)
     del inner, tokens, flat, owner, firm, tags
     model = ToxicityModel(weights, transitions, np.zeros(3))
