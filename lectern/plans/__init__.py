@@ -1,0 +1,3 @@
+"""Registered queries; importing the modules registers them."""
+
+from . import text  # noqa: F401
