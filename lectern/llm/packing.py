@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,24 +34,29 @@ GROUP = 50_000
 class WordTokens:
     """Ids of words as little-endian bytes, by a tokenizer file; no token of such a file spans ASCII white space."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Two generations: a full cache becomes the older one, from which words in use come back.
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.limit = limit
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, four bytes each."""
         split = [t.split() for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
+        if len(self.known) > self.limit // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = list(set(chain.from_iterable(split)) - known.keys())
+        for word in [w for w in new if w in older]:
+            known[word] = older[word]
+        new = [w for w in new if w not in older]
         for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            known[word] = np.array(e.ids, "<u4").tobytes()
+            known[word] = array("I", e.ids).tobytes()
         end = np.array([END_ID], "<u4").tobytes()
         return [b"".join([*map(known.__getitem__, ws), end]) for ws in split]
 
