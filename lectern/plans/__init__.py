@@ -1,3 +1,4 @@
 """Registered queries; importing the modules registers them."""
 
 from . import text  # noqa: F401
+from . import voices  # noqa: F401
