@@ -91,7 +91,6 @@ def _moments(df: DataFrame) -> DataFrame:
 
 def estimates(points: DataFrame) -> DataFrame:
     """Location, factor and `scale` (of squared distances) of each stratum; points: stratum and the axes."""
-    spark = points.sparkSession
     middle = saved(points.groupBy("stratum").agg(*[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(AXES)]), "mcd-medians")
     off = points.join(sized(middle), "stratum").groupBy("stratum").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i, x in enumerate(AXES)])
     start = middle.join(off, "stratum").select("stratum", *[f"m{i}" for i in range(5)], *[(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(5) for j in range(i + 1)])
@@ -105,7 +104,6 @@ def estimates(points: DataFrame) -> DataFrame:
     near = at.join(sized(scale), "stratum").where(F.col("d") <= CHI_975 * F.col("scale"))
     now = saved(_moments(near), "mcd-last")
     at = _distance(points.join(sized(now), "stratum")).groupBy("stratum").agg((F.greatest(F.percentile_approx("d", 0.5, 2000), F.lit(CHI_MEDIAN / 2)) / CHI_MEDIAN).alias("scale"))
-    del spark
     return saved(now.join(at, "stratum"), "mcd")
 
 

@@ -10,6 +10,7 @@ get the score of a text without words; rows keep their multiplicity; further col
 from __future__ import annotations
 
 from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,8 +127,10 @@ class ToxicityModel:
     transitions: np.ndarray
     calibration: np.ndarray
 
-    def odds(self, word: bytes) -> tuple[float]:
-        return (float(np.exp(np.clip(self.weights[hashed(word)].sum(), -30, 30))),)
+    def potential(self) -> Callable[[bytes], tuple[float]]:
+        """The log odds that a word's features give it, as a function of the word."""
+        weights = self.weights.tolist()
+        return lambda word: (sum([weights[h] for h in hashed(word)]),)
 
     def probabilities(self, s: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(s @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
@@ -212,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxic
     del inner, tokens, flat, owner, firm, tags
     model = ToxicityModel(weights, transitions, np.zeros(3))
     outer = [t for t, l in zip(texts, learn, strict=True) if not l]
-    s = tagged(outer, model, Ids(model.odds, 100_000))[1]
+    s = tagged(outer, model, Ids(model.potential(), 100_000))[1]
     calibration = platt(s, y[~learn])
     rate = y[~learn].mean()
     calibration[-1] += prior - np.log(max(rate, 1e-3) / max(1 - rate, 1e-3))
@@ -222,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxic
 def tagged(texts: list[list[bytes]], model: ToxicityModel, ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(ws) for ws in texts], int)
     tokens = ids.of([w for ws in texts for w in ws])
-    e = np.array(ids.rows, float).reshape(-1)[tokens]
+    e = np.exp(np.clip(np.array(ids.rows, float).reshape(-1), -30, 30))[tokens]
     p = marginals(e, sizes, model.transitions)[2]
     ids.trim()
     return p, summaries(p, sizes), sizes
@@ -252,7 +255,9 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     def kernel(texts: list[bytes]) -> list[pa.Array]:
         model = shared.value
         words = [t.split() for t in texts]
-        p, s, sizes = tagged(words, model, state.setdefault("ids", Ids(model.odds)))
+        if "ids" not in state:
+            state["ids"] = Ids(model.potential())
+        p, s, sizes = tagged(words, model, state["ids"])
         out = model.probabilities(s)
         ends = np.cumsum(sizes)
         spans = [[dict(zip(("start", "end", "probability"), x, strict=True)) for x in spans_of(t, ws, p[b - n : b])] if top > 0 else [] for t, ws, n, b, top in zip(texts, words, sizes, ends, s[:, 0], strict=True)]
