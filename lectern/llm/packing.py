@@ -34,7 +34,7 @@ GROUP = 50_000
 class WordTokens:
     """Ids of words as little-endian bytes, by a tokenizer file; no token of such a file spans ASCII white space."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
