@@ -11,6 +11,7 @@ from .text import let, sub_map
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
 IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+#: Months and their short forms, the words before a number that make it a year, and the limits of years and quantities.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
 YEAR_CUE = r"(?i)(?:\b(?:in|since|by|from|until|till|during|around|about|circa|after|before|summer|winter|spring|autumn|year|early|late)\b(?:\s+of)?|[,–—-])\s*$"
 YEAR_MIN, YEAR_MAX, MAX_DIGITS = 1100, 2099, 4

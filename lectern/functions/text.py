@@ -16,6 +16,7 @@ ABBREVIATIONS = {
 #: Capitals that stay, and words that become small inside a run of capitals.
 KEEP_UPPER = ["OK", "TV", "UK", "US", "USA", "BBC", "DVD", "NASA", "AM", "PM"]
 SMALL_WORDS = ["and", "of", "the", "in", "for", "to", "a", "an", "on", "at"]
+#: Shortest single word that is restyled, the pattern of words, and the values of roman numerals.
 MIN_CAPS = 5
 CAPS_WORD = "[A-Za-z][A-Za-z'’]*"
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}

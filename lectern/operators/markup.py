@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
+#: Fixed value: shortest text of a chapter.
 MIN_CHAPTER = 200
 #: Elements that are dropped, block elements, and elements that end a block.
 DROPPED = "script|style|sup|table|figure|nav"
@@ -15,6 +16,7 @@ BORDERS = BLOCKS + "|article|div|footer|body|ul"
 #: Titles of front matter.
 FRONT_MATTER = r"(?i)^(cover|title\s*page|copyright|contents|table of contents|dedication|colophon|also by|about the author|other books)"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+#: Fixed value: a title that names its author.
 TITLE_BY_AUTHOR = r"(?i)^(.{2,}?)\s+by\s+(.{2,})$"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .lexicon import small
 
+#: Limits of the tempo, and the words a minute aimed at.
 MIN_TEMPO, MAX_TEMPO, TARGET_WPM = 0.75, 1.35, 160.0
 #: Seconds of silence after a break of each kind, and after an announced title.
 GAPS = {"clause": 0.25, "sentence": 0.3, "paragraph": 1.9}

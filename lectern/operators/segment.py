@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let, strip
 
+#: Lengths of chunks and previews, and the patterns of sentence ends, clause ends and names.
 MAX_CHUNK, PREVIEW = 450, 500
 SENTENCE_END = "((?<=[.!?…])[\"'”’)\\]]*\\s+)(?=[\"'“‘(\\[]*[A-Z0-9])"
 CLAUSE_END = r"(?<=[,;:])\s+"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .lexicon import small
 
+#: Level of silence, seconds kept at an edge, and the shortest pause in seconds.
 THRESHOLD, MARGIN_S, SHORTEST_S = 0.01, 0.14, 0.09
 #: Levels in dB that a finished book must have.
 RMS_LOW, RMS_HIGH, PEAK_HIGH = -23.0, -18.0, -3.0
