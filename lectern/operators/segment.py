@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, strip
@@ -80,22 +80,39 @@ def _sentence_chunks(c: Column, limit: int) -> Column:
     return F.flatten(F.transform(sentence_array(c), lambda s: F.when(F.length(s) <= limit, one(s)).otherwise(_packed(_atoms(clause_array(s), "clause"), limit))))
 
 
+def chunk_array(text: Column, sep: str = "\n\n", max_chars: int = MAX_CHUNK, unit: str = "paragraph", strict: bool = False) -> Column:
+    """All chunks of a text in order, as structs (text, kind); kind is the break after the chunk."""
+    paras = F.filter(F.transform(F.split(text, sep, -1), strip), lambda p: p != "")
+
+    def closed(cs: Column) -> Column:
+        return F.transform(cs, lambda c, i: F.struct(c["text"].alias("text"), F.when(i == F.size(cs) - 1, "paragraph").otherwise(c["kind"]).alias("kind")))
+
+    def packed(p: Column) -> Column:
+        return let(_paragraph_chunks(p, max_chars, strict) if unit == "paragraph" else _sentence_chunks(p, max_chars), closed)
+
+    return F.flatten(F.transform(paras, packed))
+
+
+def _exploded(df: DataFrame, key: str, found: Column) -> DataFrame:
+    out = df.select(key, F.posexplode(found).alias("chunk_index", "c"))
+    return out.select(key, "chunk_index", F.col("c.text").alias("text"), F.col("c.kind").alias("kind"), F.length("c.text").alias("n_chars"))
+
+
 def chunks(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\n\n", max_chars: int = MAX_CHUNK, unit: str = "paragraph", strict: bool = False) -> DataFrame:
-    """(key, chunk_index, text, kind, n_chars) of all chunks; kind is the break after the chunk. Folds stay inside a row."""
-    found = paragraphs(df, key, text, sep)
-    packed = _paragraph_chunks(F.col("paragraph"), max_chars, strict) if unit == "paragraph" else _sentence_chunks(F.col("paragraph"), max_chars)
-    found = found.select(key, "para", packed.alias("cs"))
-    found = found.select(key, "para", F.posexplode("cs").alias("i", "c"), F.size("cs").alias("n"))
-    kind = F.when(F.col("i") == F.col("n") - 1, "paragraph").otherwise(F.col("c.kind"))
-    index = F.row_number().over(Window.partitionBy(key).orderBy("para", "i")) - 1
-    return found.select(key, index.alias("chunk_index"), F.col("c.text").alias("text"), kind.alias("kind"), F.length("c.text").alias("n_chars"))
+    """(key, chunk_index, text, kind, n_chars) of all chunks. Folds and numbering stay inside a row: nothing is shuffled."""
+    return _exploded(df, key, chunk_array(F.col(text), sep, max_chars, unit, strict))
 
 
 def preview_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\n\n", max_chars: int = PREVIEW, unit: str = "paragraph") -> DataFrame:
     """The first chunks of each text whose lengths, with a space each, stay in the budget; the first one always."""
-    w = Window.partitionBy(key).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
-    out = chunks(df, key, text, sep, min(MAX_CHUNK, max_chars), unit).withColumn("running", F.sum(F.col("n_chars") + 1).over(w))
-    return out.where((F.col("running") <= max_chars) | (F.col("chunk_index") == 0))
+
+    def within(cs: Column) -> Column:
+        running = lambda i: F.aggregate(F.slice(cs, 1, i + 1), F.lit(0), lambda a, c: a + F.length(c["text"]) + 1)
+        return F.filter(cs, lambda c, i: (i == 0) | (running(i) <= max_chars))
+
+    # A chunk has at least one character, so that no more than these can fit.
+    first = F.slice(chunk_array(F.col(text), sep, min(MAX_CHUNK, max_chars), unit), 1, max_chars // 2 + 1)
+    return _exploded(df, key, let(first, within))
 
 
 def preview_sample(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\n\n", max_chars: int = PREVIEW) -> DataFrame:
@@ -107,6 +124,6 @@ def preview_sample(df: DataFrame, key: str = "doc_id", text: str = "text", sep:
 
 
 def announced(found: DataFrame, titles: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Chunks with the title before them as a chunk of its own, numbered anew. titles: (key, title)."""
-    head = titles.select(key, F.lit(-1).alias("chunk_index"), F.concat("title", F.lit(".")).alias("text"), F.lit("paragraph").alias("kind"), (F.length("title") + 1).alias("n_chars"))
-    return head.unionByName(found).withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("chunk_index")) - 1)
+    """Chunks with the title before them as a chunk of its own, numbered anew. titles: (key, title), one for each key of the chunks."""
+    head = titles.select(key, F.lit(0).alias("chunk_index"), F.concat("title", F.lit(".")).alias("text"), F.lit("paragraph").alias("kind"), (F.length("title") + 1).alias("n_chars"))
+    return head.unionByName(found.withColumn("chunk_index", F.col("chunk_index") + 1))

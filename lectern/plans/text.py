@@ -292,7 +292,7 @@ _PREVIEW = "SELECT * EXCLUDE (running) FROM (SELECT *, sum(n_chars + 1) OVER (PA
 
 @register("preview_chunks", chunk_sql(450) + _PREVIEW)
 def preview_chunks(spark, d):
-    return S.preview_chunks(docs(spark, d), sep="\n").drop("running")
+    return S.preview_chunks(docs(spark, d), sep="\n")
 
 
 @register("preview_sample", chunk_sql(450) + f"SELECT doc_id, coalesce(nullif(s, ''), left(text, 500)) AS sample FROM documents LEFT JOIN (SELECT doc_id, string_agg(text, ' ' ORDER BY chunk_index) AS s FROM ({_PREVIEW}) GROUP BY doc_id) USING (doc_id)")
