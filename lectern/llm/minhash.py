@@ -102,8 +102,8 @@ def _spread(values: list, at: list[int], n: int) -> list:
     return out
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets are similar enough. Only documents of a pair are read into sets."""
+def confirmed(docs: DataFrame, pairs: DataFrame, name: str, percent: int = PERCENT) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose full sets have a Jaccard similarity of `percent` or more. Only documents of a pair are read into sets."""
     bounded_batches(docs.sparkSession)
     pairs = saved(pairs.select("a", "b").distinct(), f"{name}-pairs")
     wanted = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
@@ -120,10 +120,10 @@ def confirmed(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
-    return saved(both.where(f"100L * common >= {PERCENT}L * (total - common)").select("a", "b").distinct(), f"{name}-links")
+    return saved(both.where(f"100L * common >= {percent}L * (total - common)").select("a", "b").distinct(), f"{name}-links")
 
 
-def near_in_blocks(members: DataFrame) -> DataFrame:
+def near_in_blocks(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of members (key, id, n, sketch, root, g) of a key with different roots, but for those that a bound excludes.
 
     A key with g members is dealt over blocks of BLOCK; a pair of blocks is one group of at most about 2 * BLOCK rows.
@@ -158,7 +158,7 @@ def near_in_blocks(members: DataFrame) -> DataFrame:
                 f = first[at : at + 64]
                 differ = np.bitwise_count(sketch[f][:, None] ^ sketch[second][None]).sum(axis=2, dtype=np.int64)
                 total = n[f][:, None] + n[second][None]
-                near = ((100 + PERCENT) * differ <= (100 - PERCENT) * total) & (root[f][:, None] != root[second][None])
+                near = ((100 + percent) * differ <= (100 - percent) * total) & (root[f][:, None] != root[second][None])
                 if i[0] == j[0]:
                     near &= ids[f][:, None] < ids[second][None]
                 x, y = np.nonzero(near)
@@ -178,8 +178,8 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; sets are linked from a Jaccard similarity of `percent`."""
     rows = saved(sketched(docs.select("doc_id", "text")), "minhash-rows")
     usable = rows.where("n > 0 and doc_id is not null")
     # One representative of each distinct set: the smallest id (what goes with it is equal for equal sets).
@@ -193,14 +193,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     inside = saved(buckets.join(shared, "key"), "minhash-members")
     sizes = reps.select(F.col("id").alias("a"), F.col("n").alias("m"))
     stars = inside.where("id <> a").select("a", F.col("id").alias("b"), "n").distinct().join(sizes, "a")
-    links = confirmed(docs, stars.where(f"100L * least(n, m) >= {PERCENT}L * greatest(n, m)"), "minhash-star")
+    links = confirmed(docs, stars.where(f"100L * least(n, m) >= {percent}L * greatest(n, m)"), "minhash-star", percent)
     roots = components(links, "minhash-star")
     placed = inside.where("g > 2 and id <> a").select("key", "id", "g").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     rest = placed.join(mixed_keys, "key", "left_semi").join(reps.select("id", "n", "sketch"), "id")
-    more = saved(near_in_blocks(rest.select("key", "id", "n", "sketch", "root", "g")).distinct(), "minhash-rest")
+    more = saved(near_in_blocks(rest.select("key", "id", "n", "sketch", "root", "g"), percent).distinct(), "minhash-rest")
     if not more.isEmpty():
-        roots = components(links.unionByName(confirmed(docs, more, "minhash-rest")), "minhash-all")
+        roots = components(links.unionByName(confirmed(docs, more, "minhash-rest", percent)), "minhash-all")
     place = classes.join(roots, "id", "left").select("f1", "f2", F.coalesce("root", "id").alias("component_id"))
     lone = rows.where("f1 is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     linked = usable.select("doc_id", "n", "f1", "f2").join(place, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

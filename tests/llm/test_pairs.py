@@ -209,3 +209,14 @@ def test_integral_image_equals_plain_sums():
     a, b = wide[: w // 2, y : y + h].sum(), wide[w // 2 : w, y : y + h].sum()
     bits = chroma.GRAY[np.searchsorted(chroma.BORDERS, np.log((1 + a) / (1 + b)))]
     assert kind == 0 and chroma.fingerprint(chroma.melody(np.linspace(-0.4, 0.4, 64).tolist()))[0] >> 30 == bits
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_at_other_similarities(spark, percent):
+    rng = random.Random(9)
+    base = [rng.choices(WORDS, k=100) for _ in range(12)]
+    # A changed word in the middle takes five shingles of 96 with it: 91/101, 86/106 and 81/111 for one, two and three words.
+    rows = [(3 * k + j, " ".join("new" if i in (10, 40, 70)[:n] else w for i, w in enumerate(ws))) for k, ws in enumerate(base) for j, n in enumerate((0, 1 + k % 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: i - 1 if i % 3 == 1 and {0: 91 / 101, 1: 86 / 106, 2: 81 / 111}[i // 3 % 3] >= percent / 100 else i for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent).collect()} == want
