@@ -2,9 +2,11 @@
 
 Samples become frames of energy by pitch class; sums over any rectangle of (frame, class) come from an integral image in four
 look-ups; FILTERS differences of such sums, two bits each, make one integer for each frame. Recordings with equal
-fingerprints are one class. Queries are aligned with classes by equal integers: the offset that most of them agree on wins,
-and the share of differing bits over the whole overlap at that offset confirms it. Only class representatives are compared,
-and the votes are partial aggregates; recordings are never paired without a common integer.
+fingerprints are one class. Every query is compared with every class at every offset where LEAST_OVERLAP integers or more
+meet, and matches at the offset with the least share of differing bits. Noise spares few whole integers, and parts of them short
+enough to be spared are common to all recordings, so that no index leaves out what need not be compared. The comparison is
+exact (a correlation of bits, by Fourier transform) and goes by blocks of queries and of classes. Shorter overlaps could meet
+by chance: there equal integers have to vote for the offset. Only class representatives are compared.
 
 A null or too short recording has an empty fingerprint, is in no class with others and matches nothing. Rows that share
 an id are aligned each; a null id is kept without a class.
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bounded_batches, saved
 
 RATE, FRAME, HOP = 4000, 1024, 256
 LOWEST, HIGHEST = 110.0, 1760.0
@@ -29,6 +31,10 @@ FILTERS = [(k % 4, 5 * k % 12, 2 + k % 5 if k % 5 != 4 else 12, (4, 8, 12, 16)[k
 #: Two bits each by three fixed borders, in Gray code.
 BORDERS, GRAY = np.array([-0.25, 0.0, 0.25]), np.array([0, 1, 3, 2], np.uint32)
 LEAST_VOTES, LARGEST_ERROR = 3, 0.25
+#: Integers of an overlap that is compared without votes. Those SPAN apart share no frame.
+LEAST_OVERLAP = SPAN
+#: Queries and classes that meet in a group of the comparison, and numbers that it holds at once.
+QUERIES_TOGETHER, CLASSES_TOGETHER, HELD = 256, 4096, 1 << 22
 #: Notes of the recordings that the query derives from vectors: length in samples, lowest note, and range in semitones.
 NOTE, ROOT, RANGE = 256, 220.0, 24
 
@@ -109,6 +115,93 @@ def fingerprints(recordings: DataFrame, rec_id: str, audio: str, decode: Callabl
     return recordings.select(F.col(rec_id).cast("long").alias("rec_id"), F.col(audio)).mapInArrow(run, "rec_id long, prints array<long>")
 
 
+def _spectra(prints: list[np.ndarray], size: int) -> np.ndarray:
+    """(frequencies, prints, 32): transforms of the bits as +1 and -1, nothing beyond the end; sums of them are whole numbers."""
+    bits = np.zeros((len(prints), 32, size), np.float32 if size <= 4096 else np.float64)
+    for k, p in enumerate(prints):
+        bits[k, :, : len(p)] = 1.0 - 2.0 * ((p >> np.arange(32)[:, None]) & 1)
+    return np.ascontiguousarray(np.fft.rfft(bits).transpose(2, 0, 1))
+
+
+def closest(asked: list[np.ndarray], others: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, float]]:
+    """(place in asked, place in others, offset, equal integers, share of differing bits) of the pairs within LARGEST_ERROR.
+
+    The offset is the one with the least share of all that leave LEAST_OVERLAP integers, then the one next to zero.
+    """
+
+    def by_size(prints):  # recordings of one power of two are transformed together
+        out = {}
+        for k, p in enumerate(prints):
+            if len(p) >= LEAST_OVERLAP:
+                out.setdefault(1 << (len(p) - 1).bit_length(), []).append(k)
+        return out.items()
+
+    def lengths(prints, some):
+        n = np.array([len(prints[k]) for k in some])
+        return n[:1] if (n == n[0]).all() else n
+
+    for wide, qs in by_size(asked):
+        for high, cs in by_size(others):
+            size = wide + high
+            most = max(1, HELD // (32 * size))
+            for q in (qs[k : k + most] for k in range(0, len(qs), most)):
+                left, few = _spectra([asked[k] for k in q], size).conj(), max(1, min(most, HELD // (size * len(q))))
+                for c in (cs[k : k + few] for k in range(0, len(cs), few)):
+                    same = np.fft.irfft(left @ _spectra([others[k] for k in c], size).transpose(0, 2, 1), size, axis=0)
+                    offset = np.arange(size)
+                    offset[high:] -= size
+                    o, a, b = offset[:, None, None], lengths(asked, q)[None, :, None], lengths(others, c)[None, None]
+                    n = np.minimum(a, b - o) - np.maximum(0, -o)
+                    need = np.where(n >= LEAST_OVERLAP, 32 * n * (1 - 2 * LARGEST_ERROR) - 0.5, np.inf).astype(same.dtype)
+                    at, i, j = np.nonzero(same >= need)
+                    overlap = np.broadcast_to(n, same.shape)[at, i, j]
+                    error = (32 * overlap - np.rint(same[at, i, j].astype(float))) / (64.0 * overlap)
+                    order = np.lexsort((-offset[at], np.abs(offset[at]), error, j, i))
+                    first = np.ones(len(order), bool)
+                    first[1:] = (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+                    for k in order[first]:
+                        x, y, d = asked[q[i[k]]], others[c[j[k]]], int(offset[at[k]])
+                        m = int(overlap[k])
+                        votes = int((x[max(0, -d) :][:m] == y[max(0, d) :][:m]).sum())
+                        yield q[i[k]], c[j[k]], d, votes, float(error[k])
+
+
+def compared(reps: DataFrame) -> DataFrame:
+    """(q, class_id, offset, votes, bit_error) of classes (class_id, prints, asked): every asked one against all others."""
+    bounded_batches(reps.sparkSession)
+    n, n_asked = reps.agg(F.count("*"), F.coalesce(F.sum("asked"), F.lit(0))).first()
+    blocks, cells = -(-n_asked // QUERIES_TOGETHER), max(1, -(-n // CLASSES_TOGETHER))
+    if not blocks:
+        return reps.sparkSession.createDataFrame([], "q long, class_id long, offset int, votes long, bit_error double")
+    place, upto = F.xxhash64("class_id"), lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    asked = reps.where("asked = 1").select(F.pmod(place, F.lit(blocks)).cast("int").alias("block"), upto(cells).alias("cell"), F.lit(0).alias("side"), "class_id", "prints")
+    others = reps.select(upto(blocks).alias("block"), F.pmod(place, F.lit(cells)).cast("int").alias("cell"), F.lit(1).alias("side"), "class_id", "prints")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, held = None, [], []
+        for b in batches:
+            keys = np.stack([b.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), b.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                if at == end:
+                    continue
+                block, cell, side = keys[at].tolist()
+                if group != (block, cell):
+                    group, ids, held = (block, cell), [], []
+                own = b.column(3)[at:end].to_pylist()
+                prints = [x.values.to_numpy() for x in b.column(4)[at:end]]
+                if side == 0:
+                    ids += own
+                    held += [x.copy() for x in prints]
+                    continue
+                found = [(ids[i], own[j], *rest) for i, j, *rest in closest(held, prints) if ids[i] != own[j]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["q", "class_id", "offset", "votes", "bit_error"])
+
+    dealt = asked.unionByName(others).repartition(blocks * cells, "block", "cell").sortWithinPartitions("block", "cell", "side")
+    return dealt.mapInArrow(run, "q long, class_id long, offset int, votes long, bit_error double")
+
+
 def aligned(prints: DataFrame, queries) -> DataFrame:
     """Classes and alignments, as rows (kind, rec_id, class_id, offset, votes, bit_error).
 
@@ -123,15 +216,18 @@ def aligned(prints: DataFrame, queries) -> DataFrame:
     alone = rows.where("size(prints) = 0 or rec_id is null").select("rec_id", F.col("rec_id").alias("class_id"))
     reps = usable.withColumnRenamed("rec_id", "class_id").join(classes, ["key", "class_id"]).dropDuplicates(["key"])
     reps = saved(reps.select("class_id", "prints", "asked"), "chroma-reps")
-    places = reps.select("class_id", F.posexplode("prints").alias("at", "code"))
-    asked = reps.where("asked = 1").select(F.col("class_id").alias("q"), F.posexplode("prints").alias("q_at", "code"))
-    votes = asked.join(places, "code").where("q <> class_id").groupBy("q", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.where(f"votes >= {LEAST_VOTES}").groupBy("q", "class_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "class_id", "b.offset", "b.votes")
-    both = best.join(reps.select(F.col("class_id").alias("q"), F.col("prints").alias("x")), "q").join(reps.select("class_id", F.col("prints").alias("y")), "class_id")
+    near = saved(compared(reps), "chroma-near")
+    places = reps.select("class_id", F.size("prints").alias("c_n"), F.posexplode("prints").alias("at", "code"))
+    asked = reps.where("asked = 1").select(F.col("class_id").alias("q"), F.size("prints").alias("q_n"), F.posexplode("prints").alias("q_at", "code"))
     lead, lag = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    both = both.withColumn("n", F.least(F.size("x") - lag, F.size("y") - lead)).withColumn("x", F.slice("x", lag + 1, F.col("n"))).withColumn("y", F.slice("y", lead + 1, F.col("n")))
+    votes = asked.join(places, "code").where("q <> class_id").withColumn("offset", F.col("at") - F.col("q_at")).withColumn("n", F.least(F.col("q_n") - lag, F.col("c_n") - lead))
+    votes = votes.where(f"n < {LEAST_OVERLAP}").groupBy("q", "class_id", "offset", "n").agg(F.count("*").alias("votes")).where(f"votes >= {LEAST_VOTES}").join(near.select("q", "class_id"), ["q", "class_id"], "left_anti")
+    both = votes.join(reps.select(F.col("class_id").alias("q"), F.col("prints").alias("x")), "q").join(reps.select("class_id", F.col("prints").alias("y")), "class_id")
+    both = both.withColumn("x", F.slice("x", lag + 1, F.col("n"))).withColumn("y", F.slice("y", lead + 1, F.col("n")))
     errors = F.expr("aggregate(zip_with(x, y, (a, b) -> bit_count(a ^ b)), 0L, (s, z) -> s + z) / (32.0D * n)")
-    matches = both.withColumn("bit_error", errors).where(F.col("bit_error") <= LARGEST_ERROR)
+    short = both.withColumn("bit_error", errors).where(F.col("bit_error") <= LARGEST_ERROR)
+    short = short.groupBy("q", "class_id").agg(F.max(F.struct((-F.col("bit_error")).alias("e"), "votes", (-F.abs("offset")).alias("near"), "offset", "bit_error")).alias("b"))
+    matches = near.unionByName(short.select("q", "class_id", F.col("b.offset").cast("int").alias("offset"), "b.votes", "b.bit_error"))
     nothing = [F.lit(None).cast("int").alias("offset"), F.lit(None).cast("long").alias("votes"), F.lit(None).cast("double").alias("bit_error")]
     own = members.unionByName(alone).select(F.lit("member").alias("kind"), "rec_id", "class_id", *nothing)
     return own.unionByName(matches.select(F.lit("match").alias("kind"), F.col("q").alias("rec_id"), "class_id", F.col("offset").cast("int").alias("offset"), "votes", "bit_error"))

@@ -220,3 +220,52 @@ def test_near_duplicates_at_other_similarities(spark, percent):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = {i: i - 1 if i % 3 == 1 and {0: 91 / 101, 1: 86 / 106, 2: 81 / 111}[i // 3 % 3] >= percent / 100 else i for i, _ in rows}
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent).collect()} == want
+
+
+def brute_alignments(asked, others):
+    """The least share of differing bits, with its offset, over all offsets that leave LEAST_OVERLAP integers."""
+    out = {}
+    for q, x in asked.items():
+        for c, y in others.items():
+            found = []
+            for o in range(1 - len(x), len(y)):
+                a, b = x[max(0, -o) :], y[max(0, o) :]
+                n = min(len(a), len(b))
+                if n >= chroma.LEAST_OVERLAP and q != c:
+                    found.append((float(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n), abs(o), -o, int((a[:n] == b[:n]).sum())))
+            if found and min(found)[0] <= chroma.LARGEST_ERROR:
+                e, _, o, votes = min(found)
+                out[q, c] = (-o, votes, e)
+    return out
+
+
+def noisy_songs(decibels, n=40):
+    rng = np.random.default_rng(8)
+    songs = {k: chroma.melody(rng.normal(0, 0.2, 64 if k % 3 else 90).tolist()) for k in range(1, n)}
+    for k in list(songs):
+        part = songs[k][5 * chroma.HOP * (k % 4) :]
+        songs[100 * k] = part + rng.normal(size=len(part)) * np.sqrt(np.mean(part**2) / 10 ** (decibels / 10))
+    return {k: (np.clip(x / 6, -1, 1) * 30000).astype("<i2").tobytes() for k, x in songs.items()}
+
+
+@pytest.mark.parametrize("decibels", [5, 0, -3])
+def test_noisy_recordings_equal_brute_force(spark, decibels):
+    songs = noisy_songs(decibels)
+    prints = {k: chroma.fingerprint(chroma.pcm16(x)) for k, x in songs.items()}
+    want = brute_alignments({k: p for k, p in prints.items() if k % 100 == 0}, prints)
+    rows = spark.createDataFrame([(k, x) for k, x in songs.items()], "id long, audio binary")
+    out = chroma.aligned(chroma.fingerprints(rows, "id", "audio"), F.col("rec_id") % 100 == 0).where("kind = 'match'").collect()
+    got = {(r.rec_id, r.class_id): (r.offset, r.votes, r.bit_error) for r in out}
+    assert {k: v for k, v in got.items() if k in want} == want  # others have short overlaps, found by votes
+    assert sum(got.get((100 * k, k), (None,))[0] == 5 * (k % 4) for k in range(1, 40)) >= (39 if decibels >= 0 else 35)
+
+
+def test_comparison_at_all_offsets_in_small_pieces(monkeypatch):
+    prints = {k: chroma.fingerprint(chroma.pcm16(x)) for k, x in noisy_songs(0, 12).items()}
+    prints[5000] = np.concatenate([prints[1], prints[2]] * 60)  # one beyond single precision
+    prints[5001] = prints[1][:15]
+    ids = list(prints)
+    for held in (1 << 22, 1 << 14, 1):
+        monkeypatch.setattr(chroma, "HELD", held)
+        found = {(ids[i], ids[j]): rest for i, j, *rest in chroma.closest(list(prints.values()), list(prints.values())) if i != j}
+        assert {k: tuple(v) for k, v in found.items()} == brute_alignments(prints, prints)
