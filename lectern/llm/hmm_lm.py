@@ -2,9 +2,9 @@
 
 Tokens are counted over all training documents. Every token with at least 1/HOT of all occurrences is a symbol of its own
 (there are at most HOT of them), all others share CLASSES symbols by ending and length, and have their counts, smoothed,
-inside the class: the model gives every text a proper probability. Baum-Welch starts on a bounded sample, then its expected
-counts are summed over the partitions of all training documents, FULL_PASSES times (there in segments of SEGMENT tokens);
-scores come from the scaled forward recursion over each whole text. Counts of rare tokens never leave the executors: their
+inside the class: the model gives every text a proper probability. Baum-Welch starts from the unigram shares; every pass sums
+expected counts over the partitions of all training documents, each a whole chain, until a pass gains less than SETTLED of the
+log-likelihood (windows of WINDOW tokens bound the memory, their borders are exact); scores come from the scaled forward recursion over each whole text. Counts of rare tokens never leave the executors: their
 share of a text's score is a join by token, in which no key has more than 1/HOT of the rows.
 
 Null and empty texts consist of the end token. Rows with a null doc_id are trained on; repeated rows count and are scored each.
@@ -27,7 +27,7 @@ from .bpe import slices
 from .common import Ids, bounded_batches, remainder, saved, text_bytes
 
 HOT, CLASSES, STATES = 50_000, 1024, 8
-SEGMENT, SAMPLE_ROWS, SAMPLE_PASSES, FULL_PASSES = 128, 1500, 16, 2
+WINDOW, SETTLED = 4096, 1e-4
 #: The end token; no word is empty.
 END = b""
 _EXPECTED = "symbol int, " + ", ".join(f"s{k} double" for k in range(STATES))
@@ -131,40 +131,57 @@ class HiddenMarkov:
     emit: np.ndarray  # by symbol and state
 
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts (start, step, emit) of texts, in segments of at most SEGMENT tokens."""
-        parts = sorted((t[i : i + SEGMENT] for t in texts for i in range(0, len(t), SEGMENT)), key=len, reverse=True)
-        sizes = np.array([len(p) for p in parts])
+        """Baum-Welch counts (start, step, emit) of whole texts."""
+        return self.counts(texts)[:3]
+
+    def counts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The expected counts and the log-likelihood. Beyond WINDOW tokens the forward values are kept at borders and found again."""
+        parts = sorted(texts, key=len, reverse=True)
+        sizes = np.array([len(p) for p in parts], np.int64)
         longest = int(sizes[0]) if len(sizes) else 0
-        live = [int(np.searchsorted(-sizes, -k, side="left")) for k in range(longest)]  # segments with more than k tokens
-        flat = np.zeros((longest, len(parts)), np.int32)
-        for k, p in enumerate(parts):
-            flat[: len(p), k] = p
-        step = self.step
-        alpha, scale = [], []
-        for k in range(longest):
-            e = self.emit[flat[k, : live[k]]]
-            a = (alpha[-1][: live[k]] @ step if k else self.start) * e
-            c = a.sum(axis=1, keepdims=True)
-            alpha.append(a / c)
-            scale.append(c)
+        live = np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()  # texts with more than k tokens
+        flat, base = np.concatenate([*parts, np.zeros(0, np.int32)]), np.cumsum(sizes) - sizes
+        step, log = self.step, 0.0
+
+        def forward(a: np.ndarray | None, first: int, end: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+            alpha, scale = [], []
+            for k in range(first, end):
+                a = (a[: live[k]] @ step if k else self.start) * self.emit[flat[base[: live[k]] + k]]
+                c = a.sum(axis=1, keepdims=True)
+                a = a / c
+                alpha.append(a)
+                scale.append(c)
+            return alpha, scale
+
+        borders = list(range(0, longest, WINDOW))
+        before: list[np.ndarray | None] = [None]
+        for at in borders:
+            alpha, scale = forward(before[-1], at, min(longest, at + WINDOW))
+            before.append(alpha[-1])
+            log += sum(float(np.log(c).sum()) for c in scale)
         start, moves, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(self.emit), STATES))
         beta = np.ones((len(parts), STATES))
-        gammas = []
-        for k in range(longest - 1, -1, -1):
-            n = live[k]
-            g = alpha[k] * beta[:n]
-            g /= g.sum(axis=1, keepdims=True)
-            gammas.append(g)
-            if k:
-                back = self.emit[flat[k, :n]] * beta[:n] / scale[k]
-                moves += step * (alpha[k - 1][:n].T @ back)
-                beta[:n] = back @ step.T
-        if gammas:
-            start += gammas[-1].sum(axis=0)
-            seen = np.concatenate([flat[k, : live[k]] for k in range(longest - 1, -1, -1)])
-            g = np.concatenate(gammas)
-            emit = np.column_stack([np.bincount(seen, g[:, j], len(self.emit)) for j in range(STATES)])
-        return start, moves, emit
+        for w in range(len(borders) - 1, -1, -1):
+            at, end = borders[w], min(longest, borders[w] + WINDOW)
+            if w < len(borders) - 1:
+                alpha, scale = forward(before[w], at, end)
+            seen, gammas = [], []
+            for k in range(end - 1, at - 1, -1):
+                n = live[k]
+                g = alpha[k - at] * beta[:n]
+                g /= g.sum(axis=1, keepdims=True)
+                symbols = flat[base[:n] + k]
+                seen.append(symbols)
+                gammas.append(g)
+                if k:
+                    back = self.emit[symbols] * beta[:n] / scale[k - at]
+                    moves += step * ((alpha[k - 1 - at] if k > at else before[w])[:n].T @ back)
+                    beta[:n] = back @ step.T
+            if not at:
+                start += gammas[-1].sum(axis=0)
+            symbols, g = np.concatenate(seen), np.concatenate(gammas)
+            emit += np.column_stack([np.bincount(symbols, g[:, j], len(self.emit)) for j in range(STATES)])
+        return start, moves, emit, log
 
     def likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
         """Log10 probability of the symbols of each whole text, by the scaled forward recursion."""
@@ -198,21 +215,13 @@ def _symbols(column: pa.Array) -> list[np.ndarray]:
 
 
 def trained(rows: DataFrame, words: Lexicon) -> HiddenMarkov:
-    """Baum-Welch over all training rows of `encoded`."""
+    """Baum-Welch over all training rows of `encoded`, until the likelihood settles."""
     spark, share = rows.sparkSession, words.share
-    train = rows.where("not held_out").select("symbols", "row")
-    # About twice as many rows as wanted pass a filter first, so that no task meets more than that.
-    place = F.xxhash64("row")
-    share_kept = min(1.0, 2 * SAMPLE_ROWS / max(1, train.count()))
-    some = train.where(F.pmod(place, F.lit(1 << 20)) < share_kept * (1 << 20)).orderBy(place).limit(SAMPLE_ROWS).select("symbols").toArrow()
-    train = train.select("symbols")
-    sample = _symbols(some["symbols"].combine_chunks()) if some.num_rows else []
-    rng = np.random.default_rng(4)
-    noise = rng.gamma(1.0, size=(len(share), STATES))
+    train = rows.where("not held_out").select("symbols")
+    noise = np.random.default_rng(4).gamma(1.0, size=(len(share), STATES))
     model = HiddenMarkov(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES), (e := share[:, None] * noise) / e.sum(axis=0))
-    for _ in range(SAMPLE_PASSES if sample else 0):
-        model = updated(*model.expected(sample), share, 200.0)
-    for _ in range(FULL_PASSES):
+    was = -np.inf
+    while True:
         shared = spark.sparkContext.broadcast(model)  # HOT + CLASSES rows of STATES numbers at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -223,27 +232,32 @@ def trained(rows: DataFrame, words: Lexicon) -> HiddenMarkov:
                     held.append(t)
                     size += len(t)
                     if size > 400_000:
-                        sums, held, size = _added(sums, m.expected(held)), [], 0
+                        sums, held, size = _added(sums, m.counts(held)), [], 0
             if held:
-                sums = _added(sums, m.expected(held))
+                sums = _added(sums, m.counts(held))
             if sums is not None:
-                start, moves, emit = sums
-                numbers = np.concatenate([[-1], np.arange(-1 - STATES, -1), np.flatnonzero(emit.sum(axis=1))]).astype(np.int32)
-                values = np.concatenate([start[None], moves, emit[numbers[1 + STATES :]]])
+                start, moves, emit, log = sums
+                numbers = np.concatenate([[-2 - STATES, -1], np.arange(-1 - STATES, -1), np.flatnonzero(emit.sum(axis=1))]).astype(np.int32)
+                values = np.concatenate([np.full((1, STATES), log), start[None], moves, emit[numbers[2 + STATES :]]])
                 yield pa.RecordBatch.from_arrays([pa.array(numbers), *[pa.array(values[:, k]) for k in range(STATES)]], names=["symbol", *[f"s{k}" for k in range(STATES)]])
 
         sums = train.mapInArrow(run, _EXPECTED).groupBy("symbol").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]).toArrow()
+        shared.destroy()
         numbers = sums["symbol"].to_numpy()
         values = np.column_stack([sums[f"s{k}"].to_numpy() for k in range(STATES)])
-        start, moves, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(share), STATES))
+        start, moves, emit, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(share), STATES)), 0.0
         emit[numbers[numbers >= 0]] = values[numbers >= 0]
         for n, v in zip(numbers[numbers < 0], values[numbers < 0], strict=True):
             if n == -1:
                 start = v
+            elif n == -2 - STATES:
+                log = float(v[0])
             else:
                 moves[n + 1 + STATES] = v
         model = updated(start, moves, emit, share, 200.0)
-    return model
+        if log - was <= SETTLED * abs(log):
+            return model
+        was = log
 
 
 def _added(a, b):

@@ -269,3 +269,44 @@ def test_comparison_at_all_offsets_in_small_pieces(monkeypatch):
         monkeypatch.setattr(chroma, "HELD", held)
         found = {(ids[i], ids[j]): rest for i, j, *rest in chroma.closest(list(prints.values()), list(prints.values())) if i != j}
         assert {k: tuple(v) for k, v in found.items()} == brute_alignments(prints, prints)
+
+
+def test_expected_counts_cross_windows(monkeypatch):
+    rng = np.random.default_rng(5)
+    k, m = hmm_lm.STATES, 6
+    model = hmm_lm.HiddenMarkov((s := rng.random(k)) / s.sum(), (a := rng.random((k, k))) / a.sum(axis=1, keepdims=True), (e := rng.random((m, k))) / e.sum(axis=0))
+    texts = [rng.integers(0, m, n).astype(np.int32) for n in (3, 1, 300, 64, 129)]
+    start, moves, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros((m, k)), 0.0
+    for t in texts:
+        alpha, beta = [model.start * model.emit[t[0]]], [np.ones(k)]
+        for x in t[1:]:
+            alpha.append(alpha[-1] @ model.step * model.emit[x])
+        for x in t[:0:-1]:
+            beta.append(model.step @ (model.emit[x] * beta[-1]))
+        beta.reverse()
+        p = alpha[-1].sum()
+        log += math.log(p)
+        start += alpha[0] * beta[0] / p
+        for i, x in enumerate(t):
+            emit[x] += alpha[i] * beta[i] / p
+            if i:
+                moves += alpha[i - 1][:, None] * model.step * (model.emit[x] * beta[i])[None] / p
+    for window in (4096, 64):
+        monkeypatch.setattr(hmm_lm, "WINDOW", window)
+        for got, want in zip(model.counts(texts), (start, moves, emit, log)):
+            assert np.allclose(got, want)
+
+
+def test_training_goes_over_all_rows_until_it_settles(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(WORDS[:30] if k % 2 else WORDS[30:60], k=12)), False) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").withColumn("text", F.col("text").cast("binary"))
+    words = hmm_lm.lexicon(hmm_lm.counted(docs.select("text")))
+    encoded = hmm_lm.encoded(docs, words).cache()
+    model = hmm_lm.trained(encoded, words)
+    texts = [np.frombuffer(r.symbols, "<i4") for r in encoded.collect()]
+    start, moves, emit, log = model.counts(texts)
+    again = hmm_lm.updated(start, moves, emit, words.share, 200.0).counts(texts)[3]
+    assert again - log <= hmm_lm.SETTLED * abs(log)
+    other = hmm_lm.trained(encoded.orderBy(F.xxhash64("doc_id")).repartition(7), words)
+    assert np.allclose(other.emit, model.emit) and np.allclose(other.step, model.step)
