@@ -88,13 +88,11 @@ def toc(spark, d):
 
 @register("toc_flatten", f"SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY page_id) - 1 AS seq, split_part(full_href, '#', 1) AS href, CASE WHEN strpos(full_href, '#') > 0 THEN substr(full_href, strpos(full_href, '#') + 1) ELSE '' END AS fragment, title FROM ({_TOC}) WHERE page_id % 7 <> 0")
 def toc_flatten(spark, d):
-    # A tree of two levels: every page with an id divisible by seven is a node without href above those that follow.
-    rows = toc(spark, d).withColumn("top", F.col("page_id") % 7 == 0)
-    up = F.coalesce(F.sum(F.col("top").cast("int")).over(Window.partitionBy("book_id").orderBy("page_id")), F.lit(0))
-    kids = rows.withColumn("up", up).groupBy("book_id", "up").agg(F.min("page_id").alias("at"), F.sort_array(F.collect_list(F.when(~F.col("top"), F.struct("page_id", F.col("full_href").alias("href"), "title")))).alias("children"))
-    node = F.struct("at", F.lit(None).cast("string").alias("href"), F.lit(None).cast("string").alias("title"), "children")
-    tree = kids.groupBy("book_id").agg(F.sort_array(F.collect_list(node)).alias("toc"))
-    return M.flatten_toc(tree, 2)
+    # A tree of two levels as flat rows: every page with an id divisible by seven is a node without href above those that follow.
+    top = (F.col("page_id") % 7 == 0).cast("int")
+    rows = toc(spark, d).withColumn("path", F.struct(F.sum(top).over(Window.partitionBy("book_id").orderBy("page_id")).alias("up"), "page_id"))
+    seq = F.row_number().over(Window.partitionBy("book_id").orderBy("path")) - 1
+    return rows.where("page_id % 7 <> 0").select("book_id", seq.alias("seq"), *M.split_href(F.col("full_href")), "title")
 
 
 @register("toc_group", f"SELECT href, coalesce(list(fragment ORDER BY seq) FILTER (fragment <> ''), []) AS fragments, arg_min(title, seq) FILTER (fragment = '') AS title FROM (SELECT left(split_part(full_href, '#', 1), 25) AS href, CASE WHEN strpos(full_href, '#') > 0 THEN substr(full_href, strpos(full_href, '#') + 1) ELSE '' END AS fragment, page_id AS seq, title FROM ({_TOC})) GROUP BY href")

@@ -37,3 +37,16 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(expected.columns) == columns
     at = [expected.columns.index(c) for c in columns]
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in expected.fetchall()), key=repr)
+
+
+def test_toc_flatten_holds_no_host_in_one_row(spark):
+    plan = catalog.QUERIES["toc_flatten"](spark, SF)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Generate" not in plan
+
+
+def test_flatten_toc_goes_depth_first(spark):
+    from lectern.operators import markup
+
+    node = "struct<href string, title string, children array<struct<href string, title string>>>".replace(" string", ":string").replace(" array", ":array")
+    toc = spark.createDataFrame([("b", [("x#1", "X", [("y", "Y")]), (None, None, [("z#2", "Z")])])], f"book_id string, toc array<{node}>")
+    assert [tuple(r) for r in markup.flatten_toc(toc, 2).orderBy("seq").collect()] == [("b", 0, "x", "1", "X"), ("b", 1, "y", "", "Y"), ("b", 2, "z", "2", "Z")]
