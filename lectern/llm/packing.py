@@ -19,46 +19,105 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved, sized, text_bytes
+from .common import bounded_batches, saved, sized
 
 CAPACITY, END_ID = 2048, 0
+#: Bytes of the texts whose words are numbered together.
+SLICE = 4 << 20
 #: Most patterns that are fitted, and the sweeps of the fit.
 PATTERNS, SWEEPS = 6000, 40
 #: Pieces of one length that one salted group ranks, on average at most.
 GROUP = 50_000
 
 
+#: Words of lower-case Latin letters, which the tokenizer neither changes nor splits before it merges, with at most one closing
+#: mark, which is a token of its own by the tokenizer's pattern.
+_PLAIN, _MARK = "^[a-zß-öø-ÿ]+[.,;:!?]?$", "([.,;:!?])$"
+#: Begins the strings of special tokens; they are matched before lower-casing.
+_SPECIAL = "<|"
+#: Words that are merged in one call.
+_TOGETHER = 10_000
+
+
 class WordTokens:
-    """Ids of words as little-endian bytes, by a tokenizer file; no token of such a file spans ASCII white space."""
+    """Ids of whole texts by a tokenizer file, word by word; no token of such a file spans ASCII white space.
+
+    The tokenizer lower-cases, so words are looked up in lower case; texts that may hold a special token are left as they
+    are. Each distinct word of a slice of texts is looked up once; beyond `limit` words the cache starts anew.
+    """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # Two generations: a full cache becomes the older one, from which words in use come back.
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id ends a word or mark.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
         self.limit = limit
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, four bytes each."""
-        split = [t.split() for t in texts]
-        if len(self.known) > self.limit // 2:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = list(set(chain.from_iterable(split)) - known.keys())
-        for word in [w for w in new if w in older]:
-            known[word] = older[word]
-        new = [w for w in new if w not in older]
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            known[word] = array("I", e.ids).tobytes()
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join([*map(known.__getitem__, ws), end]) for ws in split]
+        self._emptied()
+
+    def _emptied(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.sizes, self.flat = array("q"), array("H")
+
+    def _merged(self, words: pa.Array) -> None:
+        """Number words that are not known, and keep their ids."""
+        is_plain = pc.match_substring_regex(words, _PLAIN)
+        plain, other = words.filter(is_plain), words.filter(pc.invert(is_plain))
+        for at in range(0, len(plain), _TOGETHER):
+            some = plain.slice(at, _TOGETHER)
+            apart = pc.replace_substring_regex(some, _MARK, r" \1")
+            ids = np.array(self.plain.encode(" ".join(apart.to_pylist()), add_special_tokens=False).ids, np.uint16)
+            # A word has one end, and a second one if it has a mark.
+            lengths = [pc.binary_length(x).to_numpy() for x in (some, apart)]
+            last = np.flatnonzero(self.ends[ids])[np.cumsum(1 + lengths[1] - lengths[0]) - 1]
+            self._kept(some, np.diff(last, prepend=-1), ids)
+        rest = other.view(pa.binary()).to_pylist()
+        for at in range(0, len(rest), _TOGETHER):
+            some = rest[at : at + _TOGETHER]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)]
+            self._kept(other.slice(at, _TOGETHER), np.array([len(x) for x in got]), np.fromiter(chain.from_iterable(got), np.uint16))
+
+    def _kept(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.sizes)
+        self.known.update(zip(words.view(pa.binary()).to_pylist(), range(n, n + len(words)), strict=True))
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.flat.frombytes(ids.tobytes())
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string array one after another, and where each text's ids begin (and the last ends)."""
+        if len(self.known) > self.limit:
+            self._emptied()
+        texts = pc.if_else(pc.match_substring(texts, _SPECIAL), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_pylist()
+        found = list(map(self.known.get, words))
+        if missing := [k for k, x in enumerate(found) if x is None]:
+            self._merged(coded.dictionary.take(pa.array(missing)))
+            for k in missing:
+                found[k] = self.known[words[k]]
+        number = np.array(found, np.int64)[coded.indices.to_numpy()] if found else np.zeros(0, np.int64)
+        size = np.array(self.sizes, np.int64)
+        sizes = size[number]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.array(self.flat, np.uint16)[np.repeat((np.cumsum(size) - size)[number] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+
+def slices(sizes: np.ndarray, most: int = SLICE) -> list[tuple[int, int]]:
+    """(first, number) of runs of texts of about `most` bytes, or of one longer text."""
+    group = (np.cumsum(sizes) - 1) // most
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return list(zip(first.tolist(), np.diff([*first, len(sizes)]).tolist(), strict=True)) if len(sizes) else []
 
 
 @lru_cache(2)
@@ -68,29 +127,28 @@ def word_tokens(path: str) -> WordTokens:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row."""
-    from .bpe import slices
-
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            row = 0
-            for some in slices(b.column(1).to_pylist()):
-                for ids in word_tokens(path).ids(some):
-                    n = len(ids) // 4
-                    for k, s in enumerate(range(0, n, capacity)):
-                        part = ids[4 * s : 4 * (s + capacity)]
+            texts = b.column(1)
+            bytes_ = pc.binary_length(texts).to_numpy()
+            for first, n in slices(bytes_):
+                ids, ends = word_tokens(path).ids(texts.slice(first, n))
+                for row, (lo, hi) in enumerate(zip(ends.tolist(), ends[1:].tolist()), first):
+                    own = np.append(ids[lo:hi].astype("<u4"), np.uint32(END_ID))
+                    for k, s in enumerate(range(0, len(own), capacity)):
+                        part = own[s : s + capacity]
                         at.append(row)
                         piece.append(k)
                         start.append(s)
-                        length.append(len(part) // 4)
+                        length.append(len(part))
                         crc.append(zlib.crc32(part))
-                    row += 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def candidate_patterns(h: np.ndarray, capacity: int, seed: int = 11) -> list[tuple[int, ...]]:
