@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,6 +109,27 @@ class Ids(dict):
             self.rows.clear()
 
 
+def numbered_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of an array of texts in lower case (A-Z), the number of each word in its place, and where each text's begin."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    coded = split.values.dictionary_encode()
+    words, number = coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy()
+    offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+    if b"" in words:  # white space at an end of a text
+        there = number != words.index(b"")
+        number, offsets = number[there], np.concatenate([[0], np.cumsum(there)])[offsets]
+    return words, number, offsets
+
+
+def runs_of(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """Parts of an array of about `most` bytes, or of one longer text."""
+    group = (np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) - 1) // most
+    cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield texts.slice(a, b - a)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit numbers (the splitmix64 finaliser)."""
     h = h.astype(np.uint64, copy=True)

@@ -2,9 +2,10 @@
 
 Tokens are counted over all training documents. Every token with at least 1/HOT of all occurrences is a symbol of its own
 (there are at most HOT of them), all others share CLASSES symbols by ending and length, and have their counts, smoothed,
-inside the class: the model gives every text a proper probability. Baum-Welch starts from the unigram shares; every pass sums
-expected counts over the partitions of all training documents, each a whole chain, until a pass gains less than SETTLED of the
-log-likelihood (windows of WINDOW tokens bound the memory, their borders are exact); scores come from the scaled forward recursion over each whole text. Counts of rare tokens never leave the executors: their
+inside the class: the model gives every text a proper probability. Baum-Welch starts from the unigram shares and settles on about
+WARM tokens of short texts first, picked by a hash of the text (a start only, the same for every partitioning); then every pass
+sums expected counts over the partitions of all training documents, each a whole chain, until a pass gains less than SETTLED of
+the log-likelihood (windows of WINDOW tokens bound the memory, their borders are exact); scores come from the scaled forward recursion over each whole text. Counts of rare tokens never leave the executors: their
 share of a text's score is a join by token, in which no key has more than 1/HOT of the rows.
 
 Null and empty texts consist of the end token. Rows with a null doc_id are trained on; repeated rows count and are scored each.
@@ -14,7 +15,7 @@ Rare tokens are known by 64-bit hashes.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
-from .common import Ids, bounded_batches, remainder, saved, text_bytes
+from .common import Ids, bounded_batches, numbered_words, remainder, runs_of, saved, text_bytes
 
 HOT, CLASSES, STATES = 50_000, 1024, 8
 WINDOW, SETTLED = 4096, 1e-4
+#: Tokens, and those of a text at most, on which the parameters settle before they see all rows, and how far.
+WARM, WARM_TEXT, WARM_SETTLED = 800_000, 1024, 2e-6
 #: The end token; no word is empty.
 END = b""
 _EXPECTED = "symbol int, " + ", ".join(f"s{k} double" for k in range(STATES))
@@ -56,8 +58,11 @@ def counted(docs: DataFrame) -> DataFrame:
             return out
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                tally.update(t.lower().split())
+            for some in runs_of(b.column(0)):
+                words, number, _ = numbered_words(some)
+                for w, c in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
+                    if c:
+                        tally[w] += c
             tally[END] += b.num_rows
             if len(tally) > 300_000:
                 yield flush()
@@ -103,17 +108,16 @@ def encoded(docs: DataFrame, words: Lexicon) -> DataFrame:
         ids = Ids(lex.describe, 150_000)
         for b in batches:
             symbols, hot_known, hot_log, class_log, rare, n = [], [], [], [], [], []
-            for some in slices(b.column(2).to_pylist()):
-                split = [[*t.lower().split(), END] for t in some]
-                own = ids.of([w for ws in split for w in ws])
-                table = np.array(ids.rows, np.int64)
-                at = 0
-                for ws in split:
-                    s = table[own[at : at + len(ws)]]
-                    at += len(ws)
+            for some in runs_of(b.column(2)):
+                words, number, offsets = numbered_words(some)
+                own = ids.of([*words, END])
+                table = np.array(ids.rows, np.int64)[own]
+                end = table[-1:]
+                for lo, hi in zip(offsets.tolist(), offsets[1:].tolist()):
+                    s = np.concatenate([table[number[lo:hi]], end])
                     cold = s[:, 0] >= len(lex.hot)
                     symbols.append(s[:, 0].astype("<i4").tobytes())
-                    n.append(len(ws))
+                    n.append(len(s))
                     hot_known.append(int((~cold).sum()))
                     hot_log.append(float(lex.hot_logs[s[:, 0]].sum()))
                     class_log.append(float(lex.class_logs[s[:, 0]].sum()))
@@ -214,17 +218,44 @@ def _symbols(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, "<i4") for x in column.to_pylist()]
 
 
+def settled(model: HiddenMarkov, share: np.ndarray, expected: Callable[[HiddenMarkov], tuple], least: float = SETTLED) -> HiddenMarkov:
+    """Baum-Welch from `model` on, by the sums that `expected` gives, until a pass gains less than the share `least` of the log-likelihood."""
+    was = -np.inf
+    while True:
+        start, moves, emit, log = expected(model)
+        model = updated(start, moves, emit, share, 200.0)
+        if log - was <= least * abs(log):
+            return model
+        was = log
+
+
+def first_texts(train: DataFrame, tokens: int) -> list[np.ndarray]:
+    """Distinct short texts with the least hashes, about WARM tokens of `tokens`: the same for every partitioning."""
+    odds = min(1.0, WARM / max(1, tokens))
+    hashed = F.xxhash64("symbols")
+    some = train.where((F.octet_length("symbols") <= 4 * WARM_TEXT) & (F.pmod(hashed, F.lit(1 << 20)) < int(np.ceil(odds * (1 << 20)))))
+    out, left = [], 2 * WARM
+    for t in _symbols(some.distinct().orderBy(F.xxhash64("symbols"), "symbols").limit(2 * WARM).toArrow()["symbols"].combine_chunks()):
+        left -= len(t)
+        if left < 0:
+            break
+        out.append(t)
+    return out
+
+
 def trained(rows: DataFrame, words: Lexicon) -> HiddenMarkov:
-    """Baum-Welch over all training rows of `encoded`, until the likelihood settles."""
+    """Baum-Welch over all training rows of `encoded`, until the likelihood settles, from a start that settled on `first_texts`."""
     spark, share = rows.sparkSession, words.share
     train = rows.where("not held_out").select("symbols")
     noise = np.random.default_rng(4).gamma(1.0, size=(len(share), STATES))
     model = HiddenMarkov(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES), (e := share[:, None] * noise) / e.sum(axis=0))
-    was = -np.inf
-    while True:
+    if texts := first_texts(train, words.total):
+        model = settled(model, share, lambda m: m.counts(texts), WARM_SETTLED)
+
+    def over_all(model: HiddenMarkov) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         shared = spark.sparkContext.broadcast(model)  # HOT + CLASSES rows of STATES numbers at most
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
             sums, held, size = None, [], 0
             for b in batches:
@@ -254,10 +285,9 @@ def trained(rows: DataFrame, words: Lexicon) -> HiddenMarkov:
                 log = float(v[0])
             else:
                 moves[n + 1 + STATES] = v
-        model = updated(start, moves, emit, share, 200.0)
-        if log - was <= SETTLED * abs(log):
-            return model
-        was = log
+        return start, moves, emit, log
+
+    return settled(model, share, over_all)
 
 
 def _added(a, b):

@@ -23,11 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved, sized
+from .common import bounded_batches, runs_of, saved, sized
 
 CAPACITY, END_ID = 2048, 0
-#: Bytes of the texts whose words are numbered together.
-SLICE = 4 << 20
 #: Most patterns that are fitted, and the sweeps of the fit.
 PATTERNS, SWEEPS = 6000, 40
 #: Pieces of one length that one salted group ranks, on average at most.
@@ -113,13 +111,6 @@ class WordTokens:
         return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
-def slices(sizes: np.ndarray, most: int = SLICE) -> list[tuple[int, int]]:
-    """(first, number) of runs of texts of about `most` bytes, or of one longer text."""
-    group = (np.cumsum(sizes) - 1) // most
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    return list(zip(first.tolist(), np.diff([*first, len(sizes)]).tolist(), strict=True)) if len(sizes) else []
-
-
 @lru_cache(2)
 def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
@@ -134,10 +125,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
             texts = b.column(1)
-            bytes_ = pc.binary_length(texts).to_numpy()
-            for first, n in slices(bytes_):
-                ids, ends = word_tokens(path).ids(texts.slice(first, n))
-                for row, (lo, hi) in enumerate(zip(ends.tolist(), ends[1:].tolist()), first):
+            row = 0
+            for some in runs_of(texts):
+                ids, ends = word_tokens(path).ids(some)
+                for lo, hi in zip(ends.tolist(), ends[1:].tolist()):
                     own = np.append(ids[lo:hi].astype("<u4"), np.uint32(END_ID))
                     for k, s in enumerate(range(0, len(own), capacity)):
                         part = own[s : s + capacity]
@@ -146,6 +137,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                         start.append(s)
                         length.append(len(part))
                         crc.append(zlib.crc32(part))
+                    row += 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
