@@ -3,7 +3,8 @@
 Pre-tokens are found without a regular expression: each code point has a class, each class is a function on the states of a
 small automaton, and the functions of a block of characters are composed side by side for all blocks (composition is
 associative), so that the states of all characters follow without a loop over a text. The slices between token starts go to
-pair merging with a cache. Null texts count as empty (no ids); rows keep their multiplicity. One map, no shuffle.
+pair merging with a cache. Null texts count as empty (no ids), bytes that are not UTF-8 as symbols; rows keep their multiplicity. One map, no shuffle;
+long texts are scanned whole, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns
@@ -150,9 +152,10 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[tuple[list[int], np.ndarray]]:
         """Ids of each text, and the byte offset at which each of its slices starts."""
         buffer = b"\0".join([*texts, b""])
-        points = np.frombuffer(buffer.decode("utf-8").encode("utf-32-le"), np.uint32)
+        points = np.frombuffer(buffer.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds = classes()[points]
         width = (1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).astype(np.int64)
+        width[(points >= 0xDC80) & (points <= 0xDCFF)] = 1  # a byte that is not UTF-8 stands for itself
         at = np.cumsum(width) - width
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         kinds[np.searchsorted(at, ends)] = SEP
@@ -209,7 +212,8 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
-    """Every row with `decoded`, the bytes of its `ids`."""
+    """Every row with `decoded`, the bytes of its `ids`; a column of that name is replaced."""
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "decoded"])
     out = T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
