@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +42,19 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker, which Spark uses again, gives the memory that it has freed back to the system."""
+
+    def and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return and_release
+
+
 def text_bytes(name: str = "text") -> Column:
     """UTF-8 of a text, empty for null."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
@@ -73,7 +88,7 @@ def append_columns(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]
                 texts = b.column(b.num_columns - 1).to_pylist()
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], *kernel(texts)], names=[*keep, *[n for n, _ in fields]])
 
-    return df.withColumn(body, text_bytes(f"`{text}`")).mapInArrow(run, schema)
+    return df.withColumn(body, text_bytes(f"`{text}`")).mapInArrow(tidy(run), schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Ids, bounded_batches, components, mixed, saved, sized, text_bytes
+from .common import Ids, bounded_batches, components, mixed, saved, sized, text_bytes, tidy
 
 WORDS, PERCENT = 5, 85
 SIDE, PER_HALF = 8, 2
@@ -92,7 +92,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             longs = lambda k: lambda: sig[k].view(np.int64).tolist()
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array([len(s) for s in sets], pa.int64()), column(longs("f1"), pa.int64()), column(longs("f2"), pa.int64()), column(longs("u"), pa.list_(pa.int64())), column(longs("v"), pa.list_(pa.int64())), column(lambda: [x.tobytes() for x in sig["sketch"]], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, u array<long>, v array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(tidy(run), "doc_id long, n long, f1 long, f2 long, u array<long>, v array<long>, sketch binary")
 
 
 def _spread(values: list, at: list[int], n: int) -> list:
@@ -115,7 +115,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, name: str, percent: int = PERCE
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))], names=["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(sized(wanted), "doc_id").select("doc_id", "text")
-    sets = saved(texts.mapInArrow(run, "id long, shingles array<long>"), f"{name}-sets")
+    sets = saved(texts.mapInArrow(tidy(run), "id long, shingles array<long>"), f"{name}-sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -170,7 +170,7 @@ def near_in_blocks(members: DataFrame, percent: int = PERCENT) -> DataFrame:
         if found:
             yield _pairs(found)
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(run), "a long, b long")
 
 
 def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Ids, append_columns, bounded_batches, labelled_sample, mixed, platt, remainder
+from .common import Ids, append_columns, bounded_batches, labelled_sample, mixed, platt, remainder, tidy
 
 #: Hash buckets of the indicators, and the most labelled rows of either class that the fit uses.
 BUCKETS, PER_CLASS = 1 << 18, 6000
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Quali
             rows = indicators(b.column("text").to_pylist(), ids)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "y", "grams"])
 
-    sample = labelled_sample(docs, labels, "quality", per_class).select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, grams array<int>").toArrow().sort_by("doc_id")
+    sample = labelled_sample(docs, labels, "quality", per_class).select("doc_id", "y", "text").mapInArrow(tidy(run), "doc_id long, y int, grams array<int>").toArrow().sort_by("doc_id")
     y = np.array(sample["y"].to_numpy(), float)
     if len(set(y)) < 2:
         p = (y.sum() + 1) / (len(y) + 2)

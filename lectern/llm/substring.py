@@ -9,7 +9,7 @@ phrase however often it occurs: their strings are brought into one order by (rig
 compared to depth LENGTH. Matches never cross texts because entries lie inside one.
 
 Equality is decided on two 64-bit fingerprints. Null texts count as empty; texts under LENGTH bytes lose nothing. Rows
-that share a doc_id must not differ in text: the results of such rows are those of either. Rows with a null doc_id are
+that share a doc_id are texts of their own. Rows with a null doc_id are
 judged and count as a place like any other.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import BROADCAST_ROWS, bounded_batches, fresh, mixed, saved, sized, text_bytes
+from .common import BROADCAST_ROWS, bounded_batches, fresh, mixed, saved, sized, text_bytes, tidy
 
 LENGTH, WINDOW, REACH = 400, 16, 256
 #: Bytes right of a border that every string with that border contains.
@@ -149,7 +149,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.take(pa.array(k + at)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(right), pa.array(whole)], names=["row", "lo", "hi", "right", "whole"])
                 at += len(some)
 
-    parsed = saved(texts.mapInArrow(parse, "row long, lo int, hi int, right long, whole long"), "parse")
+    parsed = saved(texts.mapInArrow(tidy(parse), "row long, lo int, hi int, right long, whole long"), "parse")
     place = F.xxhash64("row", "lo")
     phrases = saved(parsed.groupBy("right", "whole").agg(F.count("*").alias("n"), F.min(place).alias("first")), "dictionary")
     several = phrases.groupBy("right").agg(F.count("*").alias("k")).where("k > 1")
@@ -181,7 +181,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             yield runs(rows, contents, groups)
 
     columns = "row long, lo int, hi int"
-    inside = held.where(f"k <= {TOGETHER}").select("row", "lo", "right", "content").repartition("right").sortWithinPartitions("right").mapInArrow(look, columns)
+    inside = held.where(f"k <= {TOGETHER}").select("row", "lo", "right", "content").repartition("right").sortWithinPartitions("right").mapInArrow(tidy(look), columns)
     found = met.where("n > 1").select("row", "lo", "hi").unionByName(inside)
     if not met.where(f"look and k > {TOGETHER}").isEmpty():
         found = found.unionByName(_one_by_one(held.where(f"k > {TOGETHER}").select("row", "lo", "right", "content")))
@@ -246,7 +246,7 @@ def deduplicated(docs: DataFrame, text: str = "text", as_text: bool = False) ->
     mine = fresh(docs, "_spans")
     lists = spans.groupBy(F.col("row").alias(x)).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias(mine))
     lists = F.broadcast(lists) if spans.count() <= BROADCAST_ROWS else lists
-    return docs.join(lists, x, "left").select(*[F.col(f"`{c}`") for c in kept], body, mine).mapInArrow(cut, out)
+    return docs.join(lists, x, "left").select(*[F.col(f"`{c}`") for c in kept], body, mine).mapInArrow(tidy(cut), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
