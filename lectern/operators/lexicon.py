@@ -33,11 +33,13 @@ def apply_lexicon(c: Column, entries: dict[str, str]) -> Column:
 
 
 def lexicon_join(texts: DataFrame, dim: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same for a lexicon of any size: tokens are joined with it and put together again."""
-    parts = texts.select(key, F.posexplode(F.split(text, r"(?U)\b", -1)).alias("i", "part"))
-    said = parts.join(small(dim), F.lower("part") == F.col("key"), "left").withColumn("part", F.coalesce("say_as", "part"))
-    ordered = F.sort_array(F.collect_list(F.struct("i", "part")))
-    return said.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("said"))
+    """The same for a lexicon of any size: the distinct words of each text meet it, those found go back as a map of the text."""
+    parts = F.split(text, r"(?U)\b", -1)
+    words = texts.select(F.col(key).alias("_id"), F.explode(F.array_distinct(F.transform(parts, lambda x: F.lower(x)))).alias("_word"))
+    met = words.join(small(dim.select(F.col("key").alias("_word"), "say_as")), "_word")
+    told = met.groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("_word", "say_as"))).alias("_told"))
+    said = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at("_told", F.lower(x)), x)), "")
+    return texts.join(told, F.col(key) == F.col("_id"), "left").select(key, F.when(F.col("_told").isNull(), F.col(text)).otherwise(said).alias("said"))
 
 
 def clean_text(c: Column, lexicon: dict[str, str] | None = None, respell: bool = True) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 #: Fixed value: shortest text of a chapter.
 MIN_CHAPTER = 200
@@ -33,14 +33,23 @@ def block_text(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"[\s ]+", " "))
 
 
+def _leaves(clean: Column) -> Column:
+    """The innermost blocks of clean markup, as an array."""
+    body = rf"((?:(?!</?(?:{BORDERS})\b).)*+)"
+    pattern = rf"(?is)<(?:p|h[1-6])\b[^>]*>{body}|<(?:blockquote)\b[^>]*>{body}(?=</blockquote\b)|<li\b[^>]*>{body}(?=</li\b|<li\b|</ul\b)"
+    return F.regexp_extract_all(clean, F.lit(f"({pattern})"), 1)
+
+
+def _inner(block: Column) -> Column:
+    return F.regexp_extract(block, r"(?s)^<[^>]*>(.*)$", 1)
+
+
 def leaf_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, pos, tag, attrs, inner) of innermost blocks in order. p and headings end at any border; blockquote and li count
     only if they reach their own end (or a sibling's start) without a block inside."""
-    body = rf"((?:(?!</?(?:{BORDERS})\b).)*+)"
-    pattern = rf"(?is)<(?:p|h[1-6])\b[^>]*>{body}|<(?:blockquote)\b[^>]*>{body}(?=</blockquote\b)|<li\b[^>]*>{body}(?=</li\b|<li\b|</ul\b)"
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(clean_html(F.col(html)), F.lit(f"({pattern})"), 1)).alias("pos", "block"))
+    found = pages.select(key, F.posexplode(_leaves(clean_html(F.col(html)))).alias("pos", "block"))
     tag = F.lower(F.regexp_extract("block", r"(?i)^<(\w+)", 1))
-    return found.select(key, "pos", tag.alias("tag"), F.regexp_extract("block", r"(?s)^<\w+\b([^>]*)>", 1).alias("attrs"), F.regexp_extract("block", r"(?s)^<[^>]*>(.*)$", 1).alias("inner"))
+    return found.select(key, "pos", tag.alias("tag"), F.regexp_extract("block", r"(?s)^<\w+\b([^>]*)>", 1).alias("attrs"), _inner(F.col("block")).alias("inner"))
 
 
 def texts(blocks: DataFrame) -> DataFrame:
@@ -48,10 +57,10 @@ def texts(blocks: DataFrame) -> DataFrame:
 
 
 def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, text): the blocks of a page joined by blank lines, else all its text."""
-    joined = assembled(texts(leaf_blocks(pages, key, html)), key)
-    whole = pages.select(key, block_text(clean_html(F.col(html))).alias("body"))
-    return whole.join(joined, key, "left").select(key, F.coalesce("text", F.nullif("body", F.lit(""))).alias("text"))
+    """(key, text): the blocks of a page joined by blank lines, else all its text. Nothing is shuffled."""
+    blocks = lambda clean: F.array_join(F.filter(F.transform(_leaves(clean), lambda b: block_text(_inner(b))), lambda t: t != ""), "\n\n")
+    text = let(clean_html(F.col(html)), lambda clean: let(blocks(clean), lambda t: F.when(t != "", t).otherwise(F.nullif(block_text(clean), F.lit("")))))
+    return pages.select(key, text.alias("text"))
 
 
 def assembled(blocks: DataFrame, *keys: str) -> DataFrame:
@@ -84,10 +93,13 @@ def grouped_toc(toc: DataFrame) -> DataFrame:
 
 
 def anchors(blocks: DataFrame, toc: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, seq, pos, title) of located fragments: the first block whose id, or whose inner id or a name, is the fragment."""
-    names = F.regexp_extract_all(F.concat(F.lit("<x "), "attrs", F.lit(">"), "inner"), F.lit(r"""(?i)<[^>]*?\b(?:id|name)\s*=\s*["']?([^"'\s>]+)"""), 1)
-    named = blocks.select(key, "pos", F.explode(names).alias("fragment"))
-    return named.join(toc, [key, "fragment"]).groupBy(key, "seq", "title").agg(F.min("pos").alias("pos"))
+    """(key, seq, pos, title) of located fragments: the first block with that id on or in it, else with a link of that name."""
+    tags = F.concat(F.lit("<x "), "attrs", F.lit(">"), "inner")
+    value = r"""\s*=\s*["']?([^"'\s>]+)"""
+    found = lambda rank, pattern: F.transform(F.regexp_extract_all(tags, F.lit(pattern + value), 1), lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("fragment")))
+    named = blocks.select(key, "pos", F.explode(F.concat(found(0, r"(?i)<[^>]*?\sid"), found(1, r"(?i)<a\b[^>]*?\sname"))).alias("x"))
+    named = named.select(key, "pos", "x.rank", "x.fragment")
+    return named.join(toc, [key, "fragment"]).groupBy(key, "seq", "title").agg(F.min(F.struct("rank", "pos")).alias("at")).select(key, "seq", "title", F.col("at.pos").alias("pos"))
 
 
 def asof_sections(blocks: DataFrame, marks: DataFrame, key: str = "page_id") -> DataFrame:

@@ -103,24 +103,25 @@ def chunks(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\
     return _exploded(df, key, chunk_array(F.col(text), sep, max_chars, unit, strict))
 
 
-def preview_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\n\n", max_chars: int = PREVIEW, unit: str = "paragraph") -> DataFrame:
-    """The first chunks of each text whose lengths, with a space each, stay in the budget; the first one always."""
+def preview_array(c: Column, sep: str = "\n\n", max_chars: int = PREVIEW, unit: str = "paragraph") -> Column:
+    """The first chunks of a text whose lengths, with a space each, stay in the budget; the first one always."""
 
     def within(cs: Column) -> Column:
         running = lambda i: F.aggregate(F.slice(cs, 1, i + 1), F.lit(0), lambda a, c: a + F.length(c["text"]) + 1)
         return F.filter(cs, lambda c, i: (i == 0) | (running(i) <= max_chars))
 
     # A chunk has at least one character, so that no more than these can fit.
-    first = F.slice(chunk_array(F.col(text), sep, min(MAX_CHUNK, max_chars), unit), 1, max_chars // 2 + 1)
-    return _exploded(df, key, let(first, within))
+    return let(F.slice(chunk_array(c, sep, min(MAX_CHUNK, max_chars), unit), 1, max_chars // 2 + 1), within)
+
+
+def preview_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\n\n", max_chars: int = PREVIEW, unit: str = "paragraph") -> DataFrame:
+    return _exploded(df, key, preview_array(F.col(text), sep, max_chars, unit))
 
 
 def preview_sample(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str = "\n\n", max_chars: int = PREVIEW) -> DataFrame:
-    """(key, sample): the preview chunks joined, else the start of the text."""
-    picked = preview_chunks(df, key, text, sep, max_chars)
-    joined = picked.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), " ").alias("joined"))
-    starts = df.select(key, F.substring(text, 1, max_chars).alias("start"))
-    return starts.join(joined, key, "left").select(key, F.coalesce(F.nullif("joined", F.lit("")), "start").alias("sample"))
+    """(key, sample): the preview chunks joined, else the start of the text. Nothing is shuffled."""
+    joined = F.array_join(F.transform(preview_array(F.col(text), sep, max_chars), lambda c: c["text"]), " ")
+    return df.select(key, let(joined, lambda j: F.when(j != "", j).otherwise(F.substring(text, 1, max_chars))).alias("sample"))
 
 
 def announced(found: DataFrame, titles: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,6 +1,5 @@
 """Registered queries: job state and the batch twins of the streams (A10, A15, E4, E8, E11, F2, L)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
@@ -19,11 +18,10 @@ def stages(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
-@register("job_listing", f"SELECT o_orderkey AS job_id, {_STATUS} AS status, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 100")
+@register("job_listing", f"SELECT o_orderkey AS job_id, {_STATUS} AS status, o_orderdate::DATE::VARCHAR AS created FROM orders ORDER BY created DESC, job_id")
 def job_listing(spark, d):
-    top = orders(spark, d).orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)
-    place = F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey"))  # over the 100 rows of the report only
-    return top.select(F.col("o_orderkey").alias("job_id"), "status", place.alias("place"))
+    listed = orders(spark, d).select(F.col("o_orderkey").alias("job_id"), "status", F.col("o_orderdate").cast("date").cast("string").alias("created"))
+    return listed.orderBy(F.desc("created"), "job_id")  # newest first, sorted by ranges
 
 
 @register("project_known_fields", "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(json_extract_string(props, '$.voice'), 'default') AS voice FROM events")

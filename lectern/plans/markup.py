@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import markup as M
+from ..operators.ranks import first_or_last, numbered
 from ..sources.tables import table
 
 _CLEAN = r"regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<sup\b[^>]*>.*?</sup\s*>|<table\b[^>]*>.*?</table\s*>|<figure\b[^>]*>.*?</figure\s*>|<nav\b[^>]*>.*?</nav\s*>', '', 'g')"
@@ -29,7 +30,7 @@ def blocks(spark, d):
 @register("scan_chapters", "SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chapter_index, doc_id, length(text) AS n_chars FROM documents")
 def scan_chapters(spark, d):
     rows = table(spark, d, "documents").select(F.col("source").alias("book"), "doc_id", F.length("text").alias("n_chars"))
-    return rows.withColumn("chapter_index", F.row_number().over(Window.partitionBy("book").orderBy("doc_id")) - 1)
+    return numbered(rows, "book", "doc_id", "chapter_index").select("book", "chapter_index", "doc_id", "n_chars")
 
 
 @register("spine_documents", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT DISTINCT page_id FROM pages)")
@@ -95,10 +96,23 @@ def toc_flatten(spark, d):
     return rows.where("page_id % 7 <> 0").select("book_id", seq.alias("seq"), *M.split_href(F.col("full_href")), "title")
 
 
-@register("toc_group", f"SELECT href, coalesce(list(fragment ORDER BY seq) FILTER (fragment <> ''), []) AS fragments, arg_min(title, seq) FILTER (fragment = '') AS title FROM (SELECT left(split_part(full_href, '#', 1), 25) AS href, CASE WHEN strpos(full_href, '#') > 0 THEN substr(full_href, strpos(full_href, '#') + 1) ELSE '' END AS fragment, page_id AS seq, title FROM ({_TOC})) GROUP BY href")
+# Up to three places inside each page, and the page itself but for every fifth.
+_PLACES = """SELECT url||CASE WHEN k = 0 THEN '' ELSE '#s'||k END AS full_href, page_id * 10 + k AS seq, 'T'||page_id||'.'||k AS title
+    FROM (SELECT url, page_id, unnest(range(0, page_id % 4 + 1)) AS k FROM pages) WHERE k > 0 OR page_id % 5 <> 0"""
+
+
+@register(
+    "toc_group",
+    f"""SELECT href, coalesce(list(fragment ORDER BY seq) FILTER (fragment <> ''), []) AS fragments, arg_min(title, seq) FILTER (fragment = '') AS title
+    FROM (SELECT split_part(full_href, '#', 1) AS href, seq, title,
+        CASE WHEN strpos(full_href, '#') > 0 THEN substr(full_href, strpos(full_href, '#') + 1) ELSE '' END AS fragment FROM ({_PLACES}))
+    GROUP BY href""",
+)
 def toc_group(spark, d):
-    rows = toc(spark, d).select(*M.split_href(F.col("full_href")), F.col("page_id").alias("seq"), "title")
-    return M.grouped_toc(rows.withColumn("href", F.left("href", F.lit(25))))
+    rows = pages(spark, d).select("url", "page_id", F.explode(F.sequence(F.lit(0), (F.col("page_id") % 4).cast("int"))).alias("k")).where("k > 0 or page_id % 5 <> 0")
+    href = F.concat("url", F.when(F.col("k") == 0, "").otherwise(F.concat(F.lit("#s"), F.col("k").cast("string"))))
+    title = F.concat(F.lit("T"), F.col("page_id").cast("string"), F.lit("."), F.col("k").cast("string"))
+    return M.grouped_toc(rows.select(*M.split_href(href), (F.col("page_id") * 10 + F.col("k")).alias("seq"), title.alias("title")))
 
 
 # Every third block of a page is an anchor.
@@ -179,7 +193,4 @@ def book_summary_rollup(spark, d):
 
 @register("clamped_chapter", "SELECT book, doc_id, idx FROM (SELECT source AS book, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE idx = least(7, n - 1)")
 def clamped_chapter(spark, d):
-    w = Window.partitionBy("book")
-    rows = table(spark, d, "documents").select(F.col("source").alias("book"), "doc_id")
-    rows = rows.withColumn("idx", F.row_number().over(w.orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(w))
-    return rows.where(F.col("idx") == F.least(F.lit(7), F.col("n") - 1)).select("book", "doc_id", "idx")
+    return first_or_last(table(spark, d, "documents").select(F.col("source").alias("book"), "doc_id"), "book", "doc_id", "idx", 7)

@@ -123,9 +123,9 @@ def chapter_titles(spark, d):
     return roman(spark, d).select("p_partkey", X.chapter_title(raw).alias("title"))
 
 
-@register("slugify", "SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), ''), 'book') AS slug FROM documents")
+@register("slugify", "SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), ''), 'book') AS slug FROM documents")
 def slugify(spark, d):
-    return docs(spark, d).select("doc_id", X.slugify(F.left("text", F.lit(60))).alias("slug"))
+    return docs(spark, d).select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 @register("job_ids", "SELECT p_partkey, coalesce(nullif(left(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), ''), 'book')||'-'||left(sha256(p_partkey::VARCHAR), 6) AS job_id FROM part")
@@ -150,15 +150,22 @@ def safe_voice_name(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.safe_voice_name(raw).alias("voice")).where("voice is not null")
 
 
-@register("escape_marker", r"SELECT doc_id, regexp_replace('a=b;c#d\e'||left(text, 200), '([\\=;#\n])', '\\\1', 'g') AS marker FROM documents")
+@register("escape_marker", r"SELECT doc_id, regexp_replace('a=b;c#d\e'||text, '([\\=;#\n])', '\\\1', 'g') AS marker FROM documents")
 def escape_marker(spark, d):
-    return docs(spark, d).select("doc_id", X.escape_marker(F.concat(F.lit("a=b;c#d\\e"), F.left("text", F.lit(200)))).alias("marker"))
+    return docs(spark, d).select("doc_id", X.escape_marker(F.concat(F.lit("a=b;c#d\\e"), F.col("text"))).alias("marker"))
 
 
-@register("carrier_sentences", "SELECT n_nationkey, 'They sailed on towards '||CASE WHEN n_regionkey=0 THEN n_name ELSE lower(n_name) END||', arriving at dusk.' AS sentence FROM nation")
+# Every distinct capitalised word of the documents; words of an even length have a respelling.
+@register(
+    "carrier_sentences",
+    """SELECT word, 'They sailed on towards '||CASE WHEN length(word) % 2 = 0 THEN lower(word) ELSE word END||', arriving at dusk.' AS sentence
+    FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents)
+    WHERE regexp_full_match(word, '[A-Z][a-z]{2,}')""",
+)
 def carrier_sentences(spark, d):
-    say = F.when(F.col("n_regionkey") == 0, "").otherwise(F.lower("n_name"))
-    return table(spark, d, "nation").select("n_nationkey", X.carrier_sentence(F.col("n_name"), say).alias("sentence"))
+    words = docs(spark, d).select(F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where(F.col("word").rlike("^[A-Z][a-z]{2,}$")).distinct()
+    say = F.when(F.length("word") % 2 == 0, F.lower("word")).otherwise("")
+    return words.select("word", X.carrier_sentence(F.col("word"), say).alias("sentence"))
 
 
 # Numbers ---------------------------------------------------------------------------------------------------------------

@@ -50,3 +50,26 @@ def test_flatten_toc_goes_depth_first(spark):
     node = "struct<href string, title string, children array<struct<href string, title string>>>".replace(" string", ":string").replace(" array", ":array")
     toc = spark.createDataFrame([("b", [("x#1", "X", [("y", "Y")]), (None, None, [("z#2", "Z")])])], f"book_id string, toc array<{node}>")
     assert [tuple(r) for r in markup.flatten_toc(toc, 2).orderBy("seq").collect()] == [("b", 0, "x", "1", "X"), ("b", 1, "y", "", "Y"), ("b", 2, "z", "2", "Z")]
+
+
+def test_anchors_prefer_ids_and_take_names_of_links_only(spark):
+    from lectern.operators import markup
+
+    html = '<h1 data-id="a" id=b>one</h1><p><a name="a">two</a></p><p><span id="a">three</span></p><p><img name="c">four</p><p><a class="x" name=\'d\' id="e">five</a></p>'
+    blocks = markup.leaf_blocks(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    toc = spark.createDataFrame([(1, f, k, f.upper()) for k, f in enumerate("abcde")], "page_id long, fragment string, seq int, title string")
+    assert {(r.title, r.pos) for r in markup.anchors(blocks, toc).collect()} == {("A", 2), ("B", 0), ("D", 4), ("E", 4)}
+
+
+def test_places_in_groups_cross_ranges(spark):
+    from lectern.operators import ranks
+
+    ids = [5, 99_999, 100_000, 100_001, 350_000, 900_000, 900_001, 1_000_000, 1_000_001, 1_000_002]
+    rows = spark.createDataFrame([("a", i) for i in ids] + [(None, i) for i in ids[:3]], "g string, i long")
+    assert sorted(((r.g or "", r.i, r.n) for r in ranks.numbered(rows, "g", "i", "n").collect())) == sorted([("a", i, k) for k, i in enumerate(ids)] + [("", i, k) for k, i in enumerate(ids[:3])])
+    assert {(r.g, r.i, r.n) for r in ranks.first_or_last(rows, "g", "i", "n", 7).collect()} == {("a", 1_000_000, 7), (None, 100_000, 2)}
+
+
+def test_text_queries_shuffle_no_texts(spark):
+    for name in ("page_text", "preview_sample"):
+        assert "Exchange" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
