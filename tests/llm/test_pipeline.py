@@ -55,7 +55,7 @@ def test_near_duplicates_leave_one_of_each_group(outputs):
 
     for a in rows:
         for b in rows:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     assert {r.doc_id for r in outputs[3].select("doc_id").collect()} == {i for i in rows if find(i) == i}
