@@ -187,19 +187,46 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+#: A key is hot if it has more rows than both; so there are at most HOT_KEYS hot ones, however large the table.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], name: str) -> DataFrame | None:
+    """The keys of a saved table that would bring too many rows to one task of a join (at most HOT_KEYS), or none."""
+    bar = max(HOT_ROWS, df.count() // HOT_KEYS)
+    hot = saved(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > bar).select(*keys), f"{name}-hot")
+    return None if hot.isEmpty() else hot
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: DataFrame | None, name: str) -> DataFrame:
+    """`left` joined (inner, left or left_semi) with `right`, which has each key once; `hot` are the hot keys of `left`.
+
+    Rows of hot keys stay where they are and meet the few rows of `right` that they need by a broadcast; others are shuffled.
+    """
+    if hot is None:
+        return left.join(right, keys, how)
+    few = saved(right.join(F.broadcast(hot), keys, "left_semi"), f"{name}-few")
+    on_hot = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how)
+    return on_hot.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, root) of every node of `edges` (a, b): the smallest id reachable.
 
     Each round takes the least root among a node and its neighbours, then the root of that root; tables are saved each round.
+    Centres of stars and roots of large components are hot keys and go by broadcast.
     """
     both = saved(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), f"{name}-edges")
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-labels")
+    centres = hot_keys(both, ["b"], name)
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        near = spread_join(both, labels.withColumnRenamed("id", "b"), ["b"], "inner", centres, name)
+        near = near.groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         own = labels.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         own = saved(own, f"{name}-near")
         up = own.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        new = saved(own.join(up, "root", "left").select("id", F.least("root", F.coalesce("above", "root")).alias("root"), "was"), f"{name}-labels")
+        up = spread_join(own, up, ["root"], "left", hot_keys(own, ["root"], name), name)
+        new = saved(up.select("id", F.least("root", F.coalesce("above", "root")).alias("root"), "was"), f"{name}-labels")
         if new.where("root <> was").isEmpty():
             return new.select("id", "root")
         labels = new.select("id", "root")

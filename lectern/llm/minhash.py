@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Ids, bounded_batches, components, mixed, saved, sized, text_bytes, tidy
+from .common import HOT_KEYS, HOT_ROWS, Ids, bounded_batches, components, mixed, saved, sized, text_bytes, tidy
 
 WORDS, PERCENT = 5, 85
 SIDE, PER_HALF = 8, 2
@@ -189,15 +189,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = saved(reps.select(F.col("doc_id").alias("id"), "n", "u", "v", "sketch"), "minhash-reps")
     tables = F.expr("flatten(transform(u, (x, i) -> transform(v, (y, j) -> xxhash64(x, y, i, j))))")
     buckets = reps.select("id", "n", F.explode(tables).alias("key"))
-    shared = saved(buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("g")).where("g > 1"), "minhash-buckets")
-    inside = saved(buckets.join(shared, "key"), "minhash-members")
-    sizes = reps.select(F.col("id").alias("a"), F.col("n").alias("m"))
-    stars = inside.where("id <> a").select("a", F.col("id").alias("b"), "n").distinct().join(sizes, "a")
+    head = F.min(F.struct("id", "n"))
+    shared = buckets.groupBy("key").agg(head["id"].alias("a"), head["n"].alias("m"), F.count("*").alias("g")).where("g > 1")
+    shared = saved(shared, "minhash-buckets")
+    # Buckets of a share of all rows are few (at most HOT_KEYS) and meet their members by broadcast, not in one task each.
+    bar = max(HOT_ROWS, SIDE * SIDE * reps.count() // HOT_KEYS)
+    large = F.broadcast(saved(shared.where(F.col("g") > bar), "minhash-large"))
+    small = buckets.join(large.select("key"), "key", "left_anti").join(shared.where(F.col("g") <= bar), "key")
+    inside = saved(buckets.join(large, "key").unionByName(small), "minhash-members")
+    stars = inside.where("id <> a").select("a", F.col("id").alias("b"), "n", "m").distinct()
     links = confirmed(docs, stars.where(f"100L * least(n, m) >= {percent}L * greatest(n, m)"), "minhash-star", percent)
     roots = components(links, "minhash-star")
     placed = inside.where("g > 2 and id <> a").select("key", "id", "g").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rest = placed.join(mixed_keys, "key", "left_semi").join(reps.select("id", "n", "sketch"), "id")
+    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("g").alias("g")).where("x <> y")
+    mixed_keys = saved(mixed_keys.select("key", "g"), "minhash-mixed")
+    in_large = placed.where(F.col("g") > bar).join(F.broadcast(mixed_keys.where(F.col("g") > bar).select("key")), "key", "left_semi")
+    in_small = placed.where(F.col("g") <= bar).join(mixed_keys.where(F.col("g") <= bar).select("key"), "key", "left_semi")
+    rest = in_large.unionByName(in_small).join(reps.select("id", "n", "sketch"), "id")
     more = saved(near_in_blocks(rest.select("key", "id", "n", "sketch", "root", "g"), percent).distinct(), "minhash-rest")
     if not more.isEmpty():
         roots = components(links.unionByName(confirmed(docs, more, "minhash-rest", percent)), "minhash-all")

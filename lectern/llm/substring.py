@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import BROADCAST_ROWS, bounded_batches, fresh, mixed, saved, sized, text_bytes, tidy
+from .common import BROADCAST_ROWS, bounded_batches, fresh, hot_keys, mixed, saved, sized, spread_join, text_bytes, tidy
 
 LENGTH, WINDOW, REACH = 400, 16, 256
 #: Bytes right of a border that every string with that border contains.
@@ -154,7 +154,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     phrases = saved(parsed.groupBy("right", "whole").agg(F.count("*").alias("n"), F.min(place).alias("first")), "dictionary")
     several = phrases.groupBy("right").agg(F.count("*").alias("k")).where("k > 1")
     wanted = phrases.join(several, "right", "left").where("n > 1 or k > 1").withColumn("k", F.coalesce("k", F.lit(1)))
-    met = parsed.join(wanted, ["right", "whole"]).withColumn("look", (F.col("k") > 1) & (place == F.col("first"))).where("n > 1 or look")
+    met = spread_join(parsed, wanted, ["right", "whole"], "inner", hot_keys(parsed, ["right", "whole"], "parse"), "met").withColumn("look", (F.col("k") > 1) & (place == F.col("first"))).where("n > 1 or look")
     met = saved(met.select("row", "lo", "hi", "right", "n", "k", "look"), "met")
 
     # Of each phrase to look into, one place: its content goes to the others with the same right context.

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, saved, shared_dir, sized, text_bytes
+from .common import bounded_batches, hot_keys, saved, shared_dir, sized, spread_join, text_bytes
 
 SHORTEST = 100
 #: A file is closed when it has grown to this size, and a batch of records that a reader returns to this many.
@@ -222,7 +222,7 @@ def records(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     keys = saved(rows.where(f"payload_bytes >= {SHORTEST} and page_id is not null").select("page_id", "payload_digest"), "warc-keys")
     first = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    again = saved(keys.join(first, "payload_digest").where("page_id <> first").select("page_id", F.col("payload_digest").alias("of"), F.col("first").alias("refers_to")).distinct(), "warc-revisits")
+    again = saved(spread_join(keys, first, ["payload_digest"], "inner", hot_keys(keys, ["payload_digest"], "warc"), "warc").where("page_id <> first").select("page_id", F.col("payload_digest").alias("of"), F.col("first").alias("refers_to")).distinct(), "warc-revisits")
     out = rows.join(sized(again), (rows.page_id == again.page_id) & (rows.payload_digest == again.of), "left").drop(again.page_id).drop("of")
     revisit = F.col("refers_to").isNotNull()
     return out.select("page_id", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", "refers_to", "payload_digest", "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import chroma, hmm_lm, minhash, packing, rules, substring, warc
+from lectern.llm import chroma, common, hmm_lm, minhash, packing, rules, substring, warc
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -33,7 +33,10 @@ def docs(spark):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in corpus()], "doc_id long, text string, lang string, source string, n_chars long")
 
 
-def test_near_duplicates_equal_brute_force(docs):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_near_duplicates_equal_brute_force(docs, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(minhash, "HOT_ROWS", hot)
     sets, parent = {}, {}
     for i, t in corpus():
         w = (t or "").encode().lower().split()
@@ -81,6 +84,7 @@ def brute_substrings(texts):
 
 @pytest.mark.parametrize("together", [2000, 1])
 def test_substrings_equal_brute_force(docs, monkeypatch, together):
+    monkeypatch.setattr(common, "HOT_ROWS", min(together, 1000))
     monkeypatch.setattr(substring, "TOGETHER", together)
     out = substring.deduplicated(docs.withColumn("n_spans", F.lit("clash")))
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in out.collect())
