@@ -166,6 +166,44 @@ def test_rules_reject_outliers_and_keep_the_rest(spark):
     assert all(out[k] for k in range(300)) and not any(out[1000 + k] for k in range(20))
 
 
+def least_determinant(x, starts, seed):
+    """The least log-determinant that plain concentration steps reach from random starts, with the same floors."""
+    rng, best, h = np.random.default_rng(seed), math.inf, math.ceil(rules.KEPT_SHARE * len(x))
+    floors = np.diag(np.square(rules.FLOORS))
+    for _ in range(starts):
+        chosen, last = rng.choice(len(x), 30, replace=False), None
+        while True:
+            mean, scatter = x[chosen].mean(axis=0), np.cov(x[chosen].T, bias=True) + floors
+            det = np.linalg.slogdet(scatter)[1] if last is not None else math.inf  # that of the 30 rows is no candidate
+            if last is not None and det > last - 1e-9:
+                break
+            last = det
+            d = np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(scatter), x - mean)
+            chosen = np.argsort(d, kind="stable")[:h]
+        best = min(best, last)
+    return best
+
+
+def test_determinants_are_as_low_as_those_of_many_plain_starts(spark):
+    rng = np.random.default_rng(8)
+    groups = {"a": np.vstack([rng.normal(0, 1, (400, 5)), rng.normal(6, 0.4, (60, 5))]), "b": rng.standard_t(3, (300, 5)), "c": np.vstack([rng.normal(0, 2, (150, 5)), rng.normal(-4, 0.2, (35, 5))])}
+    rows = [(g, *map(float, x), k) for g, xs in groups.items() for k, x in enumerate(xs)]
+    points = spark.createDataFrame(rows, "stratum string, x0 double, x1 double, x2 double, x3 double, x4 double, draw long")
+    got = {r.stratum: r.det for r in rules.least_determinants(points).collect()}
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        assert got[g] <= least_determinant(xs, 60, 1) + 0.02
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choices(WORDS, k=rng.randrange(40, 400)))
+    rows = [(k, text(), "en", "large") for k in range(200)] + [(500 + k, text(), "en", f"small {k % 7}") for k in range(12)] + [(600, text(), None, None)]
+    rows += [(700, " ".join(w + "***" for w in rng.choices(WORDS, k=120)), "en", "small 1"), (701, None, "xx", "alone"), (701, None, "xx", "alone")]
+    out = rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert sorted(r.doc_id for r in out.where("not kept").collect()) == [700, 701, 701]
+
+
 def test_language_model_base_and_likelihood(docs):
     out = {r.doc_id: r for r in hmm_lm.scored(docs, F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7, F.lit(0)) == 2).collect()}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
