@@ -46,6 +46,19 @@ def sessions(events: DataFrame, job: str, ts: str, stage: str, gap: str, termina
     return s.select(job, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", F.when(F.col("ended"), "done").otherwise("interrupted").alias("status"))
 
 
+#: Fixed value: why a job that nobody runs any more was interrupted.
+ORPHANED = "Interrupted when the server stopped"
+
+
+def reconciled(jobs: DataFrame, live: DataFrame, job: str = "job_id") -> DataFrame:
+    """Jobs (job, status, error, ..) with those that are marked running but not live interrupted, and `changed` for these."""
+    held = live.select(F.col(job)).distinct().withColumn("_live", F.lit(True))
+    both = jobs.join(held, job, "left")
+    orphan = (F.col("status") == "running") & F.col("_live").isNull()
+    changed = F.coalesce(orphan, F.lit(False))
+    return both.withColumns({"status": F.when(orphan, "interrupted").otherwise(F.col("status")), "error": F.when(orphan, ORPHANED).otherwise(F.col("error")), "changed": changed}).drop("_live")
+
+
 def create_jobs(books: DataFrame, book: str, chapter: str, title: str) -> tuple[DataFrame, DataFrame]:
     """(jobs, chapter rows) of books given as rows of chapters."""
     job = F.concat(slugify(F.col(book)), F.lit("-"), F.left(F.sha2(F.col(book), 256), F.lit(6)))

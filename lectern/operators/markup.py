@@ -33,11 +33,15 @@ def block_text(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"[\s ]+", " "))
 
 
+_BODY = rf"((?:(?!</?(?:{BORDERS})\b).)*+)"
+LEAF = rf"(?is)<(?:p|h[1-6])\b[^>]*>{_BODY}|<(?:blockquote)\b[^>]*>{_BODY}(?=</blockquote\b)|<li\b[^>]*>{_BODY}(?=</li\b|<li\b|</ul\b)"
+#: Elements without content of their own.
+VOID = r"(?i)^<(br|hr|img|input|wbr|col|area|embed|source|track)\b|/>$"
+
+
 def _leaves(clean: Column) -> Column:
     """The innermost blocks of clean markup, as an array."""
-    body = rf"((?:(?!</?(?:{BORDERS})\b).)*+)"
-    pattern = rf"(?is)<(?:p|h[1-6])\b[^>]*>{body}|<(?:blockquote)\b[^>]*>{body}(?=</blockquote\b)|<li\b[^>]*>{body}(?=</li\b|<li\b|</ul\b)"
-    return F.regexp_extract_all(clean, F.lit(f"({pattern})"), 1)
+    return F.regexp_extract_all(clean, F.lit(f"({LEAF})"), 1)
 
 
 def _inner(block: Column) -> Column:
@@ -56,11 +60,15 @@ def texts(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("text", block_text(F.col("inner"))).where("text <> ''")
 
 
-def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, text): the blocks of a page joined by blank lines, else all its text. Nothing is shuffled."""
+def page_text_column(html: Column) -> Column:
+    """The blocks of a page joined by blank lines, else all its text."""
     blocks = lambda clean: F.array_join(F.filter(F.transform(_leaves(clean), lambda b: block_text(_inner(b))), lambda t: t != ""), "\n\n")
-    text = let(clean_html(F.col(html)), lambda clean: let(blocks(clean), lambda t: F.when(t != "", t).otherwise(F.nullif(block_text(clean), F.lit("")))))
-    return pages.select(key, text.alias("text"))
+    return let(clean_html(html), lambda clean: let(blocks(clean), lambda t: F.when(t != "", t).otherwise(F.nullif(block_text(clean), F.lit("")))))
+
+
+def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, text) of each page. Nothing is shuffled."""
+    return pages.select(key, page_text_column(F.col(html)).alias("text"))
 
 
 def assembled(blocks: DataFrame, *keys: str) -> DataFrame:
@@ -102,6 +110,67 @@ def anchors(blocks: DataFrame, toc: DataFrame, key: str = "page_id") -> DataFram
     return named.join(toc, [key, "fragment"]).groupBy(key, "seq", "title").agg(F.min(F.struct("rank", "pos")).alias("at")).select(key, "seq", "title", F.col("at.pos").alias("pos"))
 
 
+def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, k, item) of a body in order: innermost blocks whole, and tags outside of them that have an id or a name."""
+    body = F.regexp_replace(clean_html(F.col(html)), r"(?is)^.*?<body\b[^>]*>", "")
+    items = F.regexp_extract_all(body, F.lit(rf"({LEAF}|<[a-z][^>]*\s(?:id|name)\s*=[^>]*>)"), 1)
+    return pages.select(key, F.posexplode(items).alias("k", "item"))
+
+
+def element_blocks(found: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, pos, text) of the blocks with text among `elements`; places are even, odd ones lie inside a block."""
+    blocks = found.where(F.col("item").rlike(rf"(?i)^<({BLOCKS})\b"))
+    return blocks.select(key, (2 * F.col("k")).alias("pos"), block_text(_inner(F.col("item"))).alias("text")).where("text <> ''")
+
+
+def anchor_positions(found: DataFrame, toc: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, seq, title, pos) of the fragments of `toc` (key, fragment, seq, title) among `elements`.
+
+    The first element with that id counts, else the first link with that name. A block, and what stands directly in a block,
+    is at the block; what lies deeper is behind it, so that its section begins with the next block.
+    """
+    tags = F.regexp_extract_all("item", F.lit("(</?[a-zA-Z][^>]*>)"), 1)
+    named = found.where(F.col("item").rlike(r"(?is)<[^>]*\s(id|name)\s*=")).withColumn("tags", tags)
+    named = named.select(key, "k", "tags", F.posexplode("tags").alias("i", "tag"))
+    value = lambda name: F.regexp_extract("tag", rf"""(?i)\s{name}\s*=\s*["']?([^"'\s>]+)""", 1)
+    named = named.withColumn("x", F.array(F.struct(F.lit(0).alias("rank"), value("id").alias("fragment")), F.struct(F.lit(1).alias("rank"), F.when(F.col("tag").rlike(r"(?i)^<a\b"), value("name")).otherwise("").alias("fragment"))))
+    # Elements that are open between the block's own tag and this one.
+    before = F.slice("tags", F.lit(2), F.greatest(F.col("i") - 1, F.lit(0)))
+    opened = F.size(F.filter(before, lambda t: ~t.startswith("</") & ~t.rlike(VOID))) - F.size(F.filter(before, lambda t: t.startswith("</")))
+    named = named.select(key, "i", (2 * F.col("k") + F.when((F.col("i") > 0) & (opened > 0), 1).otherwise(0)).alias("pos"), F.inline("x")).where("fragment <> ''")
+    return named.join(toc, [key, "fragment"]).groupBy(key, "seq", "title").agg(F.min(F.struct("rank", "pos", "i")).alias("at")).select(key, "seq", "title", F.col("at.pos").alias("pos"))
+
+
+def book_chapters(pages: DataFrame, toc: DataFrame) -> DataFrame:
+    """(book, page_id, part, title, text): the chapters of books from their pages (book, page_id in reading order, html).
+
+    `toc` has (page_id, fragment, seq, title); an empty fragment names the whole page. A page is split if two or more of its
+    fragments are located: what stands before the first is a chapter of its own, part -1. Other pages are one chapter, named by
+    the table of contents, else by their first heading, else by number, unless the name is that of front matter. Chapters
+    under MIN_CHAPTER characters are left out, before and after a repeated title at their head is cut off.
+    """
+    files = toc.where("fragment = ''").groupBy("page_id").agg(F.min_by("title", "seq").alias("file_title"))
+    found = elements(pages)
+    marks = anchor_positions(found, toc.where("fragment <> ''"))
+    split = marks.groupBy("page_id").agg(F.count("*").alias("n")).where("n >= 2").select("page_id")
+    sections = asof_sections(element_blocks(found).join(split, "page_id", "left_semi"), marks.join(split, "page_id", "left_semi"))
+    parts = assembled(sections, "page_id", "seq", "title").join(files, "page_id", "left")
+    parts = parts.select("page_id", F.coalesce("seq", F.lit(-1)).alias("part"), F.when(F.col("seq").isNull(), F.coalesce("file_title", F.lit("Introduction"))).otherwise(F.col("title")).alias("title"), "text")
+    whole = pages.join(split, "page_id", "left_anti").join(files, "page_id", "left")
+    heading = block_text(F.regexp_extract(clean_html(F.col("html")), r"(?is)<(h[1-3])\b[^>]*>(.*?)</\1\s*>", 2))
+    title = F.coalesce(F.nullif("file_title", F.lit("")), F.nullif(heading, F.lit("")))
+    whole = whole.select("page_id", F.lit(0).alias("part"), title.alias("title"), page_text_column(F.col("html")).alias("text"))
+    whole = whole.where(F.coalesce(~strip(F.col("title")).rlike(FRONT_MATTER), F.lit(True)))
+    chapters = parts.unionByName(whole).where(F.length("text") >= MIN_CHAPTER).join(pages.select("page_id", "book"), "page_id")
+    # Numbers need the places of all chapters of a book, but no texts.
+    number = F.row_number().over(Window.partitionBy("book").orderBy("page_id", "part"))
+    numbers = chapters.select("book", "page_id", "part", "title").withColumn("n", number).where("title is null").select("page_id", "part", "n")
+    chapters = chapters.join(numbers, ["page_id", "part"], "left").withColumn("title", F.coalesce("title", F.concat(F.lit("Chapter "), F.col("n").cast("string"))))
+    blocks = F.split("text", "\n\n", 2)
+    text = F.coalesce(strip_leading_title(F.col("title"), F.get(blocks, F.lit(0)), F.get(blocks, F.lit(1))), F.lit(""))
+    return chapters.select("book", "page_id", "part", "title", text.alias("text")).where(F.length("text") >= MIN_CHAPTER)
+
+
 def asof_sections(blocks: DataFrame, marks: DataFrame, key: str = "page_id") -> DataFrame:
     """Blocks with the `seq` and `title` of the last anchor at or before them (null before the first): a window, no range join."""
     left = blocks.select(key, "pos", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("string").alias("title"), "text", F.lit(1).alias("is_block"))

@@ -33,13 +33,15 @@ def meets_spec(rms: Column, peak: Column) -> Column:
 
 
 def waveform_peaks(samples: Column, buckets: int) -> Column:
-    """Largest magnitude of each of `buckets` equal stretches, relative to the largest of all."""
+    """Largest magnitude of each of `buckets` equal stretches (no more than there are samples, one at least), relative to the
+    largest of all, to four decimals."""
     n = F.size(samples)
-    edge = lambda i: F.floor(i * n / buckets).cast("int")
+    many = F.greatest(F.lit(1), F.least(F.lit(buckets), n))
+    edge = lambda i: F.floor(i * n / many).cast("int")
     size = F.transform(samples, lambda v: F.abs(v.cast("double")))
-    peaks = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.array_max(F.slice(size, edge(i) + 1, edge(i + 1) - edge(i))), F.lit(0.0)))
+    peaks = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.coalesce(F.array_max(F.slice(size, edge(i) + 1, edge(i + 1) - edge(i))), F.lit(0.0)))
     top = F.array_max(size)
-    return F.when(top > 0, F.transform(peaks, lambda p: p / top)).otherwise(peaks)
+    return F.when(top > 0, F.transform(peaks, lambda p: F.round(p / top, 4))).otherwise(peaks)
 
 
 def silence_runs(long: DataFrame, key: str, threshold: float = THRESHOLD, least: int = 1) -> DataFrame:

@@ -56,6 +56,16 @@ def job_live_flag(spark, d):
     return orders(spark, d).join(live, F.col("o_orderkey") == F.col("u"), "left").select(F.col("o_orderkey").alias("job_id"), "status", F.col("u").isNotNull().alias("live"))
 
 
+@register(
+    "reconcile_running",
+    f"""SELECT job_id, CASE WHEN gone THEN 'interrupted' ELSE status END AS status, CASE WHEN gone THEN 'Interrupted when the server stopped' END AS error, gone AS changed
+    FROM (SELECT o_orderkey AS job_id, {_STATUS} AS status, o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) AS gone FROM orders)""",
+)
+def reconcile_running(spark, d):
+    jobs = orders(spark, d).select(F.col("o_orderkey").alias("job_id"), "status", F.lit(None).cast("string").alias("error"))
+    return J.reconciled(jobs, table(spark, d, "events").select(F.col("user_id").alias("job_id")))
+
+
 @register("latest_progress", "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS stage, max(ts)::TIMESTAMP AS ts FROM events GROUP BY 1")
 def latest_progress(spark, d):
     return J.latest(stages(spark, d), "job_id", ["ts", "event_id"], ["stage", "ts"])

@@ -147,6 +147,71 @@ def preamble_chapters(spark, d):
     return head.select("page_id", F.coalesce(listed, F.lit("Introduction")).alias("title"), "text")
 
 
+# Pages with anchors: directly in the heading, deep inside the first paragraph, and between two blocks. The table of contents
+# lists all three for two pages of three, one that exists and one that does not for others, and some pages as a whole.
+_MARKED = r"""marked AS (SELECT page_id, split_part(url, '/', 3) AS book, regexp_replace(regexp_replace(replace(html, '<h1>', '<h1><span id="s1"></span>'),
+        '(?s)^(.*?)<p><b>', '\1<p><b><a class="x" id=''s2''></a>'), '(?s)^(.*?)</p><p>', '\1</p><a name="s3"></a><p>') AS html FROM pages),
+    toc AS (SELECT page_id, 's'||k AS fragment, k AS seq, 'T'||page_id||'.'||k AS title FROM pages, range(1, 4) r(k) WHERE page_id % 3 <> 0
+        UNION ALL SELECT page_id, CASE k WHEN 1 THEN 'nowhere' ELSE 's2' END, k, 'N'||page_id FROM pages, range(1, 3) r(k) WHERE page_id % 6 = 3
+        UNION ALL SELECT page_id, '', 0, CASE WHEN page_id % 5 = 0 THEN 'Cover ' ELSE 'File ' END||page_id FROM pages WHERE page_id % 4 = 0)"""
+_PIECES = r"""cut AS (SELECT page_id, string_split(regexp_replace({clean}, '(?i)(</?(?:p|h[1-6]|blockquote|li|article|div|footer|body|ul)\b)', chr(1)||'\1', 'g'), chr(1)) AS ps FROM marked),
+    pieces AS (SELECT page_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM cut),
+    blocks AS (SELECT page_id, k::DOUBLE AS place, {text} AS text FROM (SELECT *, regexp_extract(piece, '(?s)^<[^>]*>(.*)$', 1) AS inside FROM pieces WHERE regexp_matches(piece, '(?i)^<(p|h[1-6]|blockquote|li)\b')) WHERE {text} <> ''),
+    named AS (SELECT page_id, k, unnest(regexp_extract_all(piece, '\s(?:id|name)=["''](s\d)', 1)) AS fragment FROM pieces),
+    marks AS (SELECT page_id, seq, title, k + CASE fragment WHEN 's2' THEN 0.5 ELSE 0 END AS place FROM named JOIN toc USING (page_id, fragment))""".format(clean=_BR.format(c="html"), text=_TEXT.format(c="inside"))
+
+
+def marked_pages(spark, d):
+    first = lambda c, old, new: F.regexp_replace(c, f"(?s)^(.*?){old}", f"$1{new}")
+    html = first(F.replace("html", F.lit("<h1>"), F.lit('<h1><span id="s1"></span>')), "<p><b>", "<p><b><a class=\"x\" id='s2'></a>")
+    return pages(spark, d).select("page_id", F.get(F.split("url", "/"), F.lit(2)).alias("book"), first(html, "</p><p>", '</p><a name="s3"></a><p>').alias("html"))
+
+
+def marked_toc(spark, d):
+    p, name = pages(spark, d).select("page_id"), lambda start, *rest: F.concat(F.lit(start), *[x if x is not None else F.lit(".") for x in rest])
+    text = lambda c: F.col(c).cast("string")
+    three = p.where("page_id % 3 <> 0").select("page_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("seq"))
+    three = three.select("page_id", name("s", text("seq")).alias("fragment"), "seq", name("T", text("page_id"), None, text("seq")).alias("title"))
+    one = p.where("page_id % 6 = 3").select("page_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("seq"))
+    one = one.select("page_id", F.when(F.col("seq") == 1, "nowhere").otherwise("s2").alias("fragment"), "seq", name("N", text("page_id")).alias("title"))
+    own = F.concat(F.when(F.col("page_id") % 5 == 0, "Cover ").otherwise("File "), text("page_id"))
+    return three.unionByName(one).unionByName(p.where("page_id % 4 = 0").select("page_id", F.lit("").alias("fragment"), F.lit(0).alias("seq"), own.alias("title")))
+
+
+@register("anchor_positions", f"WITH {_MARKED}, {_PIECES} SELECT m.page_id, m.seq, m.title, (SELECT count(*) FROM blocks b WHERE b.page_id = m.page_id AND b.place < m.place) AS blocks_before FROM marks m")
+def anchor_positions(spark, d):
+    found = M.elements(marked_pages(spark, d))
+    blocks, marks = M.element_blocks(found), M.anchor_positions(found, marked_toc(spark, d))
+    both = marks.join(blocks.select("page_id", F.col("pos").alias("at")), "page_id", "left")
+    return both.groupBy("page_id", "seq", "title").agg(F.count_if(F.col("at") < F.col("pos")).alias("blocks_before"))
+
+
+_BARE = "regexp_replace(lower({c}), '[^a-z0-9]+', '', 'g')"
+
+
+@register(
+    "book_chapters",
+    rf"""WITH {_MARKED}, {_PIECES},
+    files AS (SELECT page_id, title FROM toc WHERE fragment = ''),
+    split AS (SELECT page_id FROM marks GROUP BY 1 HAVING count(*) >= 2),
+    placed AS (SELECT b.page_id, b.place, b.text, (SELECT max((m.place, m.seq)) FROM marks m WHERE m.page_id = b.page_id AND m.place <= b.place) AS x FROM blocks b WHERE b.page_id IN (FROM split)),
+    parts AS (SELECT page_id, coalesce(x[2], -1)::INT AS part, string_agg(text, chr(10)||chr(10) ORDER BY place) AS text FROM placed GROUP BY 1, 2),
+    titled AS (SELECT p.page_id, part, CASE WHEN part < 0 THEN coalesce(f.title, 'Introduction') ELSE m.title END AS title, text
+        FROM parts p LEFT JOIN files f USING (page_id) LEFT JOIN marks m ON m.page_id = p.page_id AND m.seq = p.part),
+    whole AS (SELECT d.page_id, 0 AS part, coalesce(f.title, nullif({_TEXT.format(c="regexp_extract(d.html, '(?is)<h1>(.*?)</h1>', 1)")}, '')) AS title, t AS text
+        FROM marked d LEFT JOIN files f USING (page_id) JOIN (SELECT page_id, string_agg(text, chr(10)||chr(10) ORDER BY place) AS t FROM blocks GROUP BY 1) USING (page_id)
+        WHERE d.page_id NOT IN (FROM split)),
+    chapters AS (SELECT book, c.*, row_number() OVER (PARTITION BY book ORDER BY c.page_id, part) AS n
+        FROM (FROM titled UNION ALL FROM whole WHERE title IS NULL OR NOT starts_with(title, 'Cover')) c JOIN marked USING (page_id) WHERE length(text) >= 200),
+    named_ AS (SELECT book, page_id, part, coalesce(title, 'Chapter '||n) AS title, text FROM chapters)
+    SELECT book, page_id, part, title, text FROM (SELECT book, page_id, part, title, CASE WHEN {_BARE.format(c="title")} <> ''
+            AND {_BARE.format(c="title")} = {_BARE.format(c="split_part(text, chr(10)||chr(10), 1)")}
+        THEN substr(text, length(split_part(text, chr(10)||chr(10), 1)) + 3) ELSE text END AS text FROM named_) WHERE length(text) >= 200""",
+)
+def book_chapters(spark, d):
+    return M.book_chapters(marked_pages(spark, d), marked_toc(spark, d))
+
+
 @register("min_length_filter", "SELECT doc_id, length(text) AS n_chars FROM documents WHERE length(text) >= 200")
 def min_length_filter(spark, d):
     return table(spark, d, "documents").where(F.length("text") >= M.MIN_CHAPTER).select("doc_id", F.length("text").alias("n_chars"))

@@ -43,11 +43,17 @@ def meets_level_spec(spark, d):
     return G.clip_levels(long(spark, d), "vec_id", 8).select("vec_id", G.meets_spec(F.col("rms_db"), F.col("peak_db")).alias("ok"))
 
 
-@register("waveform_peaks", f"WITH l AS ({_LONG}), t AS (SELECT vec_id, max(abs(v)) AS top FROM l GROUP BY 1) SELECT l.vec_id, b.b AS bucket, max(abs(v)) / any_value(top) AS peak FROM l JOIN t USING (vec_id), range(10) b(b) WHERE i >= b.b * 64 // 10 AND i < (b.b + 1) * 64 // 10 GROUP BY ALL")
+@register("waveform_peaks", f"WITH l AS ({_LONG}), t AS (SELECT vec_id, max(abs(v)) AS top FROM l GROUP BY 1) SELECT l.vec_id, b.b AS bucket, round(max(abs(v)) / any_value(top), 4) AS peak FROM l JOIN t USING (vec_id), range(10) b(b) WHERE i >= b.b * 64 // 10 AND i < (b.b + 1) * 64 // 10 GROUP BY ALL")
 def waveform_peaks(spark, d):
     return clips(spark, d).select("vec_id", F.posexplode(G.waveform_peaks(F.col("embedding"), 10)).alias("bucket", "peak"))
 
 
+# More buckets than samples: each sample is a bucket of its own.
+@register("waveform_peaks_short", f"WITH l AS ({_LONG}), t AS (SELECT vec_id, max(abs(v)) AS top FROM l GROUP BY 1) SELECT l.vec_id, i AS bucket, round(abs(v) / top, 4) AS peak FROM l JOIN t USING (vec_id)")
+def waveform_peaks_short(spark, d):
+    return clips(spark, d).select("vec_id", F.posexplode(G.waveform_peaks(F.col("embedding"), 900)).alias("bucket", "peak"))
+
+
 _RUNS = f"SELECT user_id, start, length FROM (SELECT user_id, min(i) AS start, count(*) AS length, any_value(last) AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS island FROM (SELECT *, max(i) OVER (PARTITION BY user_id) AS last FROM ({_EVENTS})) WHERE abs(v) <= {_QUIET}) GROUP BY user_id, island) WHERE start > 0 AND start + length - 1 < last AND length >= 2"
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalog import register
+from ..catalog import ORACLES, register
 from ..functions import text as X
 from ..operators import lexicon as L
 from ..operators import pace as P
@@ -28,6 +28,11 @@ def lexicon_dim(spark, d):
     return L.lexicon_dim(words.select("word", F.when(F.length("word") > 3, title).otherwise("").alias("say_as")))
 
 
+@register("lexicon_listing", f"SELECT * FROM ({ORACLES['lexicon_dim']}) ORDER BY key")
+def lexicon_listing(spark, d):
+    return lexicon_dim(spark, d).orderBy("key")
+
+
 @register("known_words", "SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM benchmark) WHERE w <> ''")
 def known_words(spark, d):
     return L.known_words(table(spark, d, "benchmark"))

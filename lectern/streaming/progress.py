@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.jobs import sessions
+from ..operators.jobs import TERMINAL, latest, sessions
 from ..operators.lexicon import apply_lexicon
 from ..sources.tables import write_checkpoints
 
@@ -29,6 +32,31 @@ def interrupted(events: DataFrame, gap: str = "30 minutes", delay: str | None =
     return sessions(events, "job_id", "ts", "stage", gap, list(terminal))
 
 
+def latest_states(events: DataFrame) -> DataFrame:
+    """The last stage of each job, for update mode: a job is sent again whenever its last event changes."""
+    return latest(events, "job_id", ["ts", "event_id"], ["stage", "ts"])
+
+
+def follow(events: DataFrame, emit: Callable[[DataFrame], None], checkpoint: str, terminal: tuple[str, ...] = tuple(TERMINAL), wait_s: float = 0.2) -> None:
+    """Hand each batch of one job's events to `emit`, up to and with the first terminal one; then the stream is closed."""
+    over = threading.Event()
+
+    def batch(rows: DataFrame, _: int) -> None:
+        if over.is_set():
+            return
+        end = rows.where(F.col("stage").isin(*terminal)).agg(F.min(F.struct("ts", "event_id")).alias("x")).first().x
+        emit(rows if end is None else rows.where((F.col("ts") < end.ts) | ((F.col("ts") == end.ts) & (F.col("event_id") <= end.event_id))))
+        if end is not None:
+            over.set()
+
+    query = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).start()
+    while not over.wait(wait_s) and query.isActive:
+        pass
+    query.stop()
+    if query.exception():
+        raise query.exception()
+
+
 def respelled(texts: DataFrame, lexicon: dict[str, str]) -> DataFrame:
     """A stream of texts with a static lexicon: the same expression as in batch."""
     return texts.withColumn("said", apply_lexicon(F.col("text"), lexicon))

@@ -1,5 +1,8 @@
 """Streams against their batch twins, and the resumable sinks."""
 
+import datetime
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.sources.tables import read_manifests, write_checkpoints, write_manifests, write_markers
@@ -60,3 +63,29 @@ def test_manifests_and_markers(spark, tmp_path):
     lines = spark.createDataFrame([("x", 1, "two"), ("x", 0, "one")], "book string, line_no int, line string")
     write_markers(lines, str(tmp_path / "markers"))
     assert [r.value for r in spark.read.text(str(tmp_path / "markers/book=x")).collect()] == ["one", "two"]
+
+
+def test_latest_states_stream_in_update_mode(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/events.parquet").withColumn("part", F.ntile(3).over(Window.orderBy("ts", "event_id")))
+    for k in (1, 2, 3):
+        rows.where(f"part = {k}").drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    one = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    events = lambda df: df.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    sent = []
+    q = R.latest_states(events(one)).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True)
+    q.foreachBatch(lambda b, _: sent.append([tuple(r) for r in b.collect()])).start().awaitTermination()
+    state = {}
+    for batch in sent:
+        state.update({r[0]: r for r in batch})
+    assert len([b for b in sent if b]) == 3
+    assert set(state.values()) == {tuple(r) for r in R.latest_states(events(rows)).collect()}
+
+
+def test_following_a_job_ends_with_its_terminal_event(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(1, s, t + datetime.timedelta(minutes=k), k) for k, s in enumerate(["start", "half", "done", "late"])]
+    df = spark.createDataFrame(rows, "job_id long, stage string, ts timestamp, event_id long")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = []
+    R.follow(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), lambda b: got.extend(r.stage for r in b.orderBy("event_id").collect()), str(tmp_path / "at"))
+    assert got == ["start", "half", "done"] and not [q for q in spark.streams.active if q.isActive]
