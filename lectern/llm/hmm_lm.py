@@ -5,7 +5,7 @@ Tokens are counted over all training documents. Every token with at least 1/HOT
 inside the class: the model gives every text a proper probability. Baum-Welch starts from the unigram shares and settles on about
 WARM tokens of short texts first, picked by a hash of the text (a start only, the same for every partitioning); then every pass
 sums expected counts over the partitions of all training documents, each a whole chain, until a pass gains less than SETTLED of
-the log-likelihood (windows of WINDOW tokens bound the memory, their borders are exact); scores come from the scaled forward recursion over each whole text. Counts of rare tokens never leave the executors: their
+the log-likelihood (blocks of WINDOW tokens bound the memory and let long texts run abreast, their borders are exact); scores come from the scaled forward recursion over each whole text. Counts of rare tokens never leave the executors: their
 share of a text's score is a join by token, in which no key has more than 1/HOT of the rows.
 
 Null and empty texts consist of the end token. Rows with a null doc_id are trained on; repeated rows count and are scored each.
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import Ids, bounded_batches, numbered_words, remainder, runs_of, saved, text_bytes
 
 HOT, CLASSES, STATES = 50_000, 1024, 8
-WINDOW, SETTLED = 4096, 1e-4
+WINDOW, SETTLED = 512, 1e-4
+#: Tokens of blocks that are worked on together.
+HELD = 400_000
 #: Tokens, and those of a text at most, on which the parameters settle before they see all rows, and how far.
 WARM, WARM_TEXT, WARM_SETTLED = 800_000, 1024, 2e-6
 #: The end token; no word is empty.
@@ -128,8 +130,31 @@ def encoded(docs: DataFrame, words: Lexicon) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, symbols binary, n_tokens long, hot_known long, hot_log double, class_log double, rare array<long>")
 
 
+class Blocks:
+    """Stretches of a token array laid out by step: the k-th tokens of all blocks that have one are neighbours."""
+
+    def __init__(self, flat: np.ndarray, base: np.ndarray, sizes: np.ndarray):
+        """`sizes` are at least 1 and descend."""
+        longest = int(sizes[0]) if len(sizes) else 0
+        self.live = np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()  # blocks with more than k tokens
+        self.at = np.cumsum([0, *self.live]).tolist()
+        self.symbols = flat[np.concatenate([np.zeros(0, np.int64), *[base[:n] + k for k, n in enumerate(self.live)]])]
+        self.last = np.array(self.at, np.int64)[sizes - 1] + np.arange(len(sizes))
+
+    def steps(self, down: bool = False) -> Iterator[tuple[int, int, slice]]:
+        order = range(len(self.live) - 1, -1, -1) if down else range(len(self.live))
+        return ((k, self.live[k], slice(self.at[k], self.at[k + 1])) for k in order)
+
+
 @dataclass(frozen=True)
 class HiddenMarkov:
+    """All arrays below have a row for each state and a column for each token or block.
+
+    Texts are cut into blocks of WINDOW tokens, the first of a text taking what is over. A block maps the distribution of states
+    before it to that after it, linearly; these maps, composed along each text, give exact forward and backward values at all
+    borders, between which the recursions run over many blocks at once, however long a text is.
+    """
+
     start: np.ndarray  # by state
     step: np.ndarray  # by state and next state
     emit: np.ndarray  # by symbol and state
@@ -138,73 +163,114 @@ class HiddenMarkov:
         """Baum-Welch counts (start, step, emit) of whole texts."""
         return self.counts(texts)[:3]
 
+    def _emitted(self, symbols: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self.emit[symbols].T)
+
+    def _forward(self, blocks: Blocks, emitted: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distributions after each token, and its probability given those before it; `entry`: before the first tokens."""
+        alpha, scale, back = np.empty_like(emitted), np.empty(emitted.shape[1]), np.ascontiguousarray(self.step.T)
+        a = entry
+        for k, n, here in blocks.steps():
+            a = (back @ a[:, :n] if k else a) * emitted[:, here]
+            scale[here] = c = a.sum(axis=0)
+            a /= c
+            alpha[:, here] = a
+        return alpha, scale
+
+    def _maps(self, blocks: Blocks, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The map of each block (all are of one length), from the state of its first token to the last one's, and its log scale."""
+        n, back = blocks.live[0], np.ascontiguousarray(self.step.T)
+        m, log = np.eye(STATES)[:, :, None] * emitted[:, None, :n], np.zeros(n)
+        for k, _, here in blocks.steps():
+            if k:
+                m = (back @ m.reshape(STATES, -1)).reshape(STATES, STATES, n)
+                m *= emitted[:, None, here]
+            if k % 4 == 3 or k == len(blocks.live) - 1:
+                c = m.max(axis=(0, 1))
+                m /= c
+                log += np.log(c)
+        return m, log
+
+    def _backward(self, blocks: Blocks, emitted: np.ndarray, alpha: np.ndarray, scale: np.ndarray, before: np.ndarray | None, beta: np.ndarray, sums: tuple) -> None:
+        """Add expected counts; `before`: distributions at the ends of the blocks before (none for first ones), `beta`: values at the ends."""
+        start, moves, emit = sums
+        for k, n, here in blocks.steps(down=True):
+            b = beta[:, :n]
+            back = emitted[:, here] * b
+            back /= scale[here]
+            alpha[:, here] *= b  # now the marginals
+            last = alpha[:, blocks.at[k - 1] : blocks.at[k - 1] + n] if k else before
+            if last is not None:
+                moves += self.step * (last @ back.T)
+                beta[:, :n] = self.step @ back
+            else:
+                start += alpha[:, here].sum(axis=1)
+        for j in range(STATES):
+            emit[:, j] += np.bincount(blocks.symbols, alpha[j], len(emit))
+
+    def _run(self, texts: list[np.ndarray], sums: tuple | None) -> np.ndarray:
+        """Log-likelihood of each text; expected counts are added to `sums`."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        whole = -(-sizes // WINDOW) - 1  # blocks after the first
+        order = np.lexsort([-(sizes - whole * WINDOW), -whole]) if len(texts) else np.zeros(0, np.int64)
+        order = order[sizes[order] > 0]
+        log = np.zeros(len(texts))
+        if not len(order):
+            return log
+        flat, base = np.concatenate(texts), np.cumsum(sizes) - sizes
+        short, base, rest = (sizes - whole * WINDOW)[order], base[order], whole[order]
+        rank = np.argsort(-short, kind="stable")  # of the first blocks, which descend in length
+        first = Blocks(flat, base[rank], short[rank])
+        emitted = self._emitted(first.symbols)
+        alpha, scale = self._forward(first, emitted, np.repeat(self.start[:, None], len(rank), axis=1))
+        for k, n, here in first.steps():
+            log[order[rank[:n]]] += np.log(scale[here])
+        end = np.empty((STATES, len(rank)))
+        end[:, rank] = alpha[:, first.last]
+
+        at = np.cumsum(rest) - rest  # number of each text's second block
+        starts = np.repeat(base + short - at * WINDOW, rest) + np.arange(rest.sum()) * WINDOW
+        most = max(1, HELD // WINDOW)
+        slabs = [slice(lo, lo + most) for lo in range(0, len(starts), most)]
+        made = [Blocks(flat, starts[s], np.full(len(starts[s]), WINDOW)) for s in slabs] if len(slabs) == 1 else [None] * len(slabs)
+        maps, logs = np.empty((STATES, STATES, len(starts))), np.empty(len(starts))
+        for s, blocks in zip(slabs, made, strict=True):
+            blocks = blocks or Blocks(flat, starts[s], np.full(len(starts[s]), WINDOW))
+            maps[:, :, s], logs[s] = self._maps(blocks, self._emitted(blocks.symbols))
+        entry, before, after = (np.empty((STATES, len(starts))) for _ in range(3))
+        live = [int(np.searchsorted(-rest, -j, side="left")) for j in range(int(rest[0]))]  # texts with more than j later blocks
+        a = end
+        for j, n in enumerate(live):
+            own = at[:n] + j
+            before[:, own] = a = a[:, :n]
+            entry[:, own] = p = self.step.T @ a
+            a = np.einsum("sin,in->sn", maps[:, :, own], p)
+            a /= (c := a.sum(axis=0))
+            log[order[:n]] += np.log(c) + logs[own]
+        if sums is None:
+            return log
+        beta = np.ones((STATES, len(order)))
+        for j in range(len(live) - 1, -1, -1):
+            own = at[: live[j]] + j
+            after[:, own] = beta[:, : live[j]]
+            b = self.step @ np.einsum("sin,sn->in", maps[:, :, own], beta[:, : live[j]])
+            beta[:, : live[j]] = b / (before[:, own] * b).sum(axis=0)
+        self._backward(first, emitted, alpha, scale, None, beta[:, rank], sums)
+        for s, blocks in zip(slabs, made, strict=True):
+            blocks = blocks or Blocks(flat, starts[s], np.full(len(starts[s]), WINDOW))
+            emitted = self._emitted(blocks.symbols)
+            alpha, scale = self._forward(blocks, emitted, entry[:, s])
+            self._backward(blocks, emitted, alpha, scale, before[:, s], after[:, s], sums)
+        return log
+
     def counts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """The expected counts and the log-likelihood. Beyond WINDOW tokens the forward values are kept at borders and found again."""
-        parts = sorted(texts, key=len, reverse=True)
-        sizes = np.array([len(p) for p in parts], np.int64)
-        longest = int(sizes[0]) if len(sizes) else 0
-        live = np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()  # texts with more than k tokens
-        flat, base = np.concatenate([*parts, np.zeros(0, np.int32)]), np.cumsum(sizes) - sizes
-        step, log = self.step, 0.0
-
-        def forward(a: np.ndarray | None, first: int, end: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-            alpha, scale = [], []
-            for k in range(first, end):
-                a = (a[: live[k]] @ step if k else self.start) * self.emit[flat[base[: live[k]] + k]]
-                c = a.sum(axis=1, keepdims=True)
-                a = a / c
-                alpha.append(a)
-                scale.append(c)
-            return alpha, scale
-
-        borders = list(range(0, longest, WINDOW))
-        before: list[np.ndarray | None] = [None]
-        for at in borders:
-            alpha, scale = forward(before[-1], at, min(longest, at + WINDOW))
-            before.append(alpha[-1])
-            log += sum(float(np.log(c).sum()) for c in scale)
-        start, moves, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(self.emit), STATES))
-        beta = np.ones((len(parts), STATES))
-        for w in range(len(borders) - 1, -1, -1):
-            at, end = borders[w], min(longest, borders[w] + WINDOW)
-            if w < len(borders) - 1:
-                alpha, scale = forward(before[w], at, end)
-            seen, gammas = [], []
-            for k in range(end - 1, at - 1, -1):
-                n = live[k]
-                g = alpha[k - at] * beta[:n]
-                g /= g.sum(axis=1, keepdims=True)
-                symbols = flat[base[:n] + k]
-                seen.append(symbols)
-                gammas.append(g)
-                if k:
-                    back = self.emit[symbols] * beta[:n] / scale[k - at]
-                    moves += step * ((alpha[k - 1 - at] if k > at else before[w])[:n].T @ back)
-                    beta[:n] = back @ step.T
-            if not at:
-                start += gammas[-1].sum(axis=0)
-            symbols, g = np.concatenate(seen), np.concatenate(gammas)
-            emit += np.column_stack([np.bincount(symbols, g[:, j], len(self.emit)) for j in range(STATES)])
-        return start, moves, emit, log
+        """The expected counts and the log-likelihood."""
+        sums = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(self.emit), STATES))
+        return *sums, float(self._run(texts, sums).sum())
 
     def likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
         """Log10 probability of the symbols of each whole text, by the scaled forward recursion."""
-        order = np.argsort([-len(t) for t in texts], kind="stable")
-        sizes = np.array([len(texts[i]) for i in order])
-        ends = np.cumsum(sizes)
-        flat = np.concatenate([texts[i] for i in order]) if len(order) else np.zeros(0, np.int32)
-        base = ends - sizes
-        out = np.zeros(len(texts))
-        alpha = None
-        for k in range(int(sizes[0]) if len(sizes) else 0):
-            n = int(np.searchsorted(-sizes, -k, side="left"))
-            alpha = (alpha[:n] @ self.step if k else self.start) * self.emit[flat[base[:n] + k]]
-            c = alpha.sum(axis=1)
-            out[:n] += np.log10(c)
-            alpha = alpha / c[:, None]
-        back = np.empty(len(texts))
-        back[order] = out
-        return back
+        return self._run(texts, None) / np.log(10)
 
 
 def updated(start: np.ndarray, moves: np.ndarray, emit: np.ndarray, share: np.ndarray, weight: float) -> HiddenMarkov:
@@ -262,7 +328,7 @@ def trained(rows: DataFrame, words: Lexicon) -> HiddenMarkov:
                 for t in _symbols(b.column(0)):
                     held.append(t)
                     size += len(t)
-                    if size > 400_000:
+                    if size > HELD:
                         sums, held, size = _added(sums, m.counts(held)), [], 0
             if held:
                 sums = _added(sums, m.counts(held))
