@@ -14,7 +14,6 @@ Rare tokens are known by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, bounded_batches, numbered_words, remainder, runs_of, saved, text_bytes
+from .common import bounded_batches, mixed, numbered_words, remainder, runs_of, saved, text_bytes
 
 HOT, CLASSES, STATES = 50_000, 1024, 8
 WINDOW, SETTLED = 512, 1e-4
@@ -37,56 +36,70 @@ END = b""
 _EXPECTED = "symbol int, " + ", ".join(f"s{k} double" for k in range(STATES))
 
 
-def key_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+_MARKS = np.isin(np.arange(256), list(b".,;:!?\"')"))
 
 
-def class_of(word: bytes) -> int:
-    """Class of a token that is not frequent: by its last letters, closing marks and length."""
-    core = word.rstrip(b".,;:!?\"')")
-    return xxhash.xxh3_64_intdigest(b"%b %b %d" % (core[-3:], word[len(core) :][:2], min(3, len(core) // 4))) % CLASSES
+def described(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of words, and the class that each has if it is not frequent: by its last letters, closing marks and length."""
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)
+    raw = np.frombuffer(b"\0\0\0" + b"".join(words) + b"\0\0", np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(sizes) + 3
+    begin = end - sizes
+    core = np.maximum(begin, np.maximum.accumulate(np.where(_MARKS[raw], 0, np.arange(1, len(raw) + 1)))[end - 1])  # after the last that is no mark
+    code = np.minimum(3, (core - begin) // 4).astype(np.uint64)
+    for k in (1, 2, 3):
+        code = code << np.uint64(8) | np.where(core - begin >= k, raw[core - k], 0).astype(np.uint64)
+    for k in (0, 1):
+        code = code << np.uint64(8) | np.where(end - core > k, raw[core + k], 0).astype(np.uint64)
+    return keys.view(np.int64), (mixed(code) % np.uint64(CLASSES)).astype(np.int32)
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """(key, class, c) of every distinct token of the rows of (text as bytes); the end token once for each row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter[bytes] = Counter()
+    def merged(parts: list[tuple]) -> tuple:
+        keys, classes, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        return keys, classes[first], np.bincount(place, c, len(keys)).astype(np.int64)
 
-        def flush() -> pa.RecordBatch:
-            words = list(tally)
-            out = pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in words], pa.int64()), pa.array([class_of(w) for w in words], pa.int32()), pa.array([tally[w] for w in words], pa.int64())], names=["key", "class", "c"])
-            tally.clear()
-            return out
+    def batch(keys: np.ndarray, classes: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(classes), pa.array(c)], names=["key", "class", "c"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
         for b in batches:
             for some in runs_of(b.column(0)):
                 words, number, _ = numbered_words(some)
-                for w, c in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
-                    if c:
-                        tally[w] += c
-            tally[END] += b.num_rows
-            if len(tally) > 300_000:
-                yield flush()
-        if tally:
-            yield flush()
+                c = np.bincount(number, minlength=len(words))
+                parts.append(tuple(x[c > 0] for x in (*described(words), c)))
+            parts.append((*described([END]), np.array([b.num_rows])))
+            if sum(len(p[0]) for p in parts) > 600_000:
+                parts = [merged(parts)]
+                if len(parts[0][0]) > 300_000:
+                    yield batch(*parts.pop())
+        if parts:
+            yield batch(*merged(parts))
 
     return docs.select("text").mapInArrow(run, "key long, class int, c long").groupBy("key").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    hot: dict[int, int]  # key -> symbol
+    hot: np.ndarray  # keys in order; the place is the symbol
     hot_logs: np.ndarray  # log10(c + 1) by symbol, 0 for classes
     class_logs: np.ndarray  # log10 of the denominator inside a class by symbol, 0 for hot ones
     share: np.ndarray  # smoothed unigram probability of each symbol
     total: int
     distinct: int
 
-    def describe(self, word: bytes) -> tuple[int, int]:
-        key = key_of(word)
-        symbol = self.hot.get(key)
-        return (symbol, 0) if symbol is not None else (len(self.hot) + class_of(word), key)
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and keys of words."""
+        keys, classes = described(words)
+        spot = np.searchsorted(self.hot, keys)
+        there = np.append(self.hot, 0)[spot] == keys
+        there &= spot < len(self.hot)
+        return np.where(there, spot, len(self.hot) + classes).astype("<i4"), keys
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
@@ -97,7 +110,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
     sizes = np.array([rare.get(k, (0, 0)) for k in range(CLASSES)], float)
     occurrences = np.concatenate([[c for _, c in hot], sizes[:, 0]]) + 0.5
     zeros = np.zeros(len(hot))
-    return Lexicon({k: i for i, (k, _) in enumerate(hot)}, np.concatenate([np.log10(np.array([c for _, c in hot], float) + 1), np.zeros(CLASSES)]), np.concatenate([zeros, np.log10(sizes.sum(axis=1) + 1)]), occurrences / occurrences.sum(), int(n), int(v))
+    return Lexicon(np.array([k for k, _ in hot], np.int64), np.concatenate([np.log10(np.array([c for _, c in hot], float) + 1), np.zeros(CLASSES)]), np.concatenate([zeros, np.log10(sizes.sum(axis=1) + 1)]), occurrences / occurrences.sum(), int(n), int(v))
 
 
 def encoded(docs: DataFrame, words: Lexicon) -> DataFrame:
@@ -107,25 +120,27 @@ def encoded(docs: DataFrame, words: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        ids = Ids(lex.describe, 150_000)
         for b in batches:
-            symbols, hot_known, hot_log, class_log, rare, n = [], [], [], [], [], []
+            parts = []
             for some in runs_of(b.column(2)):
                 words, number, offsets = numbered_words(some)
-                own = ids.of([*words, END])
-                table = np.array(ids.rows, np.int64)[own]
-                end = table[-1:]
-                for lo, hi in zip(offsets.tolist(), offsets[1:].tolist()):
-                    s = np.concatenate([table[number[lo:hi]], end])
-                    cold = s[:, 0] >= len(lex.hot)
-                    symbols.append(s[:, 0].astype("<i4").tobytes())
-                    n.append(len(s))
-                    hot_known.append(int((~cold).sum()))
-                    hot_log.append(float(lex.hot_logs[s[:, 0]].sum()))
-                    class_log.append(float(lex.class_logs[s[:, 0]].sum()))
-                    rare.append(s[cold, 1])
-                ids.trim()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(symbols, pa.binary()), pa.array(n, pa.int64()), pa.array(hot_known, pa.int64()), pa.array(hot_log), pa.array(class_log), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "held_out", "symbols", "n_tokens", "hot_known", "hot_log", "class_log", "rare"])
+                of_word, keys = lex.symbols([*words, END])
+                tokens = np.insert(number, offsets[1:], len(words))  # the end token after each text
+                at = offsets.astype(np.int64) + np.arange(len(offsets))
+                symbols = of_word[tokens]
+                cold = symbols >= len(lex.hot)
+                n_cold = np.add.reduceat(cold, at[:-1], dtype=np.int64)
+                n = np.diff(at)
+                parts.append([
+                    pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(symbols)]),
+                    pa.array(n),
+                    pa.array(n - n_cold),
+                    pa.array(np.add.reduceat(lex.hot_logs[symbols], at[:-1])),
+                    pa.array(np.add.reduceat(lex.class_logs[symbols], at[:-1])),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n_cold]), pa.int32()), pa.array(keys[tokens[cold]])),
+                ])
+            if parts:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.concat_arrays(x) for x in zip(*parts, strict=True)]], names=["doc_id", "held_out", "symbols", "n_tokens", "hot_known", "hot_log", "class_log", "rare"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, symbols binary, n_tokens long, hot_known long, hot_log double, class_log double, rare array<long>")
 
