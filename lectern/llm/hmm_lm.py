@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mixed, numbered_words, remainder, runs_of, saved, text_bytes
+from .common import bounded_batches, mixed, numbered_words, remainder, runs_of, saved, text_bytes, tidy
 
 HOT, CLASSES, STATES = 50_000, 1024, 8
 WINDOW, SETTLED = 512, 1e-4
@@ -81,7 +81,7 @@ def counted(docs: DataFrame) -> DataFrame:
         if parts:
             yield batch(*merged(parts))
 
-    return docs.select("text").mapInArrow(run, "key long, class int, c long").groupBy("key").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy(run), "key long, class int, c long").groupBy("key").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ def encoded(docs: DataFrame, words: Lexicon) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.concat_arrays(x) for x in zip(*parts, strict=True)]], names=["doc_id", "held_out", "symbols", "n_tokens", "hot_known", "hot_log", "class_log", "rare"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, symbols binary, n_tokens long, hot_known long, hot_log double, class_log double, rare array<long>")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, symbols binary, n_tokens long, hot_known long, hot_log double, class_log double, rare array<long>")
 
 
 class Blocks:
@@ -353,7 +353,7 @@ def trained(rows: DataFrame, words: Lexicon) -> HiddenMarkov:
                 values = np.concatenate([np.full((1, STATES), log), start[None], moves, emit[numbers[2 + STATES :]]])
                 yield pa.RecordBatch.from_arrays([pa.array(numbers), *[pa.array(values[:, k]) for k in range(STATES)]], names=["symbol", *[f"s{k}" for k in range(STATES)]])
 
-        sums = train.mapInArrow(run, _EXPECTED).groupBy("symbol").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]).toArrow()
+        sums = train.mapInArrow(tidy(run), _EXPECTED).groupBy("symbol").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]).toArrow()
         shared.destroy()
         numbers = sums["symbol"].to_numpy()
         values = np.column_stack([sums[f"s{k}"].to_numpy() for k in range(STATES)])
@@ -396,12 +396,12 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
 
         for b in batches:
             held.append(b)
-            if sum(x.get_total_buffer_size() for x in held) > 16 << 20:
+            if sum(x.column(1).nbytes for x in held) > 4 * HELD:
                 yield flush()
         if held:
             yield flush()
 
-    likely = rows.select("row", "symbols").mapInArrow(run, "row long, log double")
+    likely = rows.select("row", "symbols").mapInArrow(tidy(run), "row long, log double")
     known = rows.select("row", F.explode("rare").alias("key")).join(counts.where(F.col("c") < max(2, -(-words.total // HOT))).select("key", "c"), "key")
     known = known.groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("rare_log"))
     base = F.col("hot_log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(words.total + words.distinct + 1))
