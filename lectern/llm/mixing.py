@@ -79,7 +79,7 @@ def knapsack(size: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
     that part was reached by earlier parts only, so that the way back uses each part once. It ends when the budget is reached.
     """
     out = np.zeros_like(left)
-    most = budget + (int(size[left > 0].min()) if (left > 0).any() else 0)
+    most = min(2 * budget, budget + int(size[left > 0].max(initial=0)))  # beyond, 0 or a sum without one document is as near
     reached, by = np.zeros(most + 1, bool), np.full(most + 1, -1, np.int32)
     reached[0] = True
     parts: list[tuple[int, int]] = []
