@@ -32,14 +32,123 @@ def apply_lexicon(c: Column, entries: dict[str, str]) -> Column:
     return X.sub_map(c, pattern, lambda m, _: F.coalesce(F.element_at(table, F.lower(m)), m))
 
 
-def lexicon_join(texts: DataFrame, dim: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same for a lexicon of any size: the distinct words of each text meet it, those found go back as a map of the text."""
-    parts = F.split(text, r"(?U)\b", -1)
-    words = texts.select(F.col(key).alias("_id"), F.explode(F.array_distinct(F.transform(parts, lambda x: F.lower(x)))).alias("_word"))
-    met = words.join(small(dim.select(F.col("key").alias("_word"), "say_as")), "_word")
-    told = met.groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("_word", "say_as"))).alias("_told"))
-    said = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at("_told", F.lower(x)), x)), "")
-    return texts.join(told, F.col(key) == F.col("_id"), "left").select(key, F.when(F.col("_told").isNull(), F.col(text)).otherwise(said).alias("said"))
+def _tokens(c: Column) -> Column:
+    """Words and what stands between them, in order: what any entry matches is a run of them."""
+    return F.split(c, r"(?U)\b", -1)
+
+
+def lexicon_prefixes(dim: DataFrame) -> DataFrame:
+    """The trie of a lexicon (key, say_as) as rows: (prefix, say, more, n) of every beginning of an entry by whole tokens.
+
+    `say` is null if the beginning is no entry itself; `more` tells whether a longer one goes on from it; n is its tokens.
+    """
+    tokens = F.filter(_tokens(F.col("key")), lambda t: t != "")
+    rows = dim.select("say_as", tokens.alias("t")).select("say_as", "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("n"))
+    whole = F.col("n") == F.size("t")
+    rows = rows.select(F.array_join(F.slice("t", F.lit(1), F.col("n")), "").alias("prefix"), F.when(whole, F.col("say_as")).alias("say"), (~whole).alias("more"), "n")
+    return rows.groupBy("prefix").agg(F.max("say").alias("say"), F.max("more").alias("more"), F.max("n").alias("n"))
+
+
+_ENTRIES = "array<struct<prefix:string,at:struct<say:string,more:boolean>>>"
+
+
+def _table(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """One row, one value: the prefixes as a hash table, an array of small maps."""
+    at = F.struct("prefix", F.struct("say", "more").alias("at"))
+    held = prefixes.groupBy(F.pmod(F.xxhash64("prefix"), F.lit(buckets)).alias("b")).agg(F.collect_list(at).alias("x"))
+    every = prefixes.sparkSession.range(buckets).select(F.col("id").alias("b")).join(held, "b", "left")
+    ordered = every.agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("a"))
+    return ordered.select(F.transform("a", lambda v: F.map_from_entries(F.coalesce(v["x"], F.array().cast(_ENTRIES)))).alias("table"))
+
+
+def respelt(c: Column, table: Column, buckets: int, most: int) -> Column:
+    """Respell by a table of prefixes of at most `most` tokens: the leftmost run that is an entry, the longest there, and so on
+    behind it. Runs of one token need no order; only longer ones are chosen in turn, since they may overlap."""
+
+    def at(tb: Column, x: Column) -> Column:
+        return F.try_element_at(F.get(tb, F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int")), x)
+
+    def longest(tb: Column, low: Column, first: Column, i: Column) -> Column:
+        start = F.struct(F.get(low, i).alias("run"), F.when(first["say"].isNotNull(), 1).otherwise(0).alias("n"), first["say"].alias("say"), first["more"].alias("on"))
+
+        def longer(a: Column, k: Column) -> Column:
+            def further(run: Column, e: Column) -> Column:
+                n, say = F.when(e["say"].isNotNull(), k + 1).otherwise(a["n"]), F.coalesce(e["say"], a["say"])
+                return F.struct(run.alias("run"), n.alias("n"), say.alias("say"), F.coalesce(e["more"], F.lit(False)).alias("on"))
+
+            return X.let(F.concat(a["run"], F.get(low, i + k)), lambda run: X.let(at(tb, run), lambda e: further(run, e)))
+
+        steps = F.sequence(F.lit(1), F.lit(most - 1))
+        found = F.aggregate(steps, start, lambda a, k: F.when(a["on"] & (i + k < F.size(low)), longer(a, k)).otherwise(a))
+        return X.let(found, lambda f: F.when(f["n"] > 0, F.struct(f["n"].alias("n"), f["say"].alias("say"))))
+
+    def hit(tb: Column, low: Column, x: Column, i: Column) -> Column:
+        alone = lambda e: F.when(e["say"].isNotNull(), F.struct(F.lit(1).alias("n"), e["say"].alias("say")))
+        if most == 1:
+            return X.let(at(tb, x), alone)
+        return X.let(at(tb, x), lambda e: F.when(e["more"], longest(tb, low, e, i)).otherwise(alone(e)))
+
+    def joined(parts: Column, hits: Column) -> Column:
+        words = F.transform(parts, lambda x, i: F.when(F.get(hits, i)["n"] == 1, F.get(hits, i)["say"]).otherwise(x))
+        if most == 1:
+            return F.array_join(words, "")
+        runs = F.filter(F.transform(hits, lambda h, i: F.struct(i.alias("at"), (i + h["n"]).alias("end"), h["say"].alias("say"))), lambda r: r["end"] - r["at"] > 1)
+        none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,end:int,say:string>>").alias("kept"))
+        taken = F.aggregate(runs, none, lambda a, r: F.when(r["at"] >= a["end"], F.struct(r["end"].alias("end"), F.array_append(a["kept"], r).alias("kept"))).otherwise(a), lambda a: a["kept"])
+
+        def piece(ws: Column, kept: Column, k: Column) -> Column:
+            begin = F.coalesce(F.get(kept, k - 1)["end"], F.lit(0))
+            size = F.coalesce(F.get(kept, k)["at"], F.size(ws)) - begin
+            return F.concat(F.array_join(F.slice(ws, begin + 1, size), ""), F.coalesce(F.get(kept, k)["say"], F.lit("")))
+
+        return X.let(words, lambda ws: X.let(taken, lambda kept: F.array_join(F.transform(F.sequence(F.lit(0), F.size(kept)), lambda k: piece(ws, kept, k)), "")))
+
+    hits = lambda tb, parts: X.let(F.transform(parts, F.lower), lambda low: F.transform(low, lambda x, i: hit(tb, low, x, i)))
+    return X.let(table, lambda tb: X.let(_tokens(c), lambda parts: X.let(hits(tb, parts), lambda hs: joined(parts, hs))))
+
+
+#: Bytes up to which a lexicon's trie goes to all tasks as one value, and what each of its rows takes besides its strings.
+TABLE_BYTES, ROW_BYTES = 128 << 20, 80
+
+
+def _size(prefixes: DataFrame) -> tuple[int, int, int]:
+    """(rows, tokens of the longest, bytes) of a trie."""
+    text = F.octet_length("prefix") + F.coalesce(F.octet_length("say"), F.lit(0)) + ROW_BYTES
+    r = prefixes.agg(F.count("*").alias("rows"), F.max("n").alias("most"), F.sum(text).alias("bytes")).first()
+    return r["rows"], r["most"] or 0, r["bytes"] or 0
+
+
+def lexicon_join(texts: DataFrame, dim: DataFrame, key: str = "doc_id", text: str = "text", limit: int = TABLE_BYTES) -> DataFrame:
+    """(key, said): `apply_lexicon` for a lexicon of any size, phrases and words with apostrophes included.
+
+    The lexicon's trie becomes one value, a hash table, if it is measured to be at most `limit` bytes; texts are respelt where they
+    are read. Of a larger lexicon, the entries are kept whose words all occur in the texts (only distinct words are shuffled). If these are
+    still too many, the runs of tokens of each text meet the trie, and each text the part of it that it needs, by a shuffle.
+    """
+    prefixes = lexicon_prefixes(dim)
+    rows, most, size = _size(prefixes)
+    if size > limit:
+        met = texts.select(F.explode(F.array_distinct(F.transform(_tokens(F.col(text)), F.lower))).alias("w")).distinct()
+        needed = dim.select("key", "say_as", F.explode(F.array_distinct(F.filter(_tokens(F.col("key")), lambda t: t != ""))).alias("w"))
+        missing = needed.join(met, "w", "left_anti").select("key").distinct()
+        prefixes = lexicon_prefixes(dim.join(missing, "key", "left_anti"))
+        rows, most, size = _size(prefixes)
+    if not rows:
+        return texts.select(key, F.col(text).alias("said"))
+    if size > limit:
+        return _respelt_by_runs(texts, prefixes, most, key, text)
+    buckets = max(1, rows // 4)
+    with_table = texts.select(key, text, _table(prefixes, buckets).scalar().alias("_table"))
+    return with_table.select(key, respelt(F.col(text), F.col("_table"), buckets, most).alias("said"))
+
+
+def _respelt_by_runs(texts: DataFrame, prefixes: DataFrame, most: int, key: str, text: str) -> DataFrame:
+    numbered = texts.select(key, text)
+    runs = lambda low: F.flatten(F.transform(low, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(low) - i)), lambda n: F.array_join(F.slice(low, i + 1, n), ""))))
+    found = numbered.select(F.col(key).alias("_id"), F.explode(F.array_distinct(X.let(F.transform(_tokens(F.col(text)), F.lower), runs))).alias("prefix"))
+    told = found.distinct().join(prefixes, "prefix").groupBy("_id").agg(F.array(F.map_from_entries(F.collect_list(F.struct("prefix", F.struct("say", "more").alias("at"))))).alias("_table"))
+    both = numbered.join(told, F.col(key).eqNullSafe(F.col("_id")), "left")
+    return both.select(key, F.when(F.col("_table").isNull(), F.col(text)).otherwise(respelt(F.col(text), F.col("_table"), 1, most)).alias("said"))
 
 
 def clean_text(c: Column, lexicon: dict[str, str] | None = None, respell: bool = True) -> Column:

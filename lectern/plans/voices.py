@@ -46,9 +46,29 @@ def apply_lexicon(spark, d):
     return docs(spark, d).select(F.col("doc_id").alias("id"), L.apply_lexicon(F.col("text"), LEXICON).alias("said"))
 
 
-@register("lexicon_join", "SELECT id AS doc_id, said FROM " + _RESPELL.format(dim=_DIM, src="documents"))
+#: Phrases besides, some of which overlap or begin others; each is words with one blank between them.
+PHRASES = LEXICON | {"of the": "uv thuh", "the of": "thuh-uv", "The of the": "around", "and the": "an'th", "the and": "thuh-annd", "and the to": "onward", "the the": "thuh, thuh", "de la": "duh lah"}
+_PHRASE_DIM = f"""(SELECT lower(word) AS key, arg_max(say_as, word) AS say_as
+        FROM (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in PHRASES.items())}) t(word, say_as) WHERE word <> '' AND say_as <> '' GROUP BY 1)"""
+
+
+@register(
+    "lexicon_join",
+    # At each word the longest phrase of up to three that begins there; words inside a phrase that was said are passed over.
+    rf"""WITH parts AS (SELECT doc_id, string_split_regex(text, '[\p{{L}}\p{{N}}\p{{M}}_]+') AS gs, regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}_]+') AS ws,
+        (SELECT map(list(key), list(say_as)) FROM {_PHRASE_DIM}) AS m FROM documents),
+    hits AS (SELECT doc_id, gs, ws, list_transform(range(1, len(ws) + 1), lambda i: CASE
+            WHEN i + 2 <= len(ws) AND m[lower(ws[i]||gs[i + 1]||ws[i + 1]||gs[i + 2]||ws[i + 2])] IS NOT NULL
+                THEN {{'n': 3, 'said': gs[i]||m[lower(ws[i]||gs[i + 1]||ws[i + 1]||gs[i + 2]||ws[i + 2])], 'skip': 0, 'so_far': ''}}
+            WHEN i + 1 <= len(ws) AND m[lower(ws[i]||gs[i + 1]||ws[i + 1])] IS NOT NULL THEN {{'n': 2, 'said': gs[i]||m[lower(ws[i]||gs[i + 1]||ws[i + 1])], 'skip': 0, 'so_far': ''}}
+            ELSE {{'n': 1, 'said': gs[i]||coalesce(m[lower(ws[i])], ws[i]), 'skip': 0, 'so_far': ''}} END) AS hs FROM parts),
+    told AS (SELECT doc_id, gs[len(ws) + 1] AS tail, list_reduce(list_prepend({{'n': 0, 'said': '', 'skip': 0, 'so_far': ''}}, hs), lambda a, e: CASE WHEN a.skip > 0
+            THEN {{'n': 0, 'said': '', 'skip': a.skip - 1, 'so_far': a.so_far}} ELSE {{'n': 0, 'said': '', 'skip': e.n - 1, 'so_far': a.so_far||e.said}} END) AS a FROM hits)
+    SELECT doc_id, a.so_far||tail AS said FROM told""",
+)
 def lexicon_join(spark, d):
-    return L.lexicon_join(docs(spark, d), L.lexicon_dim(entries(spark)))
+    phrases = spark.createDataFrame(list(PHRASES.items()), "word string, say_as string")
+    return L.lexicon_join(docs(spark, d), L.lexicon_dim(phrases))
 
 
 # The query cleans every turn; this SQL has all steps but the numbers, which no turn of the given tables holds (tests cover them).

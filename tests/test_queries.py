@@ -71,5 +71,45 @@ def test_places_in_groups_cross_ranges(spark):
 
 
 def test_text_queries_shuffle_no_texts(spark):
-    for name in ("page_text", "preview_sample"):
-        assert "Exchange" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for name in ("page_text", "preview_sample", "lexicon_join"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        # A subquery's own plan is indented by a colon; it holds the lexicon, not texts.
+        assert not [x for x in plan.split("\n") if "Exchange" in x and not x.lstrip().startswith(":")]
+
+
+PHRASED = {"New York": "noo yawk", "York": "yawk", "york minster": "YM", "O'Brien": "oh bryan", "O'Brien's": "oh bryanz", "'tis": "it is", "Mr.X": "mister x", "a b c": "abc", "b c d": "bcd", "c": "see", "a": "ay", "Straße nach": "road to", "x-y": "ex why", "Ωmega": "om", "2 b": "two bee"}
+SPOKEN = [
+    "New York Minster, new  york; NEW YORK york minster", "O'Brien's O'Brien o'brienx O'BRIENS", "rock'tis 'tis x'tis y", "Mr.X Mr. X mr.xy", "a b c d a b b c d a b c", "die STRASSE nach, Straße Nach Rom", "x-y x - y x-yz",
+    "ωmega Ωmegas", "2 b or not 2 bee 2 b", "", " ", "York", "a\nb c", "New York" * 3, "New York " * 3000, "é́a c",
+]
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 1500, 0])
+def test_phrases_in_any_lexicon_are_respelt_as_by_the_pattern(spark, limit):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import lexicon as L
+
+    texts = spark.createDataFrame([(k % 7, t) for k, t in enumerate([*SPOKEN, None])], "doc_id int, text string")
+    more = {f"never {k}": "x" for k in range(50)} if limit == 1500 else {}
+    dim = L.lexicon_dim(spark.createDataFrame(list((PHRASED | more).items()), "word string, say_as string"))
+    expected = texts.select("text", L.apply_lexicon(F.col("text"), PHRASED).alias("said"))
+    said = lambda df: sorted((r.said is None, r.said or "") for r in df.collect())
+    if limit:
+        assert said(L.lexicon_join(texts, dim, limit=limit)) == said(expected)
+    else:  # by runs, which needs ids that tell texts apart
+        one = texts.withColumn("doc_id", F.monotonically_increasing_id())
+        assert said(L.lexicon_join(one, dim, limit=limit)) == said(expected)
+    assert said(L.lexicon_join(texts, dim.limit(0), limit=limit)) == said(texts.select(F.col("text").alias("said")))
+
+
+def test_a_lexicon_of_many_entries(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import lexicon as L
+
+    ids = spark.range(1_000_000)
+    dim = ids.select(F.concat(F.lit("name"), F.col("id").cast("string"), F.when(F.col("id") % 10 == 0, " of old").otherwise("")).alias("key"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("say_as"))
+    texts = spark.createDataFrame([(1, "Name7 of old, name20 of old and name20 of, name999999"), (2, "nobody")], "doc_id int, text string")
+    out = L.lexicon_join(texts, dim)
+    assert {r.doc_id: r.said for r in out.collect()} == {1: "n7 of old, n20 and name20 of, n999999", 2: "nobody"}
