@@ -61,9 +61,10 @@ def _table(prefixes: DataFrame, buckets: int) -> DataFrame:
     return ordered.select(F.transform("a", lambda v: F.map_from_entries(F.coalesce(v["x"], F.array().cast(_ENTRIES)))).alias("table"))
 
 
-def respelt(c: Column, table: Column, buckets: int, most: int) -> Column:
+def respelt(c: Column, table: Column, buckets: int, most: int, blanks: bool = True) -> Column:
     """Respell by a table of prefixes of at most `most` tokens: the leftmost run that is an entry, the longest there, and so on
-    behind it. Runs of one token need no order; only longer ones are chosen in turn, since they may overlap."""
+    behind it. Runs of one token need no order; only longer ones are chosen in turn, since they may overlap. `blanks` tells
+    whether an entry may begin with a token that is one blank, which otherwise is not looked up."""
 
     def at(tb: Column, x: Column) -> Column:
         return F.try_element_at(F.get(tb, F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int")), x)
@@ -82,14 +83,13 @@ def respelt(c: Column, table: Column, buckets: int, most: int) -> Column:
         found = F.aggregate(steps, start, lambda a, k: F.when(a["on"] & (i + k < F.size(low)), longer(a, k)).otherwise(a))
         return X.let(found, lambda f: F.when(f["n"] > 0, F.struct(f["n"].alias("n"), f["say"].alias("say"))))
 
-    def hit(tb: Column, low: Column, x: Column, i: Column) -> Column:
+    def hits(tb: Column, low: Column) -> Column:
         alone = lambda e: F.when(e["say"].isNotNull(), F.struct(F.lit(1).alias("n"), e["say"].alias("say")))
-        if most == 1:
-            return X.let(at(tb, x), alone)
-        return X.let(at(tb, x), lambda e: F.when(e["more"], longest(tb, low, e, i)).otherwise(alone(e)))
+        firsts = F.transform(low, lambda x: at(tb, x) if blanks else F.when(x != " ", at(tb, x)))
+        return F.transform(firsts, (lambda e: alone(e)) if most == 1 else (lambda e, i: F.when(e["more"], longest(tb, low, e, i)).otherwise(alone(e))))
 
     def joined(parts: Column, hits: Column) -> Column:
-        words = F.transform(parts, lambda x, i: F.when(F.get(hits, i)["n"] == 1, F.get(hits, i)["say"]).otherwise(x))
+        words = F.zip_with(parts, hits, lambda x, h: F.when(h["n"] == 1, h["say"]).otherwise(x))
         if most == 1:
             return F.array_join(words, "")
         runs = F.filter(F.transform(hits, lambda h, i: F.struct(i.alias("at"), (i + h["n"]).alias("end"), h["say"].alias("say"))), lambda r: r["end"] - r["at"] > 1)
@@ -103,19 +103,18 @@ def respelt(c: Column, table: Column, buckets: int, most: int) -> Column:
 
         return X.let(words, lambda ws: X.let(taken, lambda kept: F.array_join(F.transform(F.sequence(F.lit(0), F.size(kept)), lambda k: piece(ws, kept, k)), "")))
 
-    hits = lambda tb, parts: X.let(F.transform(parts, F.lower), lambda low: F.transform(low, lambda x, i: hit(tb, low, x, i)))
-    return X.let(table, lambda tb: X.let(_tokens(c), lambda parts: X.let(hits(tb, parts), lambda hs: joined(parts, hs))))
+    return X.let(table, lambda tb: X.let(_tokens(c), lambda parts: X.let(X.let(F.transform(parts, F.lower), lambda low: hits(tb, low)), lambda hs: joined(parts, hs))))
 
 
 #: Bytes up to which a lexicon's trie goes to all tasks as one value, and what each of its rows takes besides its strings.
 TABLE_BYTES, ROW_BYTES = 128 << 20, 80
 
 
-def _size(prefixes: DataFrame) -> tuple[int, int, int]:
-    """(rows, tokens of the longest, bytes) of a trie."""
+def _size(prefixes: DataFrame) -> tuple[int, int, int, bool]:
+    """(rows, tokens of the longest, bytes, whether an entry begins with a blank token) of a trie."""
     text = F.octet_length("prefix") + F.coalesce(F.octet_length("say"), F.lit(0)) + ROW_BYTES
-    r = prefixes.agg(F.count("*").alias("rows"), F.max("n").alias("most"), F.sum(text).alias("bytes")).first()
-    return r["rows"], r["most"] or 0, r["bytes"] or 0
+    r = prefixes.agg(F.count("*").alias("rows"), F.max("n").alias("most"), F.sum(text).alias("bytes"), F.max(F.col("prefix") == " ").alias("blanks")).first()
+    return r["rows"], r["most"] or 0, r["bytes"] or 0, bool(r["blanks"])
 
 
 def lexicon_join(texts: DataFrame, dim: DataFrame, key: str = "doc_id", text: str = "text", limit: int = TABLE_BYTES) -> DataFrame:
@@ -126,20 +125,20 @@ def lexicon_join(texts: DataFrame, dim: DataFrame, key: str = "doc_id", text: st
     still too many, the runs of tokens of each text meet the trie, and each text the part of it that it needs, by a shuffle.
     """
     prefixes = lexicon_prefixes(dim)
-    rows, most, size = _size(prefixes)
+    rows, most, size, blanks = _size(prefixes)
     if size > limit:
         met = texts.select(F.explode(F.array_distinct(F.transform(_tokens(F.col(text)), F.lower))).alias("w")).distinct()
         needed = dim.select("key", "say_as", F.explode(F.array_distinct(F.filter(_tokens(F.col("key")), lambda t: t != ""))).alias("w"))
         missing = needed.join(met, "w", "left_anti").select("key").distinct()
         prefixes = lexicon_prefixes(dim.join(missing, "key", "left_anti"))
-        rows, most, size = _size(prefixes)
+        rows, most, size, blanks = _size(prefixes)
     if not rows:
         return texts.select(key, F.col(text).alias("said"))
     if size > limit:
         return _respelt_by_runs(texts, prefixes, most, key, text)
     buckets = max(1, rows // 4)
     with_table = texts.select(key, text, _table(prefixes, buckets).scalar().alias("_table"))
-    return with_table.select(key, respelt(F.col(text), F.col("_table"), buckets, most).alias("said"))
+    return with_table.select(key, respelt(F.col(text), F.col("_table"), buckets, most, blanks).alias("said"))
 
 
 def _respelt_by_runs(texts: DataFrame, prefixes: DataFrame, most: int, key: str, text: str) -> DataFrame:

@@ -77,10 +77,10 @@ def test_text_queries_shuffle_no_texts(spark):
         assert not [x for x in plan.split("\n") if "Exchange" in x and not x.lstrip().startswith(":")]
 
 
-PHRASED = {"New York": "noo yawk", "York": "yawk", "york minster": "YM", "O'Brien": "oh bryan", "O'Brien's": "oh bryanz", "'tis": "it is", "Mr.X": "mister x", "a b c": "abc", "b c d": "bcd", "c": "see", "a": "ay", "Straße nach": "road to", "x-y": "ex why", "Ωmega": "om", "2 b": "two bee"}
+PHRASED = {" York's": "of york", "New York": "noo yawk", "York": "yawk", "york minster": "YM", "O'Brien": "oh bryan", "O'Brien's": "oh bryanz", "'tis": "it is", "Mr.X": "mister x", "a b c": "abc", "b c d": "bcd", "c": "see", "a": "ay", "Straße nach": "road to", "x-y": "ex why", "Ωmega": "om", "2 b": "two bee"}
 SPOKEN = [
     "New York Minster, new  york; NEW YORK york minster", "O'Brien's O'Brien o'brienx O'BRIENS", "rock'tis 'tis x'tis y", "Mr.X Mr. X mr.xy", "a b c d a b b c d a b c", "die STRASSE nach, Straße Nach Rom", "x-y x - y x-yz",
-    "ωmega Ωmegas", "2 b or not 2 bee 2 b", "", " ", "York", "a\nb c", "New York" * 3, "New York " * 3000, "é́a c",
+    "ωmega Ωmegas", "2 b or not 2 bee 2 b", "", " ", "York", "x York's yard", "a\nb c", "New York" * 3, "New York " * 3000, "é́a c",
 ]
 
 
