@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
+from .ranks import numbered
 
 TERMINAL = ["done", "failed", "cancelled"]
 #: The moves that a job's status may make.
@@ -61,7 +62,8 @@ def reconciled(jobs: DataFrame, live: DataFrame, job: str = "job_id") -> DataFra
 
 def create_jobs(books: DataFrame, book: str, chapter: str, title: str) -> tuple[DataFrame, DataFrame]:
     """(jobs, chapter rows) of books given as rows of chapters."""
-    job = F.concat(slugify(F.col(book)), F.lit("-"), F.left(F.sha2(F.col(book), 256), F.lit(6)))
-    rows = books.select(job.alias("job_id"), F.col(book).alias("book_title"), (F.row_number().over(Window.partitionBy(book).orderBy(chapter)) - 1).alias("chapter_index"), F.col(title).alias("title"))
+    job = F.concat(slugify(F.col("book_title")), F.lit("-"), F.left(F.sha2(F.col("book_title"), 256), F.lit(6)))
+    placed = numbered(books.select(F.col(book).alias("book_title"), F.col(chapter).alias("_chapter"), F.col(title).alias("title")), "book_title", "_chapter", "chapter_index")
+    rows = placed.select(job.alias("job_id"), "book_title", "chapter_index", "title")
     jobs = rows.groupBy("job_id", "book_title").agg(F.count("*").alias("n_chapters")).withColumn("status", F.lit("pending"))
     return jobs, rows.select("job_id", "chapter_index", "title", F.lit(False).alias("done"))

@@ -2,37 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
 from .lexicon import small
 
-#: Numbers of the order that one range holds.
-WIDTH = 100_000
 
+def numbered(df: DataFrame, group: str, order: str | list[str], name: str) -> DataFrame:
+    """Rows with their place from 0 in the order of some columns inside their group.
 
-def _range(order: str) -> Column:
-    return F.floor(F.col(order) / WIDTH)
-
-
-def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """Rows with their place from 0 in the order of a whole number inside their group.
-
-    Places inside ranges of the order, plus what the earlier ranges of the group hold; the counts are narrow.
+    Rows are dealt by ranges of (group, order), whose borders Spark draws from a sample, so that ranges are even whatever the
+    values: dense, sparse or hashed numbers, strings, arrays. The place is that inside the range, plus what earlier ranges hold of
+    the group: one narrow row for each group and range. The rows are written once in between, so pass narrow ones.
     """
-    dealt = df.withColumn("_range", _range(order))
-    sizes = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    keys = [group, *([order] if isinstance(order, str) else order)]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    dealt = settled(dealt.withColumn("_range", F.shiftright("_at", 33)), "places")
+    held = dealt.groupBy(group, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     w = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)) - 1
-    same = F.col(group).eqNullSafe(F.col("_group")) & F.col("_range").eqNullSafe(F.col("_at"))
-    placed = dealt.withColumn("_own", own).join(small(before), same)
-    return placed.select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+    shift = (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_shift")
+    before = held.select(F.col(group).alias("_group"), F.col("_range").alias("_in"), shift)
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_in"))
+    return dealt.join(small(before), same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))
 
 
 def first_or_last(df: DataFrame, group: str, order: str, name: str, place: int) -> DataFrame:
-    """Of each group the row with the given place, or the last one if there are fewer. Each range passes on its first rows only."""
-    near = df.withColumn("_own", F.row_number().over(Window.partitionBy(group, _range(order)).orderBy(order))).where(F.col("_own") <= place + 1)
-    placed = near.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).where(F.col(name) <= place)
+    """Of each group the row with the given place, or the last one if there are fewer. No task passes on more than the first
+    place + 1 rows that it has of a group (Spark limits a ranked window before it shuffles)."""
+    placed = df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).where(F.col(name) < place + 1)
     last = F.max(name).over(Window.partitionBy(group))
     return placed.withColumn("_last", last).where(F.col(name) == F.col("_last")).select(*df.columns, name)

@@ -87,13 +87,21 @@ def toc(spark, d):
     return pages(spark, d).select(F.get(F.split("url", "/"), F.lit(2)).alias("book_id"), "page_id", href.alias("full_href"), F.concat(F.lit("T"), F.col("page_id").cast("string")).alias("title"))
 
 
-@register("toc_flatten", f"SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY page_id) - 1 AS seq, split_part(full_href, '#', 1) AS href, CASE WHEN strpos(full_href, '#') > 0 THEN substr(full_href, strpos(full_href, '#') + 1) ELSE '' END AS fragment, title FROM ({_TOC}) WHERE page_id % 7 <> 0")
+@register(
+    "toc_flatten",
+    # A page stands under the page whose number lacks its last binary one, if that is in the book; every seventh has no href.
+    rf"""WITH RECURSIVE t AS ({_TOC}),
+    n AS (SELECT c.*, p.page_id AS parent FROM t c LEFT JOIN t p ON p.book_id = c.book_id AND p.page_id = (c.page_id & (c.page_id - 1)) AND c.page_id > 0),
+    w AS (SELECT book_id, page_id, [page_id] AS path FROM n WHERE parent IS NULL
+        UNION ALL SELECT n.book_id, n.page_id, list_append(w.path, n.page_id) FROM n JOIN w ON w.book_id = n.book_id AND w.page_id = n.parent)
+    SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY path) - 1 AS seq, split_part(full_href, '#', 1) AS href,
+        CASE WHEN strpos(full_href, '#') > 0 THEN substr(full_href, strpos(full_href, '#') + 1) ELSE '' END AS fragment, title
+    FROM w JOIN t USING (book_id, page_id) WHERE page_id % 7 <> 0""",
+)
 def toc_flatten(spark, d):
-    # A tree of two levels as flat rows: every page with an id divisible by seven is a node without href above those that follow.
-    top = (F.col("page_id") % 7 == 0).cast("int")
-    rows = toc(spark, d).withColumn("path", F.struct(F.sum(top).over(Window.partitionBy("book_id").orderBy("page_id")).alias("up"), "page_id"))
-    seq = F.row_number().over(Window.partitionBy("book_id").orderBy("path")) - 1
-    return rows.where("page_id % 7 <> 0").select("book_id", seq.alias("seq"), *M.split_href(F.col("full_href")), "title")
+    parent = F.when(F.col("page_id") > 0, F.col("page_id").bitwiseAND(F.col("page_id") - 1))
+    href = F.when(F.col("page_id") % 7 != 0, F.col("full_href"))
+    return M.flatten_nodes(toc(spark, d).select("book_id", F.col("page_id").alias("node"), parent.alias("parent"), F.col("page_id").alias("place"), href.alias("href"), "title"))
 
 
 # Up to three places inside each page, and the page itself but for every fifth.
@@ -180,8 +188,8 @@ def marked_toc(spark, d):
 
 @register("anchor_positions", f"WITH {_MARKED}, {_PIECES} SELECT m.page_id, m.seq, m.title, (SELECT count(*) FROM blocks b WHERE b.page_id = m.page_id AND b.place < m.place) AS blocks_before FROM marks m")
 def anchor_positions(spark, d):
-    found = M.elements(marked_pages(spark, d))
-    blocks, marks = M.element_blocks(found), M.anchor_positions(found, marked_toc(spark, d))
+    found = marked_pages(spark, d).withColumn("page", M.structure(F.col("html"))).select("page_id", "page.blocks", "page.names")
+    blocks, marks = found.select("page_id", F.inline("blocks")), M.anchor_positions(found, marked_toc(spark, d))
     both = marks.join(blocks.select("page_id", F.col("pos").alias("at")), "page_id", "left")
     return both.groupBy("page_id", "seq", "title").agg(F.count_if(F.col("at") < F.col("pos")).alias("blocks_before"))
 
@@ -228,9 +236,10 @@ def front_matter_filter(spark, d):
 
 @register("title_fallback", "SELECT p_partkey, p_brand AS book, coalesce(CASE WHEN p_size % 3 = 0 THEN p_name END, nullif(CASE WHEN p_size % 3 = 1 THEN p_type ELSE '' END, ''), 'Chapter '||row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)) AS title FROM part WHERE p_size > 5")
 def title_fallback(spark, d):
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     listed, heading = F.when(F.col("p_size") % 3 == 0, F.col("p_name")), F.when(F.col("p_size") % 3 == 1, F.col("p_type")).otherwise("")
-    return table(spark, d, "part").where("p_size > 5").select("p_partkey", F.col("p_brand").alias("book"), F.coalesce(listed, F.nullif(heading, F.lit("")), F.concat(F.lit("Chapter "), n.cast("string"))).alias("title"))
+    rows = table(spark, d, "part").where("p_size > 5").select("p_partkey", F.col("p_brand").alias("book"), F.coalesce(listed, F.nullif(heading, F.lit(""))).alias("title"))
+    placed = numbered(rows, "book", "p_partkey", "n")
+    return placed.select("p_partkey", "book", F.coalesce("title", F.concat(F.lit("Chapter "), (F.col("n") + 1).cast("string"))).alias("title"))
 
 
 @register("strip_leading_title", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name||'!'||chr(10)||chr(10)||p_type END AS text FROM part")
