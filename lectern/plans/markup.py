@@ -194,6 +194,47 @@ def anchor_positions(spark, d):
     return both.groupBy("page_id", "seq", "title").agg(F.count_if(F.col("at") < F.col("pos")).alias("blocks_before"))
 
 
+# Pages with a table in a table, a list in a list item, list items that hold other elements or are never closed, a heading around
+# a box, and notes in notes or never closed.
+_NEST = "<table><tr><td>a<TABLE><tr><td>b</td></tr></table>LEAK</td></tr></table><ul><li>outer<ul><li>deep {}</li></ul>lost</li><li><div>held</div> too</li></ul><ol><li>open<li>second</ol><h2><div>Boxed</div></h2><blockquote><div>said</div></blockquote><p>x<sup>1<sup>2</sup>3</sup>y<sup>never<p>z</p></nav>"
+
+
+def nested_pages(spark, d):
+    before, after = _NEST.split("{}")
+    added = F.concat(F.lit(f"</h1>{before}"), F.col("page_id").cast("string"), F.lit(after))
+    return pages(spark, d).select("page_id", F.replace("html", F.lit("</h1>"), added).alias("html"))
+
+
+@register(
+    "nested_blocks",
+    rf"""WITH nested AS (SELECT page_id, replace(html, '</h1>', '</h1>{_NEST.split("{}")[0]}'||page_id||'{_NEST.split("{}")[1]}') AS html FROM pages),
+    plain AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g') AS html FROM nested),
+    -- Each piece begins with a tag of the kind; what stands at depth 0 stays. The depth is a running sum that stops at 0.
+    t AS (SELECT page_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT page_id, string_split(regexp_replace(html, '(?i)(</?(?:table|figure|nav)\b)', chr(1)||'\1', 'g'), chr(1)) AS ps FROM plain)),
+    t1 AS (SELECT *, sum(CASE WHEN regexp_matches(p, '(?i)^<(?:table|figure|nav)\b') THEN 1 WHEN regexp_matches(p, '(?i)^</(?:table|figure|nav)\b') THEN -1 ELSE 0 END) OVER w AS s FROM t WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+    t2 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY k)) AS depth FROM t1),
+    whole AS (SELECT page_id, string_agg(regexp_replace(p, '(?i)^</?(?:table|figure|nav)\b[^>]*>', ''), '' ORDER BY k) AS html FROM t2 WHERE depth = 0 GROUP BY 1),
+    -- Notes end at the border of a block at the latest: each border begins a part of its own.
+    n AS (SELECT page_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT page_id, string_split(regexp_replace(html, '(?i)(</?(?:sup|p|h[1-6]|blockquote|li|article|section|header|div|footer|body|ul|ol)\b)', chr(1)||'\1', 'g'), chr(1)) AS ps FROM whole)),
+    n0 AS (SELECT *, sum(CASE WHEN regexp_matches(p, '(?i)^</?sup\b') THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY k) AS part FROM n),
+    n1 AS (SELECT *, sum(CASE WHEN regexp_matches(p, '(?i)^<sup\b') THEN 1 WHEN regexp_matches(p, '(?i)^</sup\b') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id, part ORDER BY k) AS s FROM n0),
+    n2 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id, part ORDER BY k)) AS depth FROM n1),
+    clean AS (SELECT page_id, regexp_replace(string_agg(regexp_replace(p, '(?i)^</?sup\b[^>]*>', ''), '' ORDER BY k), '(?i)<br\b[^>]*>', ' ', 'g') AS html FROM n2 WHERE depth = 0 GROUP BY 1),
+    -- A block ends at the next tag that its kind does not hold; quotations and list items count if that is their own end.
+    b AS (SELECT page_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT page_id, string_split(regexp_replace(html, '(?i)(</?(?:p|h[1-6]|blockquote|li|article|section|header|div|footer|body|ul|ol)\b)', chr(1)||'\1', 'g'), chr(1)) AS ps FROM clean)),
+    b1 AS (SELECT page_id, k, p, lower(regexp_extract(p, '(?i)^(</?\w+)', 1)) AS tag FROM b),
+    ends AS (SELECT page_id, k, tag FROM b1 WHERE regexp_matches(tag, '^</?(p|h[1-6]|blockquote|li|article|section|header|div|footer|body|ul|ol)$')),
+    starts AS (SELECT x.page_id, x.k, x.tag, (SELECT min((e.k, e.tag)) FROM ends e WHERE e.page_id = x.page_id AND e.k > x.k AND (x.tag = '<p' OR regexp_matches(e.tag, '^</?(p|h[1-6]|blockquote|li|body)$')
+            OR (x.tag = '<li' AND e.tag IN ('<ul', '</ul', '<ol', '</ol')) OR (x.tag LIKE '<h_' AND e.tag IN ('<ul', '</ul', '<ol', '</ol', '<article', '</article', '<footer', '</footer')))) AS stop
+        FROM b1 x WHERE regexp_matches(x.tag, '^<(p|h[1-6]|blockquote|li)$')),
+    leaves AS (SELECT page_id, k, tag[2:] AS tag, stop[1] AS upto FROM starts WHERE tag = '<p' OR tag LIKE '<h_' OR (tag = '<blockquote' AND stop[2] = '</blockquote') OR (tag = '<li' AND stop[2] IN ('</li', '<li', '</ul', '</ol'))),
+    texts AS (SELECT l.page_id, l.k, l.tag, string_agg(b.p, '' ORDER BY b.k) AS whole FROM leaves l JOIN b ON b.page_id = l.page_id AND b.k >= l.k AND b.k < coalesce(l.upto, 1000000000) GROUP BY ALL)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, tag, {_TEXT.format(c="whole")} AS text FROM texts""",
+)
+def nested_blocks(spark, d):
+    return M.leaf_blocks(nested_pages(spark, d)).select("page_id", "pos", "tag", M.block_text(F.col("inner")).alias("text"))
+
+
 _BARE = "regexp_replace(lower({c}), '[^a-z0-9]+', '', 'g')"
 
 
