@@ -316,9 +316,10 @@ def book_chapters(pages: DataFrame, toc: DataFrame) -> DataFrame:
     named = toc.groupBy("page_id").agg(F.collect_list(entry).alias("fragments"), F.min_by(F.when(F.col("fragment") == "", F.col("title")), F.when(F.col("fragment") == "", F.col("seq"))).alias("file_title"))
     kind = dict(toc.dtypes)
     none = F.array().cast(f"array<struct<fragment:string,seq:{kind['seq']},title:string>>")
-    listed = pages.join(small(named), "page_id", "left").withColumn("page", structure(F.col("html")))
-    listed = listed.select("book", "page_id", F.inline(_page_chapters(F.col("page"), F.coalesce("fragments", none), F.col("file_title"))))
-    places = numbered(listed.select("book", "page_id", "part", F.col("title").isNull().alias("unnamed")), "book", ["page_id", "part"], "n").where("unnamed")
+    chapters = let(structure(F.col("html")), lambda page: _page_chapters(page, F.coalesce("fragments", none), F.col("file_title")))
+    listed = pages.join(small(named), "page_id", "left").select("book", "page_id", F.inline(chapters))
+    narrow = settled(listed.select("book", "page_id", "part", F.col("title").isNull().alias("unnamed")), "chapters")
+    places = numbered(narrow, "book", ["page_id", "part"], "n").where("unnamed")
     numbers = small(places.select("page_id", "part", (F.col("n") + 1).cast("string").alias("n")))
     chapters = listed.join(numbers, ["page_id", "part"], "left").withColumn("title", F.coalesce("title", F.concat(F.lit("Chapter "), F.col("n"))))
     blocks = F.split("text", "\n\n", 2)

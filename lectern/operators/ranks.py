@@ -14,7 +14,8 @@ def numbered(df: DataFrame, group: str, order: str | list[str], name: str) -> Da
 
     Rows are dealt by ranges of (group, order), whose borders Spark draws from a sample, so that ranges are even whatever the
     values: dense, sparse or hashed numbers, strings, arrays. The place is that inside the range, plus what earlier ranges hold of
-    the group: one narrow row for each group and range. The rows are written once in between, so pass narrow ones.
+    the group: one narrow row for each group and range. The rows are read
+    twice (for the sample) and written once: pass narrow ones, settled if they cost much to find.
     """
     keys = [group, *([order] if isinstance(order, str) else order)]
     dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())

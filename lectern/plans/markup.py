@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..operators import markup as M
 from ..operators.ranks import first_or_last, numbered
+from ..sources.shared import settled
 from ..sources.tables import table
 
 _CLEAN = r"regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<sup\b[^>]*>.*?</sup\s*>|<table\b[^>]*>.*?</table\s*>|<figure\b[^>]*>.*?</figure\s*>|<nav\b[^>]*>.*?</nav\s*>', '', 'g')"
@@ -30,7 +31,7 @@ def blocks(spark, d):
 @register("scan_chapters", "SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chapter_index, doc_id, length(text) AS n_chars FROM documents")
 def scan_chapters(spark, d):
     rows = table(spark, d, "documents").select(F.col("source").alias("book"), "doc_id", F.length("text").alias("n_chars"))
-    return numbered(rows, "book", "doc_id", "chapter_index").select("book", "chapter_index", "doc_id", "n_chars")
+    return numbered(settled(rows, "chapters"), "book", "doc_id", "chapter_index").select("book", "chapter_index", "doc_id", "n_chars")
 
 
 @register("spine_documents", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT DISTINCT page_id FROM pages)")
