@@ -84,6 +84,19 @@ def orphan_sessions(spark, d):
     return R.interrupted(stages(spark, d))
 
 
+@register(
+    "closed_runs",
+    """WITH e AS (SELECT user_id AS job_id, event_type AS stage, ts::TIMESTAMP AS ts, event_id, event_type IN ('purchase', 'signup') AS terminal FROM events),
+    b AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true) AS begun FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+    r AS (SELECT *, sum(begun::INT) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS run FROM b),
+    o AS (SELECT *, count(*) FILTER (terminal) OVER (PARTITION BY job_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM r)
+    SELECT job_id, stage, ts, event_id FROM o WHERE ended = 0
+    UNION ALL SELECT job_id, 'interrupted', max(ts) + INTERVAL 30 MINUTE, NULL FROM r GROUP BY job_id, run HAVING NOT bool_or(terminal)""",
+)
+def closed_runs(spark, d):
+    return R.closed_runs_batch(stages(spark, d), terminal=("purchase", "signup"))
+
+
 @register("progress_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type AS stage, count(*) AS n FROM events GROUP BY ALL")
 def progress_tumbling(spark, d):
     return R.throughput(stages(spark, d))

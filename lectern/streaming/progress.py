@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.jobs import TERMINAL, latest, sessions
@@ -57,6 +59,82 @@ def follow(events: DataFrame, emit: Callable[[DataFrame], None], checkpoint: str
         raise query.exception()
 
 
+class _Runs(StatefulProcessor):
+    """The events of one job, run by run: up to the first terminal one, or closed after `gap` microseconds of silence."""
+
+    def __init__(self, gap: int, terminal: tuple[str, ...]):
+        self.gap, self.terminal = gap, terminal
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "last long, over boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        state = self.run.get() if self.run.exists() else None
+        last, over = state if state is not None else (None, False)
+        out = []
+        at = events["ts"].astype("datetime64[us]").astype("int64")
+        for stage, t, event in zip(events["stage"], at.tolist(), events["event_id"].tolist()):
+            if last is not None and t >= last + self.gap:
+                if not over:
+                    out.append((INTERRUPTED, last + self.gap, None))
+                over = False
+            if not over:
+                out.append((stage, t, event))
+                over = stage in self.terminal
+            last = t if last is None else max(last, t)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-(last + self.gap) // 1000))
+        self.run.update((last, over))
+        yield self.rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, over = self.run.get()
+        self.run.clear()
+        yield self.rows(key, [] if over else [(INTERRUPTED, last + self.gap, None)])
+
+    def close(self) -> None:
+        pass
+
+    def rows(self, key, out: list[tuple]) -> pd.DataFrame:
+        stage, at, event = zip(*out) if out else ((), (), ())
+        return pd.DataFrame({"job_id": [key[0]] * len(out), "stage": pd.Series(stage, dtype=object), "ts": pd.Series(at, dtype="int64").astype("datetime64[us]"), "event_id": pd.Series(event, dtype="Int64")})
+
+
+#: The stage that closes a run which fell silent.
+INTERRUPTED = "interrupted"
+
+
+def closed_runs(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", terminal: tuple[str, ...] = tuple(TERMINAL)) -> DataFrame:
+    """The events of all jobs of a stream (job_id, stage, ts, event_id), each run of a job closed once.
+
+    A run ends with its first terminal event; what the job sends after it, until it has been silent for `gap`, is left out. A run
+    without one is closed by a row of its own, stage `interrupted`, when the watermark has passed `gap` after its last event; then
+    the job's state is dropped. State is one number and one flag a job, kept by Spark: a restart goes on from the checkpoint. The
+    session needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`), as all of Spark's timers do.
+    """
+    micros = events.sparkSession.sql(f"SELECT unix_micros(timestamp'1970-01-01 00:00:00Z' + INTERVAL {gap}) AS g").first().g
+    schema = f"job_id {dict(events.dtypes)['job_id']}, stage string, ts timestamp, event_id long"
+    rows = events.select("job_id", "stage", "ts", F.col("event_id").cast("long").alias("event_id")).withWatermark("ts", delay)
+    return rows.groupBy("job_id").transformWithStateInPandas(_Runs(micros, terminal), schema, "Append", "EventTime")
+
+
+def closed_runs_batch(events: DataFrame, gap: str = "30 minutes", terminal: tuple[str, ...] = tuple(TERMINAL)) -> DataFrame:
+    """The same of a table, in which every run is over."""
+    span = F.expr(f"INTERVAL {gap}")
+    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    begun = F.col("ts") >= F.lag("ts").over(w) + span
+    rows = events.select("job_id", "stage", "ts", "event_id").withColumn("run", F.sum(F.coalesce(begun, F.lit(True)).cast("long")).over(w))
+    ended = F.coalesce(F.col("stage").isin(*terminal), F.lit(False))
+    in_run = Window.partitionBy("job_id", "run").orderBy("ts", "event_id")
+    over = F.coalesce(F.max(ended).over(in_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    kept = rows.withColumn("over", over).where("not over").select("job_id", "stage", "ts", "event_id")
+    silent = rows.groupBy("job_id", "run").agg(F.max("ts").alias("ts"), F.max(ended).alias("ended")).where("not ended")
+    return kept.unionByName(silent.select("job_id", F.lit(INTERRUPTED).alias("stage"), (F.col("ts") + span).alias("ts"), F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id")))
+
+
 def respelled(texts: DataFrame, lexicon: dict[str, str]) -> DataFrame:
     """A stream of texts with a static lexicon: the same expression as in batch."""
     return texts.withColumn("said", apply_lexicon(F.col("text"), lexicon))

@@ -89,3 +89,30 @@ def test_following_a_job_ends_with_its_terminal_event(spark, tmp_path):
     got = []
     R.follow(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), lambda b: got.extend(r.stage for r in b.orderBy("event_id").collect()), str(tmp_path / "at"))
     assert got == ["start", "half", "done"] and not [q for q in spark.streams.active if q.isActive]
+
+
+def test_runs_of_all_jobs_are_closed_and_a_restart_goes_on(spark, tmp_path):
+    """Three files in the order of time, one a trigger; between them the query is started anew from its checkpoint."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = spark.read.parquet(f"{SF}/events.parquet").select((F.col("user_id") % 40).alias("job_id"), F.col("event_type").alias("stage"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+        rows = rows.withColumn("part", F.ntile(3).over(Window.orderBy("ts", "event_id"))).persist()
+        (tmp_path / "in").mkdir()
+        stream = spark.readStream.schema(rows.drop("part").schema).parquet(str(tmp_path / "in"))
+        runs = R.closed_runs(stream, terminal=("purchase", "signup"))
+        for k in (1, 2, 3):
+            rows.where(f"part = {k}").drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            q = runs.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+            q.awaitTermination()
+        got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+        expected = {tuple(r) for r in R.closed_runs_batch(rows.drop("part"), terminal=("purchase", "signup")).collect()}
+        assert len(got) == len(set(got)) and set(got) <= expected
+        # What is missing are closings that the watermark has not reached.
+        last = rows.agg(F.max("ts")).first()[0]
+        missing = expected - set(got)
+        assert all(x[1] == R.INTERRUPTED and (last - x[2]).total_seconds() <= 3600 for x in missing)
+        assert {x[1] for x in got} >= {R.INTERRUPTED, "purchase", "signup"}
+    finally:
+        spark.conf.set(name, before)
