@@ -1,9 +1,13 @@
 """Registered queries: job state and the batch twins of the streams (A10, A15, E4, E8, E11, F2, L)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import jobs as J
+from ..sources import tables as T
+from ..sources.shared import shared_dir
 from ..sources.tables import table
 from ..streaming import progress as R
 
@@ -121,3 +125,46 @@ def status_transitions(spark, d):
 def create_jobs(spark, d):
     jobs, rows = J.create_jobs(table(spark, d, "documents"), "source", "doc_id", "lang")
     return rows.join(jobs.select("job_id", "n_chapters"), "job_id")
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("chapter_checkpoints", "SELECT l_orderkey AS job_id, l_linenumber AS chapter_index, sum(l_quantity) AS n_chunks FROM lineitem GROUP BY ALL")
+def chapter_checkpoints(spark, d):
+    """The chapter sink's batches: one is cut short and run again, the last sends finished chapters once more, changed."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("chapter_index")).agg(F.sum("l_quantity").alias("n_chunks"))
+    path, late = _folder(spark, "checkpoints"), F.col("chapter_index") % 3 == 2
+    T.write_checkpoints(rows.where(~late & (F.col("job_id") % 2 == 0)), path, "first")
+    T.write_checkpoints(rows.where(~late), path, "first")
+    T.write_checkpoints(rows.where(late).unionByName(rows.where(~late).withColumn("n_chunks", F.lit(-1.0))), path, "second")
+    return T.read_checkpoints(spark, path).select("job_id", "chapter_index", "n_chunks")
+
+
+@register(
+    "manifest_merge",
+    f"""SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 11 = 0 THEN 'cancelled' WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE {_STATUS} END AS status, o_custkey AS n_chapters FROM orders""",
+)
+def manifest_merge(spark, d):
+    """Manifests of all jobs, some of them replaced, the last of two rows of a job counting."""
+    jobs, path = orders(spark, d).select(F.col("o_orderkey").alias("job_id"), "status", F.col("o_custkey").alias("n_chapters")).withColumn("written", F.lit(0)), _folder(spark, "manifests")
+    T.write_manifests(jobs, path, ["written"])
+    again = jobs.where("job_id % 7 = 0 or job_id % 11 = 0").withColumns({"status": F.lit("failed"), "written": F.lit(1)})
+    T.write_manifests(again.unionByName(again.where("job_id % 11 = 0").withColumns({"status": F.lit("cancelled"), "written": F.lit(2)})), path, ["written"])
+    return spark.read.parquet(path).select("job_id", "status", "n_chapters")
+
+
+@register(
+    "manifest_scan",
+    f"""SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey::VARCHAR END AS job_id, CASE WHEN o_orderkey % 50 <> 0 THEN {_STATUS} END AS status,
+        CASE WHEN o_orderkey % 50 <> 0 THEN o_totalprice END AS created_at, o_orderkey % 50 = 0 AS broken, o_orderkey % 4 AS part FROM orders""",
+)
+def manifest_scan(spark, d):
+    """Manifests written as JSON lines, every fiftieth cut off, read with the folder that they came from."""
+    whole = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("job_id"), "status", F.col("o_totalprice").alias("created_at"), F.lit(1).alias("unknown")))
+    line = F.when(F.col("o_orderkey") % 50 == 0, F.expr("left(line, length(line) - 5)")).otherwise(F.col("line"))
+    path = _folder(spark, "manifest-lines")
+    orders(spark, d).withColumn("line", whole).select(line.alias("value"), (F.col("o_orderkey") % 4).alias("part")).write.partitionBy("part").text(path)
+    part = F.regexp_extract("file", r"/part=(\d+)/", 1).cast("long")
+    return T.scan_manifests(spark, path, documents=False).select("job_id", "status", "created_at", F.col("broken").isNotNull().alias("broken"), part.alias("part"))

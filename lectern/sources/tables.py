@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Folders that a sink spreads jobs over, however many jobs there are.
+PARTS = 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,19 +27,69 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
 
 
-def write_manifests(jobs: DataFrame, path: str) -> None:
-    """Replace the rows of the jobs at hand, one partition for each job; other jobs stay."""
-    jobs.write.partitionBy("job_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+def scan_manifests(spark: SparkSession, path: str, documents: bool = True) -> DataFrame:
+    """Job manifests with the file that each came from, and `broken`: what could not be read, else null.
+
+    `documents` says that a file is one JSON document, otherwise each line is.
+    """
+    schema = T.StructType([*MANIFEST.fields, T.StructField("broken", T.StringType())])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("multiLine", documents).json(path)
+    return rows.select(*MANIFEST.names, "broken", F.col("_metadata.file_path").alias("file"))
+
+
+def listed_manifests(scanned: DataFrame) -> DataFrame:
+    """Readable manifests, newest first, those of one moment by their files' names."""
+    return scanned.where("broken is null").orderBy(F.desc("created_at"), "file", "job_id")
 
 
-def write_checkpoints(chapters: DataFrame, path: str) -> None:
-    """Append chapters that the checkpoint does not hold yet, so that a repeated run adds nothing."""
-    spark = chapters.sparkSession
+def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        done = spark.read.parquet(path).select("job_id", "chapter_index")
-        chapters = chapters.join(done, ["job_id", "chapter_index"], "left_anti")
-    chapters.select([c for c in chapters.columns if c != "job_id"] + ["job_id"]).write.mode("append").partitionBy("job_id").parquet(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("job_id").cast("string")), F.lit(parts)).cast("int")
+
+
+def _met(spark: SparkSession, rows: DataFrame, path: str, schema: T.StructType) -> DataFrame:
+    """What `path` holds in the folders (numbers, at most PARTS of them) that `rows` will be written to."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    parts = [r.part for r in rows.select("part").distinct().collect()]
+    return spark.read.schema(schema).parquet(path).where(F.col("part").isin(parts) if parts else F.lit(False))
+
+
+def write_manifests(jobs: DataFrame, path: str, order: list[str] | None = None, parts: int = PARTS) -> None:
+    """Replace the rows of the jobs at hand; other jobs stay. Of several rows of a job the last by `order` counts.
+
+    Jobs are spread over `parts` folders by a hash. Only folders that hold one of the jobs are read, merged and written anew; Spark stages
+    their new files and then puts them in the place of the old ones, so a run that is lost before leaves the table as it was.
+    Rows and folders of one writer at a time: two at once could each put back what the other replaced.
+    """
+    spark = jobs.sparkSession
+    w = Window.partitionBy("job_id").orderBy(*[F.desc(c) for c in order or ["job_id"]])
+    new = jobs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumn("part", _part(parts))
+    held = _met(spark, new, path, new.schema)
+    merged = held.join(new.select("job_id"), "job_id", "left_anti").select(new.columns).unionByName(new)
+    merged.repartition("part").write.partitionBy("part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def write_checkpoints(chapters: DataFrame, path: str, batch: str | None = None, parts: int = PARTS) -> None:
+    """Add chapters that the checkpoint does not hold yet, so that a repeated run adds nothing.
+
+    Jobs are spread over `parts` folders by a hash, inside which each batch has a folder of its own. A batch that is run again
+    under its name replaces what it wrote before, all or half of it, and leaves out what other batches hold; only folders that
+    its jobs fall into are read. Without a name a batch gets a new one.
+    """
+    spark, batch = chapters.sparkSession, batch or uuid.uuid4().hex
+    rows = chapters.dropDuplicates(["job_id", "chapter_index"]).withColumns({"part": _part(parts), "batch": F.lit(batch)})
+    held = _met(spark, rows, path, rows.schema).where(F.col("batch") != batch).select("job_id", "chapter_index")
+    new = rows.join(held, ["job_id", "chapter_index"], "left_anti").select(rows.columns)
+    new.repartition("part").write.partitionBy("part", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("part", "batch")
 
 
 def write_markers(markers: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.jobs import TERMINAL, latest, sessions
+from ..operators.jobs import ORPHANED, TERMINAL, latest, reconciled, sessions
 from ..operators.lexicon import apply_lexicon
 from ..sources.tables import write_checkpoints
 
@@ -141,5 +141,31 @@ def respelled(texts: DataFrame, lexicon: dict[str, str]) -> DataFrame:
 
 
 def chapter_sink(chapters: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write finished chapters (job_id, chapter_index, ..) once, however often a batch or the whole job is run again."""
-    return chapters.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: write_checkpoints(batch.dropDuplicates(["job_id", "chapter_index"]), path)).start()
+    """Write finished chapters (job_id, chapter_index, ..) once, however often a batch or the whole job is run again: a batch is
+    known by its query, which the checkpoint names, and its number there."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        write_checkpoints(rows, path, f"{query}-{number}")
+
+    return chapters.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+
+
+def reconciled_stream(running: DataFrame, beats: DataFrame, grace: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Running jobs (job_id, started) of which no beat (job_id, ts) came within `grace` of their start: as `reconciled` has them.
+
+    A stream-stream left outer join: its state holds what lies within `grace` and `delay` of the watermark.
+    """
+    left = running.select("job_id", "started").withWatermark("started", delay)
+    right = beats.select(F.col("job_id").alias("_job"), F.col("ts").alias("_ts")).withWatermark("_ts", delay)
+    near = (F.col("job_id") == F.col("_job")) & (F.col("_ts") >= F.col("started")) & (F.col("_ts") <= F.col("started") + F.expr(f"INTERVAL {grace}"))
+    silent = left.join(right, near, "left_outer").where("_job is null")
+    return silent.select("job_id", "started", F.lit(INTERRUPTED).alias("status"), F.lit(ORPHANED).alias("error"), F.lit(True).alias("changed"))
+
+
+def reconciled_batch(running: DataFrame, beats: DataFrame, grace: str = "30 minutes") -> DataFrame:
+    """The same of tables, by `reconciled`: a job is live if it has a beat within `grace` of its start."""
+    both = running.join(beats, "job_id").where((F.col("ts") >= F.col("started")) & (F.col("ts") <= F.col("started") + F.expr(f"INTERVAL {grace}")))
+    jobs = running.select(F.struct("job_id", "started").alias("run"), F.lit("running").alias("status"), F.lit(None).cast("string").alias("error"))
+    out = reconciled(jobs, both.select(F.struct("job_id", "started").alias("run")), "run")
+    return out.where("changed").select("run.job_id", "run.started", "status", "error", "changed")

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lectern.sources.tables import read_manifests, write_checkpoints, write_manifests, write_markers
+from lectern.sources.tables import listed_manifests, read_checkpoints, read_manifests, scan_manifests, write_checkpoints, write_manifests, write_markers
 from lectern.streaming import progress as R
 
 SF = "/root/testdata/sf0.001"
@@ -116,3 +116,51 @@ def test_runs_of_all_jobs_are_closed_and_a_restart_goes_on(spark, tmp_path):
         assert {x[1] for x in got} >= {R.INTERRUPTED, "purchase", "signup"}
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_batch_cut_short_and_run_again_gives_each_chapter_once(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = spark.createDataFrame([(f"j{k % 30}", k // 30, k) for k in range(300)], "job_id string, chapter_index int, n int")
+    write_checkpoints(rows.where("n < 100"), out, "a-0")
+    # Batch 1 has written half of its folders when it is killed; it is run again.
+    write_checkpoints(rows.where("n >= 100 and n % 2 = 0"), out, "a-1")
+    write_checkpoints(rows.where("n >= 100"), out, "a-1")
+    write_checkpoints(rows, out, "b-0")  # another query, all over again
+    write_checkpoints(rows.limit(0), out, "b-1")
+    assert sorted(r.n for r in read_checkpoints(spark, out).collect()) == list(range(300))
+    assert len(list((tmp_path / "out").glob("part=*"))) <= 64
+
+
+def test_manifests_of_many_jobs_lie_in_few_folders(spark, tmp_path):
+    out = str(tmp_path / "m")
+    jobs = spark.range(100_000).select(F.concat(F.lit("job-"), F.col("id").cast("string")).alias("job_id"), F.lit("running").alias("status"), F.lit(0).alias("at"))
+    write_manifests(jobs, out)
+    one = spark.createDataFrame([("job-7", "failed", 1), ("job-7", "done", 2), ("job-new", "pending", 1)], "job_id string, status string, at int")
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "m").rglob("*.parquet")}
+    write_manifests(one, out, ["at"])
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "m").rglob("*.parquet")}
+    assert len(set(before.items()) - set(after.items())) <= 2, "only folders of the two jobs are written anew"
+    got = spark.read.parquet(out)
+    assert got.count() == 100_001 and {(r.job_id, r.status) for r in got.where("status <> 'running'").collect()} == {("job-7", "done"), ("job-new", "pending")}
+    assert len(list((tmp_path / "m").glob("part=*"))) <= 64
+
+
+def test_manifest_files_with_ties_and_broken_ones(spark, tmp_path):
+    for name, text in {"b": '{"job_id": "x", "created_at": 5}', "a": '{"job_id": "y", "created_at": 5}', "c": '{"job_id": "z", "created_at": 9, "more": 1}', "d": "{broken", "e": ""}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "manifest.json").write_text(text)
+    scanned = scan_manifests(spark, str(tmp_path / "*"))
+    assert [r.job_id for r in listed_manifests(scanned).collect() if r.job_id] == ["z", "y", "x"]
+    assert [r.file[-15:] for r in scanned.where("broken is not null").collect()] == ["d/manifest.json"]
+
+
+def test_silent_jobs_are_found_by_a_join_of_streams(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    m = lambda k: t + datetime.timedelta(minutes=k)
+    running = spark.createDataFrame([(1, m(0)), (2, m(5)), (3, m(10)), (1, m(90)), (9, m(300))], "job_id long, started timestamp")
+    beats = spark.createDataFrame([(1, m(20)), (1, m(25)), (2, m(36)), (3, m(10)), (4, m(11)), (9, m(300))], "job_id long, ts timestamp")
+    for name, df in (("running", running), ("beats", beats)):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    streams = [spark.readStream.schema(df.schema).parquet(str(tmp_path / name)) for name, df in (("running", running), ("beats", beats))]
+    got = collected(spark, R.reconciled_stream(*streams), "silent")
+    assert got == {tuple(r) for r in R.reconciled_batch(running, beats).collect()} and {x[:2] for x in got} == {(2, m(5)), (1, m(90))}
