@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from ..sources.shared import settled
 from .lexicon import small
 
 #: Level of silence, seconds kept at an edge, and the shortest pause in seconds.
@@ -55,6 +57,112 @@ def silence_runs(long: DataFrame, key: str, threshold: float = THRESHOLD, least:
     return runs.join(ends, key).where((F.col("start") > 0) & (F.col("start") + F.col("length") - 1 < F.col("last")) & (F.col("length") >= least)).select(key, "start", "length")
 
 
+# Recordings in blocks: rows (key, block, samples), every block but a recording's last with the same number of samples.
+
+
+def in_blocks(long: DataFrame, key: str, size: int) -> DataFrame:
+    """Blocks of `size` samples of a long table (key, i, v) whose places have no gaps."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])
+    return long.groupBy(key, F.floor(F.col("i") / size).alias("block")).agg(ordered.alias("samples"))
+
+
+_RUN = "array<struct<start:bigint,length:bigint>>"
+
+
+def _quiet_runs(quiet: Column) -> Column:
+    """(start, length) of all runs of true values of an array."""
+    at = F.sequence(F.lit(0), F.size(quiet) - 1)
+    edges = lambda step: F.filter(at, lambda i: F.get(quiet, i) & ~F.coalesce(F.get(quiet, i + step), F.lit(False)))
+    return F.zip_with(edges(-1), edges(1), lambda a, b: F.struct(a.cast("long").alias("start"), (b - a + 1).cast("long").alias("length")))
+
+
+def block_runs(blocks: DataFrame, key: str, size: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, block, at, n, head, tail, found): what a block says of its runs of quiet samples.
+
+    `at` is the place of its first sample and n its samples; head and tail are the lengths of the runs at its ends (n if all is quiet) and `found`
+    the runs between. Such summaries of neighbours combine into one of the same form.
+    """
+    quiet = F.transform("samples", lambda v: F.abs(v) <= threshold)
+    rows = blocks.where(F.size("samples") > 0).select(key, "block", (F.col("block") * size).cast("long").alias("at"), F.size("samples").cast("long").alias("n"), let(quiet, _quiet_runs).alias("runs"))
+    head = F.coalesce(F.get(F.filter("runs", lambda r: r["start"] == 0), F.lit(0))["length"], F.lit(0).cast("long"))
+    tail = F.coalesce(F.get(F.filter("runs", lambda r: r["start"] + r["length"] == F.col("n")), F.lit(0))["length"], F.lit(0).cast("long"))
+    between = F.filter("runs", lambda r: (r["start"] > 0) & (r["start"] + r["length"] < F.col("n")))
+    found = F.transform(between, lambda r: F.struct((r["start"] + F.col("at")).alias("start"), r["length"].alias("length")))
+    return rows.select(key, "block", "at", "n", head.alias("head"), tail.alias("tail"), found.alias("found"))
+
+
+def _combined(parts: Column) -> Column:
+    """One summary of the ordered summaries of neighbours; `found` are the runs that cross their borders and end inside."""
+    first = F.get(parts, F.lit(0))
+    start = F.struct(*[first[c].alias(c) for c in ("at", "n", "head", "tail")], F.array().cast(_RUN).alias("found"))
+
+    def join(a: Column, b: Column) -> Column:
+        quiet_a, quiet_b = a["head"] == a["n"], b["head"] == b["n"]
+        run = F.struct((a["at"] + a["n"] - a["tail"]).alias("start"), (a["tail"] + b["head"]).alias("length"))
+        closed = ~quiet_a & ~quiet_b & (run["length"] > 0)
+        return F.struct(
+            a["at"].alias("at"), (a["n"] + b["n"]).alias("n"), F.when(quiet_a, a["n"] + b["head"]).otherwise(a["head"]).alias("head"),
+            F.when(quiet_b, a["tail"] + b["n"]).otherwise(b["tail"]).alias("tail"), F.when(closed, F.array_append(a["found"], run)).otherwise(a["found"]).alias("found"),
+        )
+
+    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, join)
+
+
+def silence_runs_in_blocks(blocks: DataFrame, key: str, size: int, threshold: float = THRESHOLD, least: int = 1, fan: int = 256) -> DataFrame:
+    """The rows of `silence_runs` for recordings in blocks: no task holds more of one than a block, or `fan` summaries.
+
+    Blocks say in their rows which runs they hold whole; of each `fan` neighbours a summary is made, and of these again, until a
+    recording has one. Runs that cross borders come out where they end.
+    """
+    level = settled(block_runs(blocks, key, size, threshold), "runs")
+    out = level.select(key, F.inline("found"))
+    top = level.agg(F.max("block")).first()[0] or 0
+    while top > 0:
+        ordered = F.sort_array(F.collect_list(F.struct("block", "at", "n", "head", "tail")))
+        above = level.groupBy(key, F.floor(F.col("block") / fan).alias("block")).agg(let(ordered, _combined).alias("x"))
+        level = settled(above.select(key, "block", "x.*"), "runs")
+        out = out.unionByName(level.select(key, F.inline("found")))
+        top //= fan
+    return out.where(F.col("length") >= least)
+
+
+def levels_in_blocks(blocks: DataFrame, key: str, size: int, part: int) -> DataFrame:
+    """The rows of `clip_levels` for recordings in blocks of a multiple of `part` samples: parts are summed inside a block's row."""
+    if size % part:
+        raise ValueError("a block has to hold whole parts")
+    many = F.ceil(F.size("samples") / part).cast("int")
+    square = lambda vs: F.aggregate(vs, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    parts = F.transform(F.sequence(F.lit(0), many - 1), lambda k: let(F.slice("samples", k * part + 1, part), lambda vs: F.struct(square(vs).alias("e"), F.size(vs).alias("n"))))
+    rows = blocks.where(F.size("samples") > 0).select(key, parts.alias("parts"), F.array_max(F.transform("samples", lambda v: F.abs(v.cast("double")))).alias("peak"))
+    energy = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["e"])
+    count = F.aggregate("parts", F.lit(0), lambda a, p: a + p["n"])
+    rows = rows.select(key, "peak", energy.alias("e"), count.alias("n"), F.array_min(F.transform("parts", lambda p: p["e"] / p["n"])).alias("floor"))
+    return rows.groupBy(key).agg(decibels(F.sqrt(F.sum("e") / F.sum("n"))).alias("rms_db"), decibels(F.max("peak")).alias("peak_db"), decibels(F.sqrt(F.min("floor"))).alias("noise_floor_db"))
+
+
+def envelopes_in_blocks(blocks: DataFrame, key: str, size: int, buckets: list[int]) -> DataFrame:
+    """(key, buckets, bucket, peak): `waveform_peaks` of recordings in blocks, for several numbers of buckets in one pass.
+
+    A block gives the largest magnitude of its share of each bucket that it meets; shares are combined by a maximum.
+    """
+    rows = blocks.where(F.size("samples") > 0)
+    whole = rows.groupBy(key).agg(F.sum(F.size("samples")).cast("long").alias("total"))
+    at, many = (F.col("block") * size).cast("long"), lambda b: F.least(F.lit(b).cast("long"), F.col("total"))
+    edge = lambda k, b: F.floor(k * F.col("total") / many(b)).cast("long")
+    number = lambda i, b: F.floor(((i + 1) * many(b) - 1) / F.col("total")).cast("long")  # noqa: E731  the bucket of a sample
+
+    def shares(b: int) -> Column:
+        first, last = number(at, b), number(at + F.size("samples") - 1, b)
+        share = lambda k: F.slice("magnitude", F.greatest(edge(k, b) - at, F.lit(0)).cast("int") + 1, (F.least(edge(k + 1, b), at + F.size("samples")) - F.greatest(edge(k, b), at)).cast("int"))
+        return F.transform(F.sequence(first, last), lambda k: F.struct(F.lit(b).alias("buckets"), k.alias("bucket"), F.array_max(share(k)).alias("peak")))
+
+    sized_ = rows.join(small(whole), key).withColumn("magnitude", F.transform("samples", lambda v: F.abs(v.cast("double"))))
+    peaks = sized_.select(key, F.inline(F.concat(*[shares(b) for b in buckets]))).groupBy(key, "buckets", "bucket").agg(F.max("peak").alias("peak"))
+    top = rows.groupBy(key).agg(F.max(F.array_max(F.transform("samples", lambda v: F.abs(v.cast("double"))))).alias("top"))
+    relative = F.when(F.col("top") > 0, F.round(F.col("peak") / F.col("top"), 4)).otherwise(F.col("peak"))
+    return peaks.join(small(top), key).select(key, "buckets", "bucket", relative.alias("peak"))
+
+
 def longest_silences(runs: DataFrame, key: str, n: int | Column) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("length"), "start"))
     return runs.withColumn("rank", rank).where(F.col("rank") <= n)

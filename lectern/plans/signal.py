@@ -66,6 +66,40 @@ def silence_runs(spark, d):
     return runs(spark, d)
 
 
+# The same recordings, cut into blocks of so few samples that runs and parts cross them.
+@register("silence_runs_in_blocks", _RUNS)
+def silence_runs_in_blocks(spark, d):
+    return G.silence_runs_in_blocks(G.in_blocks(events(spark, d), "user_id", 3), "user_id", 3, _QUIET, 2, fan=2)
+
+
+# A recording for each label: its vectors one after the other, in blocks of a vector's size.
+_SPOKEN = "SELECT label, (row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1) AS i, v FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"
+
+
+def spoken(spark, d):
+    block = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    return table(spark, d, "embeddings").select("label", block.alias("block"), F.transform("embedding", lambda v: v.cast("double")).alias("samples"))
+
+
+@register(
+    "levels_in_blocks",
+    f"""SELECT label, 20 * log10(sqrt(sum(e) / sum(n))) AS rms_db, 20 * log10(max(peak)) AS peak_db, 20 * log10(sqrt(min(e / n))) AS noise_floor_db
+    FROM (SELECT label, i // 16 AS part, sum(v * v) AS e, count(*) AS n, max(abs(v)) AS peak FROM ({_SPOKEN}) GROUP BY ALL) GROUP BY label""",
+)
+def levels_in_blocks(spark, d):
+    return G.levels_in_blocks(spoken(spark, d), "label", 64, 16)
+
+
+@register(
+    "envelopes_in_blocks",
+    f"""WITH l AS ({_SPOKEN}), t AS (SELECT label, count(*) AS n, max(abs(v)) AS top FROM l GROUP BY 1), b AS (SELECT unnest([7, 100, 1000000]) AS buckets),
+    x AS (SELECT label, buckets, ((i + 1) * least(buckets, n) - 1) // n AS bucket, max(abs(v)) AS peak, any_value(top) AS top FROM l JOIN t USING (label), b GROUP BY ALL)
+    SELECT label, buckets, bucket, round(peak / top, 4) AS peak FROM x""",
+)
+def envelopes_in_blocks(spark, d):
+    return G.envelopes_in_blocks(spoken(spark, d), "label", 64, [7, 100, 1_000_000])
+
+
 _TOP = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) AS rank FROM ({_RUNS})) WHERE rank <= 3"
 
 

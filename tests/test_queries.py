@@ -222,3 +222,28 @@ def test_book_chapters_reads_pages_once_for_texts_and_once_for_numbers(spark):
     assert len([x for x in plan.split("\n") if "FileScan" in x and "html" in x]) == 1 and "SortMergeJoin" not in plan
     exchanges = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
     assert not [x for x in exchanges if "html" in x or "text" in x]
+
+
+def test_recordings_in_blocks_are_as_whole_ones(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lectern.operators import signal
+
+    rng = random.Random(8)
+    clips = {k: [rng.choice([0.0, 0.0, 0.0, 0.5, -0.7, 0.02]) for _ in range(n)] for k, n in enumerate([1, 2, 5, 24, 25, 400, 401])} | {100: [0.0] * 60, 101: [0.9] * 60, 102: [0.0] * 30 + [1.0] + [0.0] * 300 + [1.0]}
+    df = spark.createDataFrame(list(clips.items()), "k int, samples array<double>")
+    long = signal.samples_long(df, "k", "samples")
+    for size, fan in ((4, 2), (5, 3), (64, 256)):
+        blocks = signal.in_blocks(long, "k", size)
+        got = {tuple(r) for r in signal.silence_runs_in_blocks(blocks, "k", size, least=2, fan=fan).collect()}
+        assert got == {tuple(r) for r in signal.silence_runs(long, "k", least=2).collect()}
+        out = {(r.k, r.buckets): [] for r in df.selectExpr("k", "explode(array(1, 3, 10)) as buckets").collect()}
+        for r in signal.envelopes_in_blocks(blocks, "k", size, [1, 3, 10]).orderBy("bucket").collect():
+            out[r.k, r.buckets].append(r.peak)
+        for b in (1, 3, 10):
+            assert {r.k: r.p for r in df.select("k", signal.waveform_peaks(F.col("samples"), b).alias("p")).collect()} == {k: p for (k, n), p in out.items() if n == b}
+    levels = lambda rows: {r.k: [x if x is None else round(x, 9) for x in r[1:]] for r in rows.collect()}
+    assert levels(signal.levels_in_blocks(signal.in_blocks(long, "k", 8), "k", 8, 4)) == levels(signal.clip_levels(long, "k", 4))
+    assert signal.silence_runs_in_blocks(signal.in_blocks(long.limit(0), "k", 4), "k", 4).count() == 0
