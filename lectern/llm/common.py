@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,28 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import settled as saved
+from ..sources.shared import shared_dir as shared_dir
+
 #: Words of the contracts: runs of anything but ASCII white space. bytes.split() without arguments splits at exactly these.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Documents that go to a Python worker at once; bounds its memory together with BATCH_BYTES.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set to a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    set_ = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(set_ or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, so that a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
