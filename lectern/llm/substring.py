@@ -5,12 +5,14 @@ of its first REACH windows, so that equal strings have the same border at the sa
 strings of a text with one border form an entry: the text from the first of them to the end of the last. Equal entries are one
 phrase of the dictionary, and a table of entries is the parse. Phrases met twice are settled as a whole; of the other
 phrases only those that share the text right of their border with a different phrase need to look inside, once for each
-phrase however often it occurs: their strings are brought into one order by (right context, fingerprint) and neighbours are
-compared to depth LENGTH. Matches never cross texts because entries lie inside one.
-
-Equality is decided on two 64-bit fingerprints. Null texts count as empty; texts under LENGTH bytes lose nothing. Rows
-that share a doc_id are texts of their own. Rows with a null doc_id are
-judged and count as a place like any other.
+phrase however often it occurs: a suffix array over the phrases of a right context, to depth LENGTH, brings their strings into
+byte order, and equal strings are neighbours in it. Equal strings have one right context, so the order inside each is all of
+the corpus order that repeats can be seen in. Matches never cross texts because entries lie inside one.
+
+Phrases and right contexts are known by 64-bit fingerprints; strings inside them are compared byte by byte (by fingerprint
+for the right contexts of over TOGETHER phrases). Null texts count as empty; texts under LENGTH bytes lose nothing, an empty
+table gives no rows, a very long text is one buffer of a task. Rows that share a doc_id are texts of their own. Rows with a
+null doc_id are judged and count as a place like any other.
 """
 
 from __future__ import annotations
@@ -97,21 +99,47 @@ def entries(texts: list[bytes]) -> list[np.ndarray]:
     return [np.array(long_)[own], lo - base[own], hi - base[own], right.view(np.int64), whole.view(np.int64)]
 
 
-def repeated_strings(contents: list[bytes], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(content number, first, last) of the runs of strings that occur twice among the contents of one group.
+def _dense(key: np.ndarray) -> np.ndarray:
+    """The place of each key's value among the distinct values in their order."""
+    order = np.argsort(key)
+    rank = np.empty(len(key), np.uint32)
+    rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+    return rank
+
 
-    All strings of the contents are brought into one order, by group and fingerprint; equal neighbours are repeated.
+def suffix_array(buffer: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the LENGTH-byte strings that begin at `starts`, by their bytes, and whether each equals the one before it.
+
+    Suffixes get ranks by prefix doubling until a power of two covers over half of LENGTH; two overlapping ones cover it all.
     """
+    n, width = len(buffer), 8
+    padded = np.frombuffer(buffer + bytes(width), np.uint8)
+    key = np.zeros(n, np.uint64)
+    for k in range(width):
+        key = key << np.uint64(8) | padded[k : k + n]
+    rank = _dense(key)
+
+    def pair(at: np.ndarray, gap: int) -> np.ndarray:
+        return rank[at].astype(np.uint64) << np.uint64(32) | rank[at + gap]
+
+    while 2 * width <= LENGTH:
+        # The last places have no second half; no string of LENGTH bytes looks there.
+        rank = _dense(pair(np.arange(len(rank) - width), width))
+        width *= 2
+    key = pair(starts, LENGTH - width)
+    order = np.argsort(key)
+    return order, np.concatenate([[False], key[order][1:] == key[order][:-1]])
+
+
+def repeated_strings(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(content number, first, last) of the runs of strings that occur twice among contents of at least LENGTH bytes."""
     sizes = np.array([len(c) for c in contents])
-    base = np.cumsum(sizes) - sizes
     counts = sizes - LENGTH + 1
     owner = np.repeat(np.arange(len(contents)), counts)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    key = mixed(Fingerprints(b"".join(contents)).of(base[owner] + offset, LENGTH) + mixed(groups)[owner])
-    order = np.argsort(key)
-    equal = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:][equal]] = twice[order[:-1][equal]] = True
+    order, equal = suffix_array(b"".join(contents), (np.cumsum(sizes) - sizes)[owner] + offset)
+    twice = np.zeros(len(order), bool)
+    twice[order[equal]] = twice[order[np.flatnonzero(equal) - 1]] = True
     at = np.flatnonzero(twice)
     if not len(at):
         return at, at, at
@@ -162,8 +190,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     content = F.expr(f"substring(text, s.lo + 1, s.hi - s.lo + {LENGTH})")
     held = held.select("row", "s.lo", "s.right", "s.k", content.alias("content"))
 
-    def runs(rows: list, contents: list[bytes], groups: np.ndarray) -> pa.RecordBatch:
-        k, first, last = repeated_strings(contents, groups)
+    def runs(rows: list, contents: list[bytes]) -> pa.RecordBatch:
+        k, first, last = repeated_strings(contents)
         lo = np.array([r[1] for r in rows], np.int64)[k]
         return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in k.tolist()], pa.int64()), pa.array((lo + first).astype(np.int32)), pa.array((lo + last).astype(np.int32))], names=["row", "lo", "hi"])
 
@@ -175,10 +203,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             groups = np.concatenate([groups, b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)])
             cut = int(np.searchsorted(groups.view(np.int64), groups.view(np.int64)[-1])) if len(groups) else 0
             if cut:
-                yield runs(rows[:cut], contents[:cut], groups[:cut])
+                yield runs(rows[:cut], contents[:cut])
                 rows, contents, groups = rows[cut:], contents[cut:], groups[cut:]
         if rows:
-            yield runs(rows, contents, groups)
+            yield runs(rows, contents)
 
     columns = "row long, lo int, hi int"
     inside = held.where(f"k <= {TOGETHER}").select("row", "lo", "right", "content").repartition("right").sortWithinPartitions("right").mapInArrow(tidy(look), columns)

@@ -93,6 +93,23 @@ def test_substrings_equal_brute_force(docs, monkeypatch, together):
     assert substring.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_suffix_arrays_are_in_byte_order_and_find_all_repeats():
+    rng = random.Random(3)
+    base = bytes(rng.choices(b"ab\0\xff", k=3000))
+    for t in range(12):
+        contents = [bytearray(base[a : a + rng.randrange(400, 700)]) for a in (rng.randrange(2200) for _ in range(t + 1))]
+        for c in contents[::2]:
+            c[rng.randrange(len(c))] ^= 1
+        contents = [*map(bytes, contents), b"x" * 500, b"\0" * 400]
+        buffer = b"".join(contents)
+        order, equal = substring.suffix_array(buffer, np.arange(len(buffer) - 399))
+        strings = [buffer[i : i + 400] for i in order.tolist()]
+        assert strings == sorted(strings) and equal.tolist() == [False] + [a == b for a, b in zip(strings, strings[1:])]
+        seen = collections.Counter(c[i : i + 400] for c in contents for i in range(len(c) - 399))
+        runs = zip(*(x.tolist() for x in substring.repeated_strings(contents)))
+        assert {(k, i) for k, lo, hi in runs for i in range(lo, hi + 1)} == {(k, i) for k, c in enumerate(contents) for i in range(len(c) - 399) if seen[c[i : i + 400]] > 1}
+
+
 def test_packing_is_gapless_and_right(docs):
     from public_tokenizers import path
     from tokenizers import Tokenizer
