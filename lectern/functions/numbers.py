@@ -15,6 +15,15 @@ IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth",
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
 YEAR_CUE = r"(?i)(?:\b(?:in|since|by|from|until|till|during|around|about|circa|after|before|summer|winter|spring|autumn|year|early|late)\b(?:\s+of)?|[,–—-])\s*$"
 YEAR_MIN, YEAR_MAX, MAX_DIGITS = 1100, 2099, 4
+#: Patterns of what is read as words, and of the doubled full stop that a time leaves at the end of a sentence.
+TIME = r"(?i)\b\d{1,2}(?:[:.]\d{2})?\s?[ap]\.?m\.?\b"
+YEAR_RANGE = r"\b\d{4}\s?[–—-]\s?\d{4}\b"
+DAY_MONTH = rf"(?i)\b\d{{1,2}}(?:st|nd|rd|th)\s+(?:{MONTHS})\b"
+MONTH_ORDINAL = rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}}(?:st|nd|rd|th)\b"
+MONTH_DAY = rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}}\b(?!\s*(?:st|nd|rd|th))"
+ORDINAL = r"(?i)\b\d{1,3}(?:st|nd|rd|th)\b"
+DECIMAL, INTEGER = r"\b\d+\.\d+\b", r"\b\d+\b"
+DOUBLED_STOP = r"([ap]\.m)\.\."
 
 
 def _word(words: list[str], i: Column) -> Column:
@@ -65,16 +74,14 @@ def cardinal_digits(raw: Column) -> Column:
 
 
 def speak_times(c: Column) -> Column:
-    p = r"\b\d{1,2}(?:[:.]\d{2})?\s?[apAP]\.?[mM]\.?\b"
-
     def said(m: Column, _: Column) -> Column:
         hour = cardinal(_int(F.regexp_extract(m, r"^(\d{1,2})", 1)))
         minute = _int(F.nullif(F.regexp_extract(m, r"[:.](\d{2})", 1), F.lit("")))
         mid = F.when(minute.isNull() | (minute == 0), "").when(minute < 10, F.concat(F.lit(" oh "), cardinal(minute))).otherwise(F.concat(F.lit(" "), cardinal(minute)))
-        half = F.lower(F.regexp_extract(m, r"([apAP])\.?[mM]\.?$", 1))
+        half = F.lower(F.regexp_extract(m, r"(?i)([ap])\.?m\.?$", 1))
         return F.concat(hour, mid, F.lit(" "), half, F.lit(".m."))
 
-    return sub_map(c, p, said)
+    return sub_map(c, TIME, said)
 
 
 def speak_year_ranges(c: Column) -> Column:
@@ -82,25 +89,25 @@ def speak_year_ranges(c: Column) -> Column:
         a, b = _int(F.regexp_extract(m, r"^(\d+)", 1)), _int(F.regexp_extract(m, r"(\d+)$", 1))
         return F.when(a.between(YEAR_MIN, YEAR_MAX) & b.between(YEAR_MIN, YEAR_MAX), F.concat(year(a), F.lit(" to "), year(b))).otherwise(m)
 
-    return sub_map(c, r"\b\d{4}\s?[–—-]\s?\d{4}\b", said)
+    return sub_map(c, YEAR_RANGE, said)
 
 
 def speak_dates(c: Column) -> Column:
     number = lambda m: ordinal(_int(F.regexp_extract(m, r"(\d{1,2})", 1)))
     month = lambda m: F.regexp_extract(m, f"(?i)({MONTHS})", 1)
-    c = sub_map(c, rf"(?i)\b\d{{1,2}}(?:st|nd|rd|th)\s+(?:{MONTHS})\b", lambda m, _: F.concat(number(m), F.lit(" of "), month(m)))
+    c = sub_map(c, DAY_MONTH, lambda m, _: F.concat(number(m), F.lit(" of "), month(m)))
     the = lambda m, _: F.concat(month(m), F.lit(" the "), number(m))
-    c = sub_map(c, rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}}(?:st|nd|rd|th)\b", the)
-    return sub_map(c, rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}}\b(?!\s*(?:st|nd|rd|th))", the)
+    c = sub_map(c, MONTH_ORDINAL, the)
+    return sub_map(c, MONTH_DAY, the)
 
 
 def speak_ordinals(c: Column) -> Column:
-    return sub_map(c, r"(?i)\b\d{1,3}(?:st|nd|rd|th)\b", lambda m, _: ordinal(_int(F.regexp_extract(m, r"^(\d+)", 1))))
+    return sub_map(c, ORDINAL, lambda m, _: ordinal(_int(F.regexp_extract(m, r"^(\d+)", 1))))
 
 
 def speak_decimals(c: Column) -> Column:
     whole = lambda m: cardinal_digits(F.regexp_extract(m, r"^(\d+)", 1))
-    return sub_map(c, r"\b\d+\.\d+\b", lambda m, _: F.concat(whole(m), F.lit(" point "), digits(F.regexp_extract(m, r"(\d+)$", 1))))
+    return sub_map(c, DECIMAL, lambda m, _: F.concat(whole(m), F.lit(" point "), digits(F.regexp_extract(m, r"(\d+)$", 1))))
 
 
 def year_cue(before: Column) -> Column:
@@ -114,11 +121,11 @@ def speak_integers(c: Column) -> Column:
         is_year = (F.length(m) == 4) & n.between(YEAR_MIN, YEAR_MAX) & year_cue(before)
         return F.when((F.length(m) > MAX_DIGITS) | m.startswith("0"), digits(m)).when(is_year, year(n)).otherwise(cardinal(n))
 
-    return sub_map(c, r"\b\d+\b", said)
+    return sub_map(c, INTEGER, said)
 
 
 def expand_numbers(c: Column) -> Column:
     """All rewrites in their order."""
     for f in (speak_times, speak_year_ranges, speak_dates, speak_ordinals, speak_decimals, speak_integers):
         c = f(c)
-    return F.regexp_replace(c, r"([ap]\.m)\.\.", "$1.")
+    return F.regexp_replace(c, DOUBLED_STOP, "$1.")

@@ -20,6 +20,12 @@ SMALL_WORDS = ["and", "of", "the", "in", "for", "to", "a", "an", "on", "at"]
 MIN_CAPS = 5
 CAPS_WORD = "[A-Za-z][A-Za-z'’]*"
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+#: Patterns of footnote marks and of titles that are numerals, the steps that settle white space, and the sentence
+#: in which a word is tried out.
+FOOTNOTE = r"(?i)\[\s*(?:note\s*)?\d+\s*\]"
+NUMERAL_TITLE = r"(?i)^(?:chapter\s+)?([ivxlcdm]+)\.?$"
+WHITE_SPACE = [(r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{2,}", "\u0000"), (r"\n", " "), ("\u0000", "\n\n"), (r"[ \t]+", " ")]
+CARRIER = ("They sailed on towards ", ", arriving at dusk.")
 
 
 def strip(c: Column) -> Column:
@@ -43,7 +49,7 @@ def sub_map(c: Column, pattern: str, replace: Callable[[Column, Column], Column]
 
 
 def strip_footnotes(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i)\[\s*(?:note\s*)?\d+\s*\]", "")
+    return F.regexp_replace(c, FOOTNOTE, "")
 
 
 def norm_punct(c: Column) -> Column:
@@ -78,7 +84,7 @@ def normalize_caps(c: Column, min_len: int = MIN_CAPS) -> Column:
 
 def norm_whitespace(c: Column) -> Column:
     c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    for pattern, by in ((r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{2,}", "\u0000"), (r"\n", " "), ("\u0000", "\n\n"), (r"[ \t]+", " ")):
+    for pattern, by in WHITE_SPACE:
         c = F.regexp_replace(c, pattern, by)
     return strip(c)
 
@@ -92,7 +98,7 @@ def roman_to_int(c: Column) -> Column:
 
 
 def chapter_title(c: Column) -> Column:
-    numeral = F.regexp_extract(strip(c), r"(?i)^(?:chapter\s+)?([ivxlcdm]+)\.?$", 1)
+    numeral = F.regexp_extract(strip(c), NUMERAL_TITLE, 1)
     return F.when(numeral != "", F.concat(F.lit("Chapter "), roman_to_int(numeral).cast("string"))).otherwise(strip(c))
 
 
@@ -115,4 +121,4 @@ def escape_marker(c: Column) -> Column:
 
 
 def carrier_sentence(word: Column, say_as: Column) -> Column:
-    return F.concat(F.lit("They sailed on towards "), F.coalesce(F.nullif(say_as, F.lit("")), word), F.lit(", arriving at dusk."))
+    return F.concat(F.lit(CARRIER[0]), F.coalesce(F.nullif(say_as, F.lit("")), word), F.lit(CARRIER[1]))

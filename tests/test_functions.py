@@ -76,3 +76,22 @@ def test_lexicon_join_equals_literal(spark):
     a = {r.doc_id: r.said for r in L.lexicon_join(df, dim).collect()}
     b = {r.doc_id: r.said for r in df.select("doc_id", L.apply_lexicon(F.col("text"), entries).alias("said")).collect()}
     assert a == b
+
+
+def test_narration_plan_takes_another_estimate(spark):
+    from lectern.operators import pace
+
+    chunks = spark.createDataFrame([(0, "one two three", "clause"), (1, "four", "paragraph"), (2, " ", "sentence")], "chunk_index int, text string, kind string")
+    syllables = lambda words, wpm: words * 3 / wpm * 10
+    for estimate, speech in ((pace.words_seconds, [1800, 600, 0]), (syllables, [900, 300, 0])):
+        plan = pace.narration_plan(chunks, F.lit(100.0), F.lit(1.0), estimate=estimate).orderBy("chunk_index").collect()
+        assert [r.speech_ms for r in plan] == speech and [r.gap_ms for r in plan] == [250, 1900, 0]
+
+
+def test_times_in_either_case(spark):
+    from lectern.functions import numbers
+
+    texts = ["at 3 PM.", "7:05 a.m. sharp", "10.30 P.M", "12aM", "3 am3"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.s for r in df.select("k", numbers.speak_times(F.col("t")).alias("s")).orderBy("k").collect()]
+    assert got == ["at three p.m..", "seven oh five a.m.. sharp", "ten thirty p.m.", "twelve a.m.", "3 am3"]
