@@ -1,9 +1,10 @@
 """Quality and toxicity: held-out accuracy on the smallest tables, odd rows, and the recursions against plain ones."""
 
+import zlib
+
 import numpy as np
-from pyspark.sql import functions as F
 
-from lectern.llm import quality, toxicity
+from lectern.llm import common, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None, "x"), (2, "", "y"), (2, "", "y"), (None, "a word", None), (4, "w " * 30000, "z")]
@@ -71,4 +72,41 @@ def test_dual_coordinate_descent_separates():
     y = np.where(np.arange(200) % 2, 1.0, -1.0)
     w = quality.dual_coordinate_descent(rows, np.ones(64), y)
     assert np.mean([np.sign(w[r].sum()) == t for r, t in zip(rows, y)]) > 0.98
-    assert F is not None
+
+
+def test_dual_coordinate_descent_nears_the_optimum():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 12, 5)).astype(np.int32) for _ in range(60)]
+    y, scale = np.where(rng.random(60) < 0.5, 1.0, -1.0), rng.normal(size=12)
+    x = np.zeros((60, 12))
+    for k, r in enumerate(rows):
+        x[k, r] = scale[r] / np.linalg.norm(scale[r])
+    good, bad = (y > 0).sum(), (y < 0).sum()
+    upper = np.where(y > 0, min(1, bad / good), min(1, good / bad))  # both classes weigh the same
+    signed = x * y[:, None]
+    alpha, rate = np.zeros(60), 1 / np.linalg.norm(signed @ signed.T, 2)
+    for _ in range(20000):  # projected gradient of the dual
+        alpha = np.clip(alpha - rate * (signed @ (signed.T @ alpha) - 1), 0, upper)
+    primal = lambda w: w @ w / 2 + upper @ np.maximum(0, 1 - signed @ w)
+    best = primal(signed.T @ alpha)
+    assert np.isclose(best, alpha.sum() - np.sum((signed.T @ alpha) ** 2) / 2, rtol=1e-4)
+    assert primal(quality.dual_coordinate_descent(rows, scale, y, epochs=400)) <= best * 1.001 + 1e-9
+
+
+def test_indicators_are_scaled_by_log_count_ratios(spark):
+    texts = [(k, f"good plain words number {k % 7} here" if k % 2 else f"BUY!!! {k % 5} now NOW now") for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    used = [(k, t) for k, t in texts if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows = quality.indicators([t.encode() for _, t in used], common.Ids(quality.describe))
+    counts = np.ones((2, quality.BUCKETS))
+    for (k, _), r in zip(used, rows):
+        for g in r.tolist():
+            counts[k % 2, g] += 1
+    p = counts / counts.sum(axis=1, keepdims=True)
+    ratio = np.log(p[1] / p[0])
+    w = quality.dual_coordinate_descent(rows, ratio, np.array([1.0 if k % 2 else -1.0 for k, _ in used]))
+    assert np.allclose(model.weights, w * ratio, atol=1e-5) and np.abs(model.weights).max() > 0.01
+    out = quality.score(docs, model).collect()
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in out)
