@@ -49,6 +49,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def forget_powers() -> None:
+    """Drop the tables of the longest buffer that a worker has met; Spark uses workers again for later stages."""
+    _POWERS.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+
+
 class Fingerprints:
     """Hashes of any part of a buffer of at least WINDOW bytes, and its borders."""
 
@@ -176,6 +181,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
                 k, lo, hi, right, whole = entries(some)
                 yield pa.RecordBatch.from_arrays([rows.take(pa.array(k + at)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(right), pa.array(whole)], names=["row", "lo", "hi", "right", "whole"])
                 at += len(some)
+        forget_powers()
 
     parsed = saved(texts.mapInArrow(tidy(parse), "row long, lo int, hi int, right long, whole long"), "parse")
     place = F.xxhash64("row", "lo")
