@@ -191,7 +191,8 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, ho
     if hot is None:
         return left.join(right, keys, how)
     few = saved(right.join(F.broadcast(hot), keys, "left_semi"), f"{name}-few")
-    on_hot = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how)
+    # `few` has hot keys only, so that rows need to be told apart first only where those without a partner stay.
+    on_hot = (left.join(F.broadcast(hot), keys, "left_semi") if how == "left" else left).join(F.broadcast(few), keys, how)
     return on_hot.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
 
 
