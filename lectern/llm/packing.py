@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, runs_of, saved, sized, tidy
+from .common import bounded_batches, release, runs_of, saved, sized, tidy
 
 CAPACITY, END_ID = 2048, 0
 #: Most patterns that are fitted, and the sweeps of the fit.
@@ -38,7 +38,7 @@ _PLAIN, _MARK = "^[a-zß-öø-ÿ]+[.,;:!?]?$", "([.,;:!?])$"
 #: Begins the strings of special tokens; they are matched before lower-casing.
 _SPECIAL = "<|"
 #: Words that are merged in one call.
-_TOGETHER = 10_000
+_TOGETHER = 4000
 
 
 class WordTokens:
@@ -103,6 +103,8 @@ class WordTokens:
             self._merged(coded.dictionary.take(pa.array(missing)))
             for k in missing:
                 found[k] = self.known[words[k]]
+            if 2 * len(missing) >= _TOGETHER:  # merging leaves much that is freed, but held by the worker
+                release()
         number = np.array(found, np.int64)[coded.indices.to_numpy()] if found else np.zeros(0, np.int64)
         size = np.array(self.sizes, np.int64)
         sizes = size[number]
