@@ -39,6 +39,17 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in expected.fetchall()), key=repr)
 
 
+def test_turns_with_abbreviations_and_digits_keep_to_their_sql(spark, tmp_path):
+    turns = [(1, 0, "a", "St. Ann met  Dr. Who IN THE 3 HALLS\nof ROME."), (1, 1, "b", None), (2, 0, "a", "Mr. X[3] paid 12 pounds\u2026"), (2, 1, "b", "")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    asked = catalog.QUERIES["clean_text"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in asked.collect()) == sorted(c.sql(catalog.ORACLES["clean_text"]).fetchall())
+    whole = {r.id: r.clean for r in catalog.QUERIES["clean_turns"](spark, str(tmp_path)).collect()}
+    assert whole == {1000: "Saint Ann met Doctor Who in the three Halls of ROME.", 1001: None, 2000: "Mister X paid twelve pounds...", 2001: ""}
+
+
 def test_toc_flatten_holds_no_host_in_one_row(spark):
     plan = catalog.QUERIES["toc_flatten"](spark, SF)._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "Generate" not in plan
