@@ -183,10 +183,27 @@ def trim_edges(samples: Column, margin: int, threshold: float = THRESHOLD) -> Co
     return F.when(F.size(loud) > 0, F.slice(samples, start + 1, F.greatest(F.lit(0), end - start))).otherwise(F.slice(samples, 1, 0))
 
 
+def settled_sum(rows: DataFrame, key: str, value: str, *more: Column) -> DataFrame:
+    """(key, value, ..) with the sum of values of 0 or more in each group, the same whatever order the rows come in.
+
+    Values of one power of two are summed as whole numbers, exactly; the sums, of which a group has about 2,000 at most, are then added
+    from the smallest on. Values that are not finite give the plain sum. `more` are aggregates of columns whose sums are exact.
+    """
+    power = F.floor(F.log2(value)).cast("int")
+    whole = F.col(value) * F.pow(F.lit(2.0), 52 - F.col("_power"))
+    parts = rows.withColumn("_power", F.when((F.col(value) > 1e-290) & (F.col(value) < 1e290), power)).groupBy(key, "_power")
+    parts = parts.agg(F.sum(whole.cast("decimal(17,0)")).alias("_whole"), F.sum(value).alias("_plain"), *more)
+    back = F.transform(F.sort_array(F.collect_list(F.when(F.col("_power").isNotNull(), F.struct("_power", "_whole")))), lambda p: p["_whole"].cast("double") * F.pow(F.lit(2.0), p["_power"] - 52))
+    rest = F.coalesce(F.sum(F.when(F.col("_power").isNull(), F.col("_plain"))), F.lit(0.0))
+    names = [c for c in parts.columns if c not in (key, "_power", "_whole", "_plain")]
+    return parts.groupBy(key).agg((F.aggregate(back, F.lit(0.0), lambda a, x: a + x) + rest).alias(value), *[F.sum(c).alias(c) for c in names])
+
+
 def normalized(clips: DataFrame, book: str, samples: str, target_rms: float, ceiling: float, default_gain: float = 1.0) -> DataFrame:
     """Two passes: a book's RMS gives its gain; samples are scaled and capped. Without a measurement the default gain holds."""
     square = F.aggregate(samples, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    rms = clips.select(book, square.alias("e"), F.size(samples).alias("n")).groupBy(book).agg(F.sqrt(F.sum("e") / F.sum("n")).alias("rms"))
+    sums = settled_sum(clips.select(book, square.alias("e"), F.size(samples).alias("n")), book, "e", F.sum("n").alias("n"))
+    rms = sums.select(book, F.sqrt(F.try_divide("e", "n")).alias("rms"))
     gain = F.coalesce(F.when(F.col("rms") > 0, target_rms / F.col("rms")), F.lit(default_gain))
     scaled = F.transform(samples, lambda v: F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), v.cast("double") * F.col("gain"))))
     return clips.join(small(rms), book, "left").withColumn("gain", gain).withColumn(samples, scaled)

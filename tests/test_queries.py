@@ -50,6 +50,26 @@ def test_turns_with_abbreviations_and_digits_keep_to_their_sql(spark, tmp_path):
     assert whole == {1000: "Saint Ann met Doctor Who in the three Halls of ROME.", 1001: None, 2000: "Mister X paid twelve pounds...", 2001: ""}
 
 
+def test_gains_do_not_depend_on_the_order_of_clips(spark):
+    import random
+
+    from lectern.operators import signal as G
+
+    draw = random.Random(5)
+    clips = [(draw.choice("ab"), [draw.gauss(0, 1) * 10.0 ** draw.randint(-6, 6) for _ in range(9)]) for _ in range(500)] + [("c", [0.0]), ("d", [math.nan]), ("e", [])]
+    seen = set()
+    for k in range(4):
+        draw.shuffle(clips)
+        rows = spark.createDataFrame(spark.sparkContext.parallelize(clips, 1 + 3 * k), "book string, samples array<double>")
+        seen.add(tuple(sorted((r.book, repr(r.gain)) for r in G.normalized(rows, "book", "samples", 0.1, 0.3).select("book", "gain").distinct().collect())))
+    energy = {b: math.fsum(sum(v * v for v in s) for x, s in clips if x == b) for b in "ab"}
+    count = {b: sum(len(s) for x, s in clips if x == b) for b in "ab"}
+    assert len(seen) == 1
+    gains = dict(seen.pop())
+    assert gains["c"] == gains["e"] == "1.0" and gains["d"] == "nan"
+    assert all(math.isclose(float(gains[b]), 0.1 / math.sqrt(energy[b] / count[b]), rel_tol=1e-15) for b in "ab")
+
+
 def test_toc_flatten_holds_no_host_in_one_row(spark):
     plan = catalog.QUERIES["toc_flatten"](spark, SF)._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "Generate" not in plan
