@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..operators import jobs as J
 from ..sources import tables as T
-from ..sources.shared import shared_dir
+from ..sources.shared import settled, shared_dir
 from ..sources.tables import table
 from ..streaming import progress as R
 
@@ -134,7 +134,8 @@ def _folder(spark, name):
 @register("chapter_checkpoints", "SELECT l_orderkey AS job_id, l_linenumber AS chapter_index, sum(l_quantity) AS n_chunks FROM lineitem GROUP BY ALL")
 def chapter_checkpoints(spark, d):
     """The chapter sink's batches: one is cut short and run again, the last sends finished chapters once more, changed."""
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("chapter_index")).agg(F.sum("l_quantity").alias("n_chunks"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("chapter_index"), "l_quantity")
+    rows = settled(lines.repartition(T.tasks(lines.count()), "job_id", "chapter_index").groupBy("job_id", "chapter_index").agg(F.sum("l_quantity").alias("n_chunks")), "chapters")
     path, late = _folder(spark, "checkpoints"), F.col("chapter_index") % 3 == 2
     T.write_checkpoints(rows.where(~late & (F.col("job_id") % 2 == 0)), path, "first")
     T.write_checkpoints(rows.where(~late), path, "first")

@@ -164,3 +164,20 @@ def test_silent_jobs_are_found_by_a_join_of_streams(spark, tmp_path):
     streams = [spark.readStream.schema(df.schema).parquet(str(tmp_path / name)) for name, df in (("running", running), ("beats", beats))]
     got = collected(spark, R.reconciled_stream(*streams), "silent")
     assert got == {tuple(r) for r in R.reconciled_batch(running, beats).collect()} and {x[:2] for x in got} == {(2, m(5)), (1, m(90))}
+
+
+def test_no_task_of_a_sink_grows_with_its_batch(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lectern.sources import tables as T
+
+    monkeypatch.setattr(T, "ROWS_A_TASK", 500)
+    rows = spark.range(10_000).select(F.lit("one").alias("job_id"), F.col("id").alias("chapter_index"))
+    for batch in "ab":  # all of one job, so all in one folder; the second batch adds what the first lacks
+        T.write_checkpoints(rows.where("chapter_index < 6000") if batch == "a" else rows, f"{tmp_path}/c", batch)
+    T.write_manifests(rows.select(F.col("chapter_index").alias("job_id"), "chapter_index"), f"{tmp_path}/m", parts=1)
+    assert T.read_checkpoints(spark, f"{tmp_path}/c").select("chapter_index").distinct().count() == T.read_checkpoints(spark, f"{tmp_path}/c").count() == 10_000
+    for path in "cm":
+        held = spark.read.parquet(f"{tmp_path}/{path}")
+        sizes = held.groupBy(F.input_file_name()).count()
+        assert held.count() == 10_000 and sizes.agg(F.max("count")).first()[0] <= 3000
