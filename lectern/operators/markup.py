@@ -255,8 +255,8 @@ def _named(items: Column) -> Column:
     return F.flatten(F.transform(items, lambda item, k: F.when(item.rlike(has), of_item(item, k)).otherwise(none)))
 
 
-def structure(html: Column) -> Column:
-    """(blocks, names, text, heading) of a page, found in its row.
+def structure(html: Column, whole_page: bool = True) -> Column:
+    """(blocks, names, text, heading) of a page, found in its row; without `whole_page` only (blocks, names).
 
     `blocks` has (pos, text) of the innermost blocks with text, `names` (fragment, rank, pos, i) of all ids and link names. A block,
     and what stands directly in a block, is at the block; what lies deeper is behind it, so that its section begins with the next
@@ -268,15 +268,18 @@ def structure(html: Column) -> Column:
 
     heading = lambda clean: block_text(F.regexp_extract(clean, r"(?is)<(h[1-3])\b[^>]*>(.*?)</\1\s*>", 2))
     whole = lambda clean, bs: F.when(F.size(bs) > 0, F.array_join(F.transform(bs, lambda b: b["text"]), "\n\n")).otherwise(F.nullif(block_text(clean), F.lit("")))
-    out = lambda clean, items, bs: F.struct(bs.alias("blocks"), _named(items).alias("names"), whole(clean, bs).alias("text"), F.nullif(heading(clean), F.lit("")).alias("heading"))
+    page = lambda clean, bs: [whole(clean, bs).alias("text"), F.nullif(heading(clean), F.lit("")).alias("heading")] if whole_page else []
+    out = lambda clean, items, bs: F.struct(bs.alias("blocks"), _named(items).alias("names"), *page(clean, bs))
     return let(clean_html(html), lambda clean: let(_items(clean), lambda items: let(blocks(items), lambda bs: out(clean, items, bs))))
 
 
 def anchor_positions(parsed: DataFrame, toc: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, seq, title, pos) of the fragments of `toc` (key, fragment, seq, title) on pages (key, names): the first element with
-    that id, else the first link with that name."""
+    """(key, seq, title, pos, ..) of the fragments of `toc` (key, fragment, seq, title) on pages (key, names): the first element with
+    that id, else the first link with that name, with all further fields of `names`."""
     named = parsed.select(key, F.inline("names"))
-    return named.join(toc, [key, "fragment"]).groupBy(key, "seq", "title").agg(F.min(F.struct("rank", "pos", "i")).alias("at")).select(key, "seq", "title", F.col("at.pos").alias("pos"))
+    more = [c for c in named.columns if c not in (key, "fragment", "rank", "pos", "i")]
+    at = F.min(F.struct("rank", "pos", "i", *more)).alias("at")
+    return named.join(toc, [key, "fragment"]).groupBy(key, "seq", "title").agg(at).select(key, "seq", "title", *[F.col(f"at.{c}").alias(c) for c in ("pos", *more)])
 
 
 def _page_chapters(page: Column, fragments: Column, file_title: Column) -> Column:

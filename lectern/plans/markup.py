@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..functions.text import let
 from ..operators import markup as M
 from ..operators.ranks import first_or_last, numbered
 from ..sources.shared import settled
@@ -189,10 +190,11 @@ def marked_toc(spark, d):
 
 @register("anchor_positions", f"WITH {_MARKED}, {_PIECES} SELECT m.page_id, m.seq, m.title, (SELECT count(*) FROM blocks b WHERE b.page_id = m.page_id AND b.place < m.place) AS blocks_before FROM marks m")
 def anchor_positions(spark, d):
-    found = marked_pages(spark, d).withColumn("page", M.structure(F.col("html"))).select("page_id", "page.blocks", "page.names")
-    blocks, marks = found.select("page_id", F.inline("blocks")), M.anchor_positions(found, marked_toc(spark, d))
-    both = marks.join(blocks.select("page_id", F.col("pos").alias("at")), "page_id", "left")
-    return both.groupBy("page_id", "seq", "title").agg(F.count_if(F.col("at") < F.col("pos")).alias("blocks_before"))
+    # Blocks before a name are counted in the page's row, so that pages are taken apart once.
+    before = lambda blocks, name: F.size(F.filter(blocks, lambda b: b["pos"] < name["pos"])).cast("long")
+    counted = lambda page: F.transform(page["names"], lambda x: x.withField("blocks_before", before(page["blocks"], x)))
+    found = marked_pages(spark, d).select("page_id", let(M.structure(F.col("html"), whole_page=False), counted).alias("names"))
+    return M.anchor_positions(found, marked_toc(spark, d)).select("page_id", "seq", "title", "blocks_before")
 
 
 # Pages with a table in a table, a list in a list item, list items that hold other elements or are never closed, a heading around

@@ -75,6 +75,11 @@ def test_toc_flatten_holds_no_host_in_one_row(spark):
     assert "collect_list" not in plan and "Generate" not in plan
 
 
+def test_anchor_positions_take_pages_apart_once(spark):
+    plan = catalog.QUERIES["anchor_positions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in x and "html:string" in x for x in plan.split("\n")) == 1
+
+
 def test_flatten_toc_goes_depth_first(spark):
     from lectern.operators import markup
 
