@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Ids, append_columns, bounded_batches, labelled_sample, mixed, platt, remainder, tidy
+from .common import Ids, append_columns, bounded_batches, labelled_sample, mixed, platt, remainder, tidy, tidy_fit
 
 #: Hash buckets of the indicators, and the most labelled rows of either class that the fit uses.
 BUCKETS, PER_CLASS = 1 << 18, 6000
@@ -88,6 +88,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.nda
     return w
 
 
+@tidy_fit
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
     """Fit on at most `per_class` labelled documents of either class. Without labels of both classes every score is the prior."""
     bounded_batches(docs.sparkSession)

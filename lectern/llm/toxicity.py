@@ -10,7 +10,7 @@ get the score of a text without words; rows keep their multiplicity; further col
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Ids, append_columns, labelled_sample, platt, remainder
+from .common import Ids, append_columns, labelled_sample, platt, remainder, tidy_fit
 
 #: Hash buckets of the features, and the most labelled rows of either class that the fit uses.
 BUCKETS, PER_CLASS = 1 << 17, 2000
@@ -136,6 +136,12 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(s @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
 
 
+def shared_words(texts: Iterable[pa.BinaryScalar]) -> list[list[bytes]]:
+    """The words of each text; equal words are one object, so that memory grows with the distinct ones."""
+    met: dict[bytes, bytes] = {}
+    return [[met.setdefault(w, w) for w in t.as_py().split()] for t in texts]
+
+
 def vocabulary(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Number of each token's word; of each word's features: hash, word number, and whether a weak label may rest on it."""
     numbers: dict[bytes, int] = {}
@@ -196,13 +202,14 @@ def train_field(tokens: np.ndarray, flat: np.ndarray, owner: np.ndarray, sizes:
     return theta[:BUCKETS], np.exp(theta[BUCKETS:]).reshape(2, 2)
 
 
+@tidy_fit
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     """Fit on at most `per_class` labelled documents of either class. Without labels of both classes every score is the prior."""
     sample = labelled_sample(docs, labels, "toxic", per_class).toArrow().sort_by("doc_id")
     y = sample["y"].to_numpy().astype(float)
     rates = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).agg(F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("p")).first()["p"]
     prior = np.log(np.clip(rates, 1e-4, 1 - 1e-4) / (1 - np.clip(rates, 1e-4, 1 - 1e-4)))
-    texts = [t.split() for t in sample["text"].to_pylist()]
+    texts = shared_words(sample["text"])
     del sample
     if len(set(y)) < 2 or not any(texts):
         return ToxicityModel(np.zeros(BUCKETS), np.ones((2, 2)), np.array([0.0, 0.0, prior]))

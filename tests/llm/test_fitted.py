@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from lectern.llm import common, quality, toxicity
 
@@ -40,6 +41,22 @@ def test_odd_rows_and_no_labels(spark):
         assert m.score(odd(spark).limit(0), model).count() == 0
 
 
+def test_fits_give_the_drivers_memory_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    for k, m in enumerate((quality, toxicity), 1):
+        m.fit(odd(spark), labels)
+        assert len(calls) == k
+
+
+def test_equal_words_of_the_sample_are_one_object():
+    texts = [b" ab  cd\tab", b"", b"cd \xff ab"]
+    words = toxicity.shared_words(pa.array(texts))
+    assert words == [t.split() for t in texts]
+    assert len({id(w) for ws in words for w in ws}) == 3
+
+
 def test_marginals_equal_the_plain_recursion():
     rng = np.random.default_rng(0)
     sizes = np.array([3, 0, 130, 64, 1, 65])
