@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 from ..sources.shared import settled
 from .lexicon import small
+from .ranks import numbered
 
 #: Level of silence, seconds kept at an edge, and the shortest pause in seconds.
 THRESHOLD, MARGIN_S, SHORTEST_S = 0.01, 0.14, 0.09
 #: Levels in dB that a finished book must have.
 RMS_LOW, RMS_HIGH, PEAK_HIGH = -23.0, -18.0, -3.0
+#: Values that one row of a sum in order takes.
+ADDENDS = 4096
 
 
 def samples_long(clips: DataFrame, key: str, samples: str) -> DataFrame:
@@ -199,10 +202,52 @@ def settled_sum(rows: DataFrame, key: str, value: str, *more: Column) -> DataFra
     return parts.groupBy(key).agg((F.aggregate(back, F.lit(0.0), lambda a, x: a + x) + rest).alias(value), *[F.sum(c).alias(c) for c in names])
 
 
-def normalized(clips: DataFrame, book: str, samples: str, target_rms: float, ceiling: float, default_gain: float = 1.0) -> DataFrame:
-    """Two passes: a book's RMS gives its gain; samples are scaled and capped. Without a measurement the default gain holds."""
-    square = F.aggregate(samples, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    sums = settled_sum(clips.select(book, square.alias("e"), F.size(samples).alias("n")), book, "e", F.sum("n").alias("n"))
+def sum_in_order(rows: DataFrame, key: str, order: str, value: str, *more: Column, size: int = ADDENDS) -> DataFrame:
+    """(key, value, ..) with the sum of values of 0 or more in each group, to the bit as if added one by one in the order of a column,
+    though by many tasks. Values of the same order are added from the smallest on; nulls add nothing.
+
+    While a sum stays between two powers of two, a block of `size` values adds one amount to every sum whose last bit is 0, and one to
+    every sum whose last bit is 1. Only where it may reach the next power does a block keep its values. So a group's blocks are added
+    in turn from one narrow row each. `more` are aggregates of columns whose sums are exact.
+    """
+    placed = numbered(rows.withColumn(value, F.coalesce(value, F.lit(0.0))), key, [order, value], "_place")
+    placed = placed.withColumn("_block", F.floor(F.col("_place") / size))
+    sums = placed.groupBy(key, "_block").agg(F.sum(value).alias("_sum"), F.count("*").alias("_n"), *more)
+    names = [c for c in sums.columns if c not in (key, "_block", "_sum", "_n")]
+    so_far = Window.partitionBy(key).orderBy("_block")
+    sums = sums.withColumns({"_high": F.sum("_sum").over(so_far), "_low": F.coalesce(F.sum("_sum").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
+    # Sums of n values in two orders differ by less than n times 2^-52 of them; the rest is for the logarithm.
+    off = (F.sum("_n").over(so_far) + 4096) * 2.0**-52
+    power = F.floor(F.log2(F.col("_low") * (1 - off)))
+    within = (F.col("_low") > 1e-250) & (F.col("_high") < 1e290) & (power == F.floor(F.log2(F.col("_high") * (1 + off))))
+    sums = sums.withColumn("_power", F.when(within, power)).withColumn("_plain", (F.col("_sum") == 0) | ~(F.col("_low") < 1e290))
+    sums = small(sums.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), "_sum", "_power", "_plain", *names))
+
+    held = placed.groupBy(key, "_block").agg(F.sort_array(F.collect_list(F.struct("_place", value))).alias("_values"))
+    held = held.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")))
+    add = lambda values, start: F.aggregate(values, start, lambda a, x: a + x[value])
+    added = lambda start: add(F.col("_values"), start) - start
+    first, unit = F.pow(F.lit(2.0), F.col("_power")), F.pow(F.lit(2.0), F.col("_power") - 52)
+    even = F.when(F.col("_plain"), F.col("_sum")).when(F.col("_power").isNotNull(), added(first))
+    odd = F.when(~F.col("_plain") & F.col("_power").isNotNull(), added(first + unit))
+    block = F.struct("_block", even.alias("even"), odd.alias("odd"), F.when(odd.isNotNull(), unit).alias("unit"), F.when(even.isNull(), F.col("_values")).alias("values"))
+
+    def step(a: Column, b: Column) -> Column:
+        last_bit = F.when(b["unit"].isNotNull(), (a / b["unit"]).cast("long") % 2)
+        return F.when(b["even"].isNull(), add(b["values"], a)).otherwise(a + F.when(last_bit == 1, b["odd"]).otherwise(b["even"]))
+
+    blocks = held.select(key, block.alias("_row"), *names).groupBy(key).agg(F.sort_array(F.collect_list("_row")).alias("_rows"), *[F.sum(c).alias(c) for c in names])
+    return blocks.select(key, F.aggregate("_rows", F.lit(0.0), step).alias(value), *names)
+
+
+def normalized(clips: DataFrame, book: str, samples: str, target_rms: float, ceiling: float, default_gain: float = 1.0, order: str | None = None) -> DataFrame:
+    """Two passes: a book's RMS gives its gain; samples are scaled and capped. Without a measurement the default gain holds.
+
+    With a column `order` a book's energy is added clip by clip in that order, else exactly; neither depends on the order of rows.
+    """
+    square = F.aggregate(samples, F.lit(0.0), lambda a, v: a + F.coalesce(v.cast("double") * v.cast("double"), F.lit(0.0)))
+    measured, n = clips.select(book, *([order] if order else []), square.alias("e"), F.size(samples).alias("n")), F.sum("n").alias("n")
+    sums = sum_in_order(measured, book, order, "e", n) if order else settled_sum(measured, book, "e", n)
     rms = sums.select(book, F.sqrt(F.try_divide("e", "n")).alias("rms"))
     gain = F.coalesce(F.when(F.col("rms") > 0, target_rms / F.col("rms")), F.lit(default_gain))
     scaled = F.transform(samples, lambda v: F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), v.cast("double") * F.col("gain"))))

@@ -70,6 +70,46 @@ def test_gains_do_not_depend_on_the_order_of_clips(spark):
     assert all(math.isclose(float(gains[b]), 0.1 / math.sqrt(energy[b] / count[b]), rel_tol=1e-15) for b in "ab")
 
 
+def test_sums_in_order_have_the_bits_of_one_addition_after_the_other(spark):
+    import random
+    from functools import reduce
+
+    from lectern.operators import signal as G
+
+    draw = random.Random(9)
+    groups = {
+        "any": [draw.random() for _ in range(700)],
+        "wide": [draw.random() * 10.0 ** draw.randint(-20, 9) for _ in range(700)],
+        "growing": [1.7 ** (k / 3) for k in range(700)],
+        "halves": [3 * 2.0**52] + [draw.choice([0.0, 1.0, 2.0, 3.0, 5.0]) for _ in range(700)],  # ties, settled by the last bit
+        "ones": [1.0] * 700,  # comes to powers of two exactly
+        "loud first": [1.0] + [2.0**-53] * 300 + [2.0**-52] * 3 + [1e-16] * 300,
+        "silent first": [0.0] * 300 + [5e-324, 1e-300, 0.1, 0.2, 0.3],
+        "silent": [0.0] * 30, "single": [0.1], "huge": [1e308] * 5 + [0.1] * 30, "nan": [0.1] * 20 + [math.nan] + [0.1] * 20,
+    }
+    rows = [(g, 3 * k - 50, v) for g, vs in groups.items() for k, v in enumerate(vs)] + [("any", 5_000, None), (None, 1, 0.1), (None, 2, 0.7)]
+    expected = {g: reduce(lambda a, v: a + v, vs, 0.0).hex() for g, vs in (groups | {None: [0.1, 0.7]}).items()}
+    for size in (8, 4096):
+        draw.shuffle(rows)
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "g string, k long, v double")
+        assert {r.g: r.v.hex() for r in G.sum_in_order(df, "g", "k", "v", size=size).collect()} == expected
+    assert math.fsum(groups["any"]).hex() != expected["any"]
+
+
+def test_normalized_levels_have_the_bits_of_their_sql(spark, tmp_path):
+    import random
+
+    draw = random.Random(2)
+    clips = [(k, [draw.gauss(0, 0.3) for _ in range(16)], k % 3) for k in range(900)]
+    odd = [([0.1, None], 1), ([None], 4), ([0.0, 0.0], 5), ([], 6), (None, 7), ([0.5], None), ([], 2), (None, 2)]
+    spark.createDataFrame(clips + [(900 + k, *x) for k, x in enumerate(odd)], "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    bits = lambda rows: sorted((r[0], r[1] and [v.hex() for v in r[1]]) for r in rows)
+    for d, files in ((SF, ""), (str(tmp_path), "/*.parquet")):
+        c = duckdb.connect(config={"threads": 1})
+        c.sql(f"CREATE TABLE embeddings AS SELECT * FROM '{d}/embeddings.parquet{files}' ORDER BY vec_id")
+        assert bits(catalog.QUERIES["normalize_levels"](spark, d).select("vec_id", "samples").collect()) == bits(c.sql(f"SELECT vec_id, samples FROM ({catalog.ORACLES['normalize_levels']})").fetchall())
+
+
 def test_toc_flatten_holds_no_host_in_one_row(spark):
     plan = catalog.QUERIES["toc_flatten"](spark, SF)._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "Generate" not in plan
