@@ -70,6 +70,31 @@ def test_gains_do_not_depend_on_the_order_of_clips(spark):
     assert all(math.isclose(float(gains[b]), 0.1 / math.sqrt(energy[b] / count[b]), rel_tol=1e-15) for b in "ab")
 
 
+CLEANED = {
+    "Mr. X[3] paid 12 pounds…": "Mister X paid twelve pounds...",
+    "the 2nd Sept, 12345.06 and 2½ of “THE OLD MILL” at 6.05pm.": 'thuh second of Sept, twelve thousand three hundred annd forty-five point zero six annd 2½ of "thuh Old Mill" at six oh five p.m.',
+    "In 1905–1910, a crew of 1400;\r\nborn in the summer of  1992": "In nineteen oh-five to nineteen ten, a crew of one thousand four hundred; born in thuh summer of nineteen ninety-two",
+    "July 2, 2000 [ Note 12 ]\n\n \nMarch 3 th 21st May 4th agent 007 no. 12345  ": "July thuh second, two thousand\n\nMarch three th twenty-first of May thuh fourth agent zero zero seven no. one two three four five",
+    "1000000.5 12005.1 1002100.25 000.7 é12 12é 12² _7": "one million point five twelve thousand annd five point one one million two thousand one hundred point two five zero point seven é12 12é 12² _7",
+    "e.g. St. Ann’s BBC, THE  REST\tof ROMEO": "for example Saint Ann's BBC, thuh Rest of Romeo",
+    "6 pm 12:30 A.M. 13:00am 7 p.m.x May 5": "six p.m. twelve thirty a.m. thirteen a.m. seven p.m.x May thuh fifth",
+    " \n\n": "", "": "", "ZU Der, und QUE une": "tsu dair, und kay oon", None: None,
+}
+
+
+def test_clean_text_takes_all_its_steps_as_its_sql_does(spark, tmp_path):
+    from lectern.functions import numbers
+
+    texts = [*CLEANED, "9" * 310 + ".5", "7" * 306 + ".5", "12345678901234567890.1", "iné 1992 éin 1992 in" + " " * 22 + "1992 in" + " " * 23 + "1992", "x\x0b　"]
+    spark.createDataFrame([(0, k, t) for k, t in enumerate(texts)], "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = dict(tuple(r) for r in catalog.QUERIES["clean_text"](spark, str(tmp_path)).select("id", "clean").collect())
+    assert [got[k] for k in range(len(CLEANED))] == list(CLEANED.values())
+    assert got == dict(c.sql(f"SELECT id, clean FROM ({catalog.ORACLES['clean_text']})").fetchall())
+    assert got[len(CLEANED)].startswith("nine nine nine ") and got[len(CLEANED) + 1].startswith("seven hundred annd seventy-seven centillion ") and len(numbers.SCALES) == 101
+
+
 def test_sums_in_order_have_the_bits_of_one_addition_after_the_other(spark):
     import random
     from functools import reduce
